@@ -99,6 +99,22 @@ def pos_tags(tokens) -> Column:
     return F.transform(_c(tokens), rule_tag)
 
 
+def context_tags(tags) -> Column:
+    """K2 context pass over rule tags: a verb-looking word after a determiner is a
+    noun ("the run"), a noun-looking word after ``to`` or a modal is a verb
+    ("will stop")."""
+    from slantspark.functions.lexicon import VERB_TAGS
+    t = _c(tags)
+
+    def fix(tag, i):
+        prev = F.when(i > 0, F.element_at(t, i))  # element_at is 1-based: position i is the previous tag
+        return (F.when((prev == "DT") & tag.isin(VERB_TAGS), F.lit("NN"))
+                .when(prev.isin("TO", "MD") & (tag == "NN"), F.lit("VB"))
+                .otherwise(tag))
+
+    return F.transform(t, fix)
+
+
 # --- K3 sentences ------------------------------------------------------------------
 
 def sentence_count(col) -> Column:

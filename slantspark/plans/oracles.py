@@ -78,3 +78,95 @@ ORACLES.update({
                              + S.features_sql("SELECT conv_id * 1000000 + turn AS k2, conv_id, turn, text AS raw FROM conversations",
                                               key="k2", text="raw", carry=["conv_id", "turn"]) + ")",
 })
+
+# --- tagger, splits, KNN, metrics, label codes, token ids ---------------------------------------
+
+from slantspark.functions import lexicon as _L  # noqa: E402
+from slantspark.functions import patterns as _P  # noqa: E402
+
+BUCKET = "CAST(('0x' || substr(md5(concat(CAST({id} AS VARCHAR), ':42')), 1, 8)) AS BIGINT) % 100"
+FEATURE_TABLE = ORACLES["feature_table"]
+
+
+def _dist(a: str, b: str) -> str:
+    terms = [f"(CAST({a}.{c} AS DOUBLE) - CAST({b}.{c} AS DOUBLE)) * (CAST({a}.{c} AS DOUBLE) - CAST({b}.{c} AS DOUBLE))"
+             for c in FE.FEATURE_COLUMNS]
+    return " + ".join(terms)
+
+
+KNN = f"""
+WITH ft AS ({FEATURE_TABLE}),
+s AS (SELECT *, {BUCKET.format(id='article_id')} AS b FROM ft WHERE label <> ''),
+tr AS (SELECT * FROM s WHERE b >= 20), te AS (SELECT * FROM s WHERE b < 20),
+d AS (SELECT te.article_id AS test_id, tr.article_id AS train_id, tr.label AS train_label, {_dist('te', 'tr')} AS dist
+      FROM te CROSS JOIN tr),
+r AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY dist, train_id) AS rn FROM d),
+v AS (SELECT test_id, train_label, count(*) AS n FROM r WHERE rn <= 5 GROUP BY test_id, train_label),
+p AS (SELECT test_id, train_label AS prediction, row_number() OVER (PARTITION BY test_id ORDER BY n DESC, train_label) AS rn FROM v)
+SELECT te.article_id, te.label, p.prediction FROM te LEFT JOIN p ON te.article_id = p.test_id AND p.rn = 1"""
+
+PER_CLASS = f"""
+WITH k AS ({KNN}),
+cm AS (SELECT label, prediction, count(*) AS n FROM k GROUP BY label, prediction),
+cls AS (SELECT label AS c FROM cm UNION SELECT prediction AS c FROM cm),
+sup AS (SELECT label AS c, sum(n) AS support FROM cm GROUP BY label),
+prd AS (SELECT prediction AS c, sum(n) AS predicted FROM cm GROUP BY prediction),
+tp AS (SELECT label AS c, n AS tp FROM cm WHERE label = prediction),
+t AS (SELECT cls.c, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted, coalesce(tp, 0) AS tp
+      FROM cls LEFT JOIN sup ON cls.c = sup.c LEFT JOIN prd ON cls.c = prd.c LEFT JOIN tp ON cls.c = tp.c),
+m AS (SELECT c, support, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0.0 END AS p,
+             CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS r FROM t)
+SELECT c, support, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM m"""
+
+ENCODE3 = "CAST(CASE {b} WHEN 'least' THEN 0 WHEN 'right' THEN 1 WHEN 'left' THEN 2 ELSE 0 END AS INTEGER)"
+ENCODE5 = ("CAST(CASE {b} WHEN 'least' THEN 0 WHEN 'right' THEN 1 WHEN 'left' THEN 2 WHEN 'right-center' THEN 3 "
+           "WHEN 'left-center' THEN 4 ELSE 0 END AS INTEGER)")
+DECODE3 = "CASE {c} WHEN 0 THEN 'least' WHEN 1 THEN 'right' WHEN 2 THEN 'left' ELSE 'Invalid predicted label' END"
+MERGED_FILLED = f"SELECT article_id, coalesce(bias, '') AS bias FROM ({MERGED})"
+
+ORACLES.update({
+    "fit_tagger": f"""
+WITH tk AS (SELECT doc_id, {S.tokens(S.t6('text'))} AS toks FROM documents),
+lng AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM tk),
+tg AS (SELECT doc_id, pos, tok, {S.rule_tag('tok')} AS tag FROM lng),
+ctx AS (SELECT tok, CASE WHEN lag(tag) OVER w = 'DT' AND tag IN {S.in_list(_L.VERB_TAGS)} THEN 'NN'
+                         WHEN lag(tag) OVER w IN ('TO', 'MD') AND tag = 'NN' THEN 'VB' ELSE tag END AS tag
+        FROM tg WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+cnt AS (SELECT tok, tag, count(*) AS n FROM ctx GROUP BY tok, tag),
+best AS (SELECT tok, tag, n, CAST(sum(n) OVER (PARTITION BY tok) AS BIGINT) AS total,
+                row_number() OVER (PARTITION BY tok ORDER BY n DESC, tag) AS rn FROM cnt)
+SELECT tok, tag, n, total FROM best WHERE rn = 1""",
+    "hash_split": f"SELECT article_id, {BUCKET.format(id='article_id')} AS bucket, "
+                  f"{BUCKET.format(id='article_id')} < 20 AS is_test FROM ({RELABELLED})",
+    "hash_split_dl": f"SELECT article_id, {BUCKET.format(id='article_id')} AS bucket, "
+                     f"{BUCKET.format(id='article_id')} < 10 AS is_eval FROM ({RELABELLED})",
+    "knn_predict": KNN,
+    "accuracy": f"SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({KNN})",
+    "confusion": f"SELECT label, prediction, count(*) AS n FROM ({KNN}) GROUP BY label, prediction",
+    "class_report": f"""
+WITH m AS ({PER_CLASS})
+SELECT c AS class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM m
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6),
+                 round(sum(f * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m""",
+    "weighted_prf": f"""
+WITH m AS ({PER_CLASS})
+SELECT round(sum(p * support) / sum(support), 6) AS precision, round(sum(r * support) / sum(support), 6) AS recall,
+       round(sum(f * support) / sum(support), 6) AS f1_score FROM m""",
+    "label_encode": f"SELECT article_id, bias, {ENCODE3.format(b='bias')} AS labels FROM ({RELABELLED})",
+    "five_class": f"SELECT article_id, bias, {ENCODE5.format(b='bias')} AS labels FROM ({MERGED_FILLED})",
+    "label_decode": f"SELECT article_id, {ENCODE5.format(b='bias')} AS labels, "
+                    f"{DECODE3.format(c=ENCODE5.format(b='bias'))} AS predicted_label FROM ({MERGED_FILLED})",
+    "vocab_encode": f"""
+WITH t AS (SELECT doc_id, {S.t13('text')} AS ct FROM documents),
+w AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS token
+      FROM (SELECT doc_id, list_filter(string_split_regex(ct, {S.lit(_P.WS_RUN)}), lambda x: x <> '') AS ws FROM t)),
+cnt AS (SELECT token, count(*) AS n FROM w GROUP BY token),
+ranked AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rk FROM cnt),
+vocab AS (SELECT token, rk + 3 AS id FROM ranked WHERE rk <= 30000),
+enc AS (SELECT w.doc_id, w.pos, coalesce(v.id, 1) AS id FROM w LEFT JOIN vocab v ON w.token = v.token WHERE w.pos < 510),
+agg AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS body, count(*) AS nb FROM enc GROUP BY doc_id)
+SELECT t.doc_id, '2' || coalesce(' ' || body, '') || ' 3' || repeat(' 0', CAST(510 - coalesce(nb, 0) AS INTEGER)) AS ids_text,
+       CAST(coalesce(nb, 0) + 2 AS INTEGER) AS n_tokens
+FROM t LEFT JOIN agg ON t.doc_id = agg.doc_id""",
+})

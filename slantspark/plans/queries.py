@@ -208,3 +208,118 @@ def conversation_features(spark, sf_dir):
     c = T.text_table(spark, sf_dir, "conversations", "conv_id")
     base = c.select("conv_id", "turn", F.col("text").alias("article_text"))
     return FE.extract_features(base, "article_text", keep=["conv_id", "turn"])
+
+
+# --- tagger job (K2 fit) ---------------------------------------------------------------------
+
+@query
+def fit_tagger(spark, sf_dir):
+    """K2 fit on a derived tagged corpus: every document token with its context tag."""
+    from slantspark.operators import annotate as K
+    d = documents(spark, sf_dir).select("doc_id", K.tokenize(TX.preprocess_features("text")).alias("tok"))
+    d = d.select("tok", K.pos_tags("tok").alias("rule_tag"))          # tags computed once per row
+    d = d.select("tok", K.context_tags("rule_tag").alias("tag"))
+    tagged = d.select(F.explode(F.arrays_zip("tok", "tag")).alias("z")).select("z.tok", "z.tag")
+    return K.fit_tagger(tagged)
+
+
+# --- splits (M1, M2) ----------------------------------------------------------------------------
+
+@query
+def hash_split(spark, sf_dir):
+    """M1: 80/20 bucket of every labelled article."""
+    from slantspark.operators import split as SP
+    b = SP.bucket("article_id")
+    return DS.relabelled(spark, sf_dir).select("article_id", b.alias("bucket"), (b < 20).alias("is_test"))
+
+
+@query
+def hash_split_dl(spark, sf_dir):
+    """M2: 90/10 bucket."""
+    from slantspark.operators import split as SP
+    b = SP.bucket("article_id")
+    return DS.relabelled(spark, sf_dir).select("article_id", b.alias("bucket"), (b < 10).alias("is_eval"))
+
+
+# --- exact KNN and metrics (M5, A1-A4) -----------------------------------------------------------
+
+def knn_scored(spark, sf_dir) -> DataFrame:
+    from slantspark.operators import knn as KN
+    from slantspark.operators import split as SP
+    from slantspark.session import cut_lineage
+    # 28 numeric columns per article: cheap to checkpoint, and KNN reads it three times.
+    ft = cut_lineage(DS.features(spark, sf_dir).where(F.col("label") != ""))
+    train, test = SP.train_test_split(ft, "article_id", 20)
+    return KN.knn_predict(train, test, FE.FEATURE_COLUMNS, "article_id", "label", k=5)
+
+
+@query
+def knn_predict(spark, sf_dir):
+    """M5 + M7: exact 5-NN (Euclidean, unscaled, uniform vote) for the 20 % test split."""
+    return knn_scored(spark, sf_dir)
+
+
+@query
+def accuracy(spark, sf_dir):
+    """A1 on the KNN predictions."""
+    from slantspark.operators import metrics as A
+    return A.accuracy(knn_scored(spark, sf_dir)).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query
+def confusion(spark, sf_dir):
+    """A2 (long form) on the KNN predictions."""
+    from slantspark.operators import metrics as A
+    return A.confusion_long(knn_scored(spark, sf_dir))
+
+
+@query
+def class_report(spark, sf_dir):
+    """A3 on the KNN predictions."""
+    from slantspark.operators import metrics as A
+    return A.classification_report(knn_scored(spark, sf_dir))
+
+
+@query
+def weighted_prf(spark, sf_dir):
+    """A4 on the KNN predictions."""
+    from slantspark.operators import metrics as A
+    return A.weighted_prf(knn_scored(spark, sf_dir))
+
+
+# --- label codes and token ids (M11-M14) -----------------------------------------------------------
+
+@query
+def label_encode(spark, sf_dir):
+    """Three-class codes of the relabelled table."""
+    from slantspark.operators import textclf as TC
+    r = DS.relabelled(spark, sf_dir)
+    return r.select("article_id", "bias", TC.encode_label(F.col("bias"), 3).alias("labels"))
+
+
+@query
+def five_class(spark, sf_dir):
+    """Five-class codes of the merged table (centre biases kept)."""
+    from slantspark.operators import textclf as TC
+    m = DS.merged(spark, sf_dir).na.fill("", subset=["bias"])
+    return m.select("article_id", "bias", TC.encode_label(F.col("bias"), 5).alias("labels"))
+
+
+@query
+def label_decode(spark, sf_dir):
+    """Five-class codes decoded with the three-class names (3, 4 -> invalid)."""
+    from slantspark.operators import textclf as TC
+    m = DS.merged(spark, sf_dir).na.fill("", subset=["bias"])
+    code = TC.encode_label(F.col("bias"), 5)
+    return m.select("article_id", code.alias("labels"), TC.decode_label(code, 3).alias("predicted_label"))
+
+
+@query
+def vocab_encode(spark, sf_dir):
+    """Vocabulary job + fixed-length id encoding of every document (ids as text)."""
+    from slantspark.operators import textclf as TC
+    t = documents(spark, sf_dir).select("doc_id", TX.preprocess_text_classifier("text").alias("clean_text"))
+    vocab = TC.vocabulary(t, "clean_text", 30_000)
+    enc = TC.vocab_encode(t, "doc_id", vocab, "clean_text", 512)
+    return enc.select("doc_id", F.array_join("input_ids", " ").alias("ids_text"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"))
