@@ -170,3 +170,19 @@ SELECT t.doc_id, '2' || coalesce(' ' || body, '') || ' 3' || repeat(' 0', CAST(5
        CAST(coalesce(nb, 0) + 2 AS INTEGER) AS n_tokens
 FROM t LEFT JOIN agg ON t.doc_id = agg.doc_id""",
 })
+
+# --- sources -------------------------------------------------------------------------------------
+
+_FIRST_WORD = S.lit(__import__("slantspark.sources.xml", fromlist=["FIRST_WORD"]).FIRST_WORD)
+LEAD_TEXT = (f"array_to_string(list_transform(string_split(text, chr(10)), lambda p: "
+             f"CASE WHEN regexp_matches(p, {_FIRST_WORD}) THEN regexp_extract(p, {_FIRST_WORD}, 1) ELSE p END), '')")
+
+ORACLES.update({
+    "xml_articles": f"SELECT CAST(doc_id AS VARCHAR) AS article_id, coalesce(source, '') AS title, '' AS published_at, "
+                    f"{LEAD_TEXT} AS article_text FROM documents",
+    "xml_articles_full": "SELECT CAST(doc_id AS VARCHAR) AS article_id, coalesce(source, '') AS title, '' AS published_at, "
+                         "replace(text, chr(10), '') AS article_text FROM documents",
+    "xml_truth": TRUTH_RAW,
+    "tsv_roundtrip": ARTICLES_RAW,
+    "csv_roundtrip": RELABELLED,
+})

@@ -323,3 +323,152 @@ def vocab_encode(spark, sf_dir):
     enc = TC.vocab_encode(t, "doc_id", vocab, "clean_text", 512)
     return enc.select("doc_id", F.array_join("input_ids", " ").alias("ids_text"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"))
+
+
+# --- sources and sinks (S1-S7) -----------------------------------------------------------------
+
+def _scratch(spark, name: str) -> str:
+    from slantspark.session import scratch_path
+    return scratch_path(spark, name)
+
+
+@query
+def xml_articles(spark, sf_dir):
+    """S1 + S2 (lead mode): documents written as article XML, scanned back, text extracted."""
+    from slantspark.sources import xml as X
+    path = X.write_articles_xml(T.articles_raw(spark, sf_dir), _scratch(spark, "articles-xml"))
+    return X.read_articles(spark, path, mode="lead")
+
+
+@query
+def xml_articles_full(spark, sf_dir):
+    """S1 + S2 (full mode, document order, tails kept; JVM xpath)."""
+    from slantspark.sources import xml as X
+    path = X.write_articles_xml(T.articles_raw(spark, sf_dir), _scratch(spark, "articles-xml"))
+    return X.read_articles(spark, path, mode="full")
+
+
+@query
+def xml_truth(spark, sf_dir):
+    """S3: ground truth written with the XML writer (self-closing rows) and scanned back."""
+    from slantspark.sources import xml as X
+    path = X.write_truth_xml(T.ground_truth_raw(spark, sf_dir), _scratch(spark, "truth-xml"))
+    return X.read_truth(spark, path)
+
+
+@query
+def tsv_roundtrip(spark, sf_dir):
+    """S4 + S5: the raw article table through quoted TSV (texts keep newlines and tabs)."""
+    from slantspark.sources import delimited as D
+    path = D.write_tsv(T.articles_raw(spark, sf_dir), _scratch(spark, "articles-tsv"))
+    return D.read_tsv(spark, path, D.ARTICLES_RAW_SCHEMA)
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    """S6 + S7: the relabelled merged table through CSV with an explicit schema."""
+    from slantspark.sources import delimited as D
+    path = D.write_csv(DS.relabelled(spark, sf_dir), _scratch(spark, "merged-csv"))
+    return D.read_csv(spark, path, D.MERGED_SCHEMA)
+
+
+# --- learned models (M3, M4, M6-M10, M15-M17, S11, S12, A5, A6): rows-only checks ------------------
+
+def _feature_split(spark, sf_dir):
+    from slantspark.operators import split as SP
+    from slantspark.session import cut_lineage
+    ft = cut_lineage(DS.features(spark, sf_dir).where(F.col("label") != ""))
+    return SP.train_test_split(ft, "article_id", 20)
+
+
+def _fit(spark, sf_dir, name: str):
+    from slantspark.operators import models as MD
+    train, test = _feature_split(spark, sf_dir)
+    return MD.fit_all(train, (name,))[name], test
+
+
+@query
+def rf_predict(spark, sf_dir):
+    """M3 + M7 + M10 + T14: forest predictions and 'label,p0,p1,p2' for the test split."""
+    from slantspark.functions.text import format_prediction
+    from slantspark.operators import models as MD
+    model, test = _fit(spark, sf_dir, "RandomForest")
+    scored = MD.predict(model, test)
+    return scored.select("article_id", "label", F.col("predicted_label").alias("prediction"),
+                         format_prediction(F.col("predicted_label"), F.col("probability")).alias("result"))
+
+
+@query
+def dt_predict(spark, sf_dir):
+    """M4 + M7."""
+    from slantspark.operators import models as MD
+    model, test = _fit(spark, sf_dir, "DecisionTree")
+    return MD.predict(model, test).select("article_id", "label", F.col("predicted_label").alias("prediction"))
+
+
+@query
+def model_eval(spark, sf_dir):
+    """M6 + M8: both tree models fitted on one cached frame, accuracy and weighted P/R/F1 each."""
+    from slantspark.operators import models as MD
+    train, test = _feature_split(spark, sf_dir)
+    return MD.evaluate(MD.fit_all(train), test)
+
+
+@query
+def predict_text(spark, sf_dir):
+    """M9: every conversation turn scored by the forest (raw text -> features -> class + probabilities)."""
+    from slantspark.operators import models as MD
+    model, _ = _fit(spark, sf_dir, "RandomForest")
+    c = T.text_table(spark, sf_dir, "conversations", "conv_id").select("conv_id", "turn", F.col("text").alias("article_text"))
+    return MD.predict_text(model, c, "article_text", keep=["conv_id", "turn"])
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """S11 + S12: save the forest to the shared folder, open it, predictions must agree."""
+    from slantspark.operators import models as MD
+    model, test = _fit(spark, sf_dir, "RandomForest")
+    path = MD.save_model(model, _scratch(spark, "rf-model"))
+    loaded = MD.open_model(path)
+    a = MD.predict(model, test).select("article_id", F.col("predicted_label").alias("prediction"))
+    b = MD.predict(loaded, test).select("article_id", F.col("predicted_label").alias("reloaded"))
+    return a.join(b, "article_id").withColumn("same", F.col("prediction") == F.col("reloaded"))
+
+
+@query
+def argmax_class(spark, sf_dir):
+    """Arg max of the forest's probability vector equals its prediction index."""
+    from pyspark.ml.functions import vector_to_array
+
+    from slantspark.operators import metrics as A
+    from slantspark.operators import models as MD
+    model, test = _fit(spark, sf_dir, "RandomForest")
+    scored = MD.predict(model, test)
+    return scored.select("article_id", A.argmax(vector_to_array("probability")).alias("argmax"),
+                         F.col("prediction").cast("int").alias("prediction_index"))
+
+
+def _textclf(spark, sf_dir):
+    from slantspark.operators import split as SP
+    from slantspark.operators import textclf as TC
+    from slantspark.session import cut_lineage
+    data = cut_lineage(TC.prepare(DS.relabelled(spark, sf_dir)).select("article_id", "clean_text", "labels"))
+    train, evl = SP.train_eval_split(data, "article_id")
+    return TC.train(train, max_iter=30), evl
+
+
+@query
+def textclf_eval(spark, sf_dir):
+    """M15 + M16 + A5: text model trained on 90 %, loss/accuracy/weighted P/R/F1 on the other 10 %."""
+    from slantspark.operators import textclf as TC
+    model, evl = _textclf(spark, sf_dir)
+    return TC.evaluate(model, evl)
+
+
+@query
+def textclf_predict(spark, sf_dir):
+    """M17 + M12: every conversation turn -> class code -> class name."""
+    from slantspark.operators import textclf as TC
+    model, _ = _textclf(spark, sf_dir)
+    c = T.text_table(spark, sf_dir, "conversations", "conv_id")
+    return TC.predict(model, c, "text", keep=["conv_id", "turn"])
