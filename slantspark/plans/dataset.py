@@ -12,6 +12,7 @@ files (merged table, feature table) as parquet under the shared folder.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slantspark.operators import features as FE
 from slantspark.operators import prepare as PR
@@ -35,9 +36,31 @@ def relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.relabelled(merged(spark, sf_dir))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F27 over the relabelled merged table."""
-    return FE.feature_table(relabelled(spark, sf_dir))
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, label): the relabelled bias of every valid ground-truth row."""
+    t = PR.relabel(PR.clean_truth(truth(spark, sf_dir)).na.fill("", subset=["bias"]), "bias")
+    return t.select("article_id", F.col("bias").alias("label"))
+
+
+def features(spark: SparkSession, sf_dir: str, broadcast_rows: int | None = None) -> DataFrame:
+    """F27 over the relabelled merged table, without ever shuffling article text.
+
+    * label side within ``PR.BROADCAST_LABEL_ROWS`` (row count checked with one
+      cheap job): the labels are broadcast, articles are probed in place and
+      only labelled articles are featurised;
+    * larger: the 26 features are computed on the scan partitions first and
+      only the 28-column rows are shuffled to meet the labels.
+
+    Both give the same rows and values (duplicate ids multiply either way).
+    """
+    arts = PR.clean_articles(articles(spark, sf_dir))
+    lab = labels(spark, sf_dir)
+    if PR.fits_broadcast(lab, broadcast_rows):
+        merged_text = arts.join(F.broadcast(lab), "article_id", "inner")
+        return FE.extract_features(merged_text, "article_text", keep=["label", "article_id"])
+    feats = FE.extract_features(arts, "article_text", keep=["article_id"])
+    return (feats.join(lab, "article_id", "inner")
+            .select("label", "article_id", *FE.FEATURE_COLUMNS))
 
 
 def build(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[str, str]:

@@ -186,3 +186,5 @@ ORACLES.update({
     "tsv_roundtrip": ARTICLES_RAW,
     "csv_roundtrip": RELABELLED,
 })
+
+ORACLES["stream_features"] = ORACLES["all_doc_features"]

@@ -472,3 +472,28 @@ def textclf_predict(spark, sf_dir):
     model, _ = _textclf(spark, sf_dir)
     c = T.text_table(spark, sf_dir, "conversations", "conv_id")
     return TC.predict(model, c, "text", keep=["conv_id", "turn"])
+
+
+# --- streaming (stateless, readStream -> features / scoring -> file sink) ---------------------------
+
+@query
+def stream_features(spark, sf_dir):
+    """The feature path on ``readStream`` over the documents files; equals the batch result."""
+    from slantspark.streaming import score as ST
+    schema = T.table(spark, sf_dir, "documents").schema
+    stream = ST.read_text_stream(spark, sf_dir, schema, "documents.parquet")
+    out = ST.run_to_parquet(ST.feature_stream(stream, "doc_id", "text"), _scratch(spark, "stream-features"),
+                            _scratch(spark, "stream-features-ckpt"))
+    return spark.read.parquet(out).select("doc_id", *FE.FEATURE_COLUMNS)
+
+
+@query
+def stream_score(spark, sf_dir):
+    """M9 on a stream: conversation turns scored by the batch-trained forest."""
+    from slantspark.streaming import score as ST
+    model, _ = _fit(spark, sf_dir, "RandomForest")
+    schema = T.table(spark, sf_dir, "conversations").schema
+    stream = ST.read_text_stream(spark, sf_dir, schema, "conversations.parquet").withColumn("turn_key", F.col("conv_id") * 1000000 + F.col("turn"))
+    out = ST.run_to_parquet(ST.score_stream(model, stream, "turn_key", "text"), _scratch(spark, "stream-score"),
+                            _scratch(spark, "stream-score-ckpt"))
+    return spark.read.parquet(out)
