@@ -21,8 +21,6 @@ Every group is bounded by ``block_rows`` per side, whatever the data size.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -63,16 +61,21 @@ def _local_topk(k: int, n_feat: int):
 
 def knn_candidates(train: DataFrame, test: DataFrame, features: list[str], id_col: str, label_col: str,
                    k: int = 5, block_rows: int = 20_000) -> DataFrame:
-    """(test_id, train_id, train_label, dist, rank) for the k nearest train rows of every test row."""
+    """(test_row, train_id, train_label, dist, rank) for the k nearest train rows of every test row.
+
+    Blocks are assigned per row, not per id, so a duplicated or hot id cannot
+    overfill a block.  ``test_row`` is a row key (``monotonically_increasing_id``),
+    stable because callers pass a materialised (checkpointed) input.
+    """
     n_train, n_test = train.count(), test.count()
     rb = max(1, math.ceil(n_train / block_rows))
     tb = max(1, math.ceil(n_test / block_rows))
     vec = F.array(*[F.col(c).cast("double") for c in features])
     tr = (train.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), vec.alias("f"),
-                       F.pmod(F.xxhash64(id_col), F.lit(rb)).alias("rblk"))
+                       F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(rb)).alias("rblk"))
           .withColumn("tblk", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)))))
-    te = (test.select(F.col(id_col).cast("long").alias("id"), vec.alias("f"),
-                      F.pmod(F.xxhash64(id_col), F.lit(tb)).alias("tblk"))
+    te = (test.select(F.col("_row").alias("id"), vec.alias("f"),
+                      F.pmod(F.xxhash64(F.col("_row")), F.lit(tb)).alias("tblk"))
           .withColumn("rblk", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
     cand = (tr.groupBy("tblk", "rblk").cogroup(te.groupBy("tblk", "rblk"))
             .applyInPandas(_local_topk(k, len(features)), CANDIDATE_SCHEMA))
@@ -90,10 +93,8 @@ def vote(candidates: DataFrame) -> DataFrame:
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], id_col: str, label_col: str,
                 k: int = 5, block_rows: int = 20_000) -> DataFrame:
     """(id, label, prediction) for every test row (M5 + M7)."""
+    test = test.withColumn("_row", F.monotonically_increasing_id())
     pred = vote(knn_candidates(train, test, features, id_col, label_col, k, block_rows))
-    return (test.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col))
-            .join(pred.withColumnRenamed("test_id", id_col), id_col, "left"))
-
+    return (test.select("_row", F.col(id_col).cast("long").alias(id_col), F.col(label_col))
+            .join(pred.withColumnRenamed("test_id", "_row"), "_row", "left").drop("_row"))
 
-def feature_order(features: Iterable[str]) -> list[str]:
-    return list(features)
