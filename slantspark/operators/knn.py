@@ -26,75 +26,86 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATE_SCHEMA = "test_id long, train_id long, train_label string, dist double"
+CANDIDATE_SCHEMA = ("test_row long, test_id long, test_label string, train_id long, train_label string, "
+                    "dist double")
+
+
+def _empty_candidates() -> pd.DataFrame:
+    return pd.DataFrame({"test_row": pd.Series([], dtype="int64"), "test_id": pd.Series([], dtype="int64"),
+                         "test_label": pd.Series([], dtype="object"), "train_id": pd.Series([], dtype="int64"),
+                         "train_label": pd.Series([], dtype="object"), "dist": pd.Series([], dtype="float64")})
 
 
 def _local_topk(k: int, n_feat: int):
+    """k nearest train rows (ties: smallest train id) of every test row in one block pair."""
     def run(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
         if train.empty or test.empty:
-            return pd.DataFrame({"test_id": pd.Series([], dtype="int64"), "train_id": pd.Series([], dtype="int64"),
-                                 "train_label": pd.Series([], dtype="object"), "dist": pd.Series([], dtype="float64")})
+            return _empty_candidates()
         a = np.stack(test["f"].to_numpy()).astype(np.float64).reshape(len(test), n_feat)
         b = np.stack(train["f"].to_numpy()).astype(np.float64).reshape(len(train), n_feat)
         train_ids = train["id"].to_numpy(np.int64)
-        order = np.argsort(train_ids, kind="stable")          # ties -> smallest train id
+        order = np.argsort(train_ids, kind="stable")
         b, train_ids = b[order], train_ids[order]
         labels = train["label"].to_numpy(object)[order]
+        kk = min(k, len(train))
         out = []
-        step = max(1, 4_000_000 // max(1, len(train)))          # bound the distance block in memory
+        step = max(1, 4_000_000 // len(train))                  # bound the distance block in memory
         for s in range(0, len(test), step):
             blk = a[s:s + step]
             d = np.zeros((len(blk), len(train)), dtype=np.float64)
             for j in range(n_feat):                               # left-to-right sum, like the SQL
                 diff = blk[:, j][:, None] - b[:, j][None, :]
                 d += diff * diff
-            kk = min(k, len(train))
-            idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
+            idx = np.argsort(d, axis=1, kind="stable")[:, :kk]    # stable: equal distances keep id order
             rows = np.repeat(np.arange(len(blk)), kk)
             cols = idx.reshape(-1)
-            out.append(pd.DataFrame({"test_id": test["id"].to_numpy(np.int64)[s:s + step][rows],
-                                     "train_id": train_ids[cols], "train_label": labels[cols],
-                                     "dist": d[rows, cols]}))
+            sel = test.iloc[s:s + step]
+            out.append(pd.DataFrame({
+                "test_row": sel["row"].to_numpy(np.int64)[rows], "test_id": sel["id"].to_numpy(np.int64)[rows],
+                "test_label": sel["label"].to_numpy(object)[rows], "train_id": train_ids[cols],
+                "train_label": labels[cols], "dist": d[rows, cols]}))
         return pd.concat(out, ignore_index=True)
     return run
 
 
 def knn_candidates(train: DataFrame, test: DataFrame, features: list[str], id_col: str, label_col: str,
-                   k: int = 5, block_rows: int = 20_000) -> DataFrame:
-    """(test_row, train_id, train_label, dist, rank) for the k nearest train rows of every test row.
+                   k: int = 5, block_rows: int = 20_000, min_test_block: int = 64) -> DataFrame:
+    """Per test row: its id, label and the k nearest train rows found in each train block.
 
     Blocks are assigned per row, not per id, so a duplicated or hot id cannot
-    overfill a block.  ``test_row`` is a row key (``monotonically_increasing_id``),
-    stable because callers pass a materialised (checkpointed) input.
+    overfill a block.  Test rows are keyed by ``monotonically_increasing_id``
+    (stable because callers pass a materialised table).
     """
     n_train, n_test = train.count(), test.count()
     rb = max(1, math.ceil(n_train / block_rows))
-    tb = max(1, math.ceil(n_test / block_rows))
+    # Enough test blocks to keep every core busy even when the data is small.
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    tb = max(1, math.ceil(n_test / block_rows), min(cores, math.ceil(n_test / min_test_block)))
     vec = F.array(*[F.col(c).cast("double") for c in features])
     tr = (train.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), vec.alias("f"),
                        F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(rb)).alias("rblk"))
           .withColumn("tblk", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)))))
-    te = (test.select(F.col("_row").alias("id"), vec.alias("f"),
-                      F.pmod(F.xxhash64(F.col("_row")), F.lit(tb)).alias("tblk"))
+    te = (test.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
+                      F.col(label_col).alias("label"), vec.alias("f"))
+          .withColumn("tblk", F.pmod(F.xxhash64("row"), F.lit(tb)))
           .withColumn("rblk", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
-    cand = (tr.groupBy("tblk", "rblk").cogroup(te.groupBy("tblk", "rblk"))
+    return (tr.groupBy("tblk", "rblk").cogroup(te.groupBy("tblk", "rblk"))
             .applyInPandas(_local_topk(k, len(features)), CANDIDATE_SCHEMA))
-    w = Window.partitionBy("test_id").orderBy("dist", "train_id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def vote(candidates: DataFrame) -> DataFrame:
-    """Majority label per test id; ties to the smallest label."""
-    counts = candidates.groupBy("test_id", "train_label").agg(F.count("*").alias("n"))
-    best = counts.groupBy("test_id").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("train_label").alias("l"))).alias("m"))
-    return best.select("test_id", F.col("m.l").alias("prediction"))
 
 
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], id_col: str, label_col: str,
                 k: int = 5, block_rows: int = 20_000) -> DataFrame:
-    """(id, label, prediction) for every test row (M5 + M7)."""
-    test = test.withColumn("_row", F.monotonically_increasing_id())
-    pred = vote(knn_candidates(train, test, features, id_col, label_col, k, block_rows))
-    return (test.select("_row", F.col(id_col).cast("long").alias(id_col), F.col(label_col))
-            .join(pred.withColumnRenamed("test_id", "_row"), "_row", "left").drop("_row"))
+    """(id, label, prediction) for every test row (M5 + M7).
 
+    One aggregation per test row merges the <= k x train-blocks candidates:
+    sort by (distance, train id), keep k, majority vote with ties to the
+    smallest label.
+    """
+    cand = knn_candidates(train, test, features, id_col, label_col, k, block_rows)
+    per_row = cand.groupBy("test_row").agg(
+        F.first("test_id").alias(id_col), F.first("test_label").alias(label_col),
+        F.slice(F.array_sort(F.collect_list(F.struct("dist", "train_id", "train_label"))), 1, k).alias("top"))
+    labels = F.transform("top", lambda c: c["train_label"])
+    scored = F.transform(F.array_distinct(labels), lambda lab: F.struct(
+        (-F.size(F.filter(labels, lambda x: x == lab))).alias("neg_votes"), lab.alias("label")))
+    return per_row.select(id_col, label_col, F.array_min(scored)["label"].alias("prediction"))

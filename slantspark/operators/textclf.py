@@ -70,7 +70,7 @@ def prepare(df: DataFrame, text_col: str = "article_text", label_col: str = "bia
                      encode_label(F.col(label_col), n_labels).alias("labels"))
 
 
-def pipeline(num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.0) -> Pipeline:
+def pipeline(num_features: int = 1 << 16, max_iter: int = 50, reg: float = 0.0) -> Pipeline:
     """The text model."""
     return Pipeline(stages=[
         Tokenizer(inputCol="clean_text", outputCol="words"),

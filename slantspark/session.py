@@ -54,10 +54,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    Same guarantee as a reliable ``checkpoint()`` (survives executor loss, cuts
+    lineage) but computes the input once (``RDD.checkpoint`` recomputes it
+    unless persisted) and stores it columnar, so later column pruning works.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
