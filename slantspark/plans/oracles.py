@@ -188,3 +188,18 @@ ORACLES.update({
 })
 
 ORACLES["stream_features"] = ORACLES["all_doc_features"]
+
+ORACLES.update({
+    "confusion_wide": f"""
+WITH k AS ({KNN})
+SELECT label, CAST(count(*) FILTER (WHERE prediction = 'least') AS BIGINT) AS least,
+       CAST(count(*) FILTER (WHERE prediction = 'left') AS BIGINT) AS "left",
+       CAST(count(*) FILTER (WHERE prediction = 'right') AS BIGINT) AS "right"
+FROM k GROUP BY label""",
+    "apply_tagger": f"""
+WITH lex AS ({ORACLES['fit_tagger']}),
+ct AS (SELECT conv_id * 1000000 + turn AS k, {S.tokens(S.t6('text'))} AS toks FROM conversations),
+lng AS (SELECT k, unnest(toks) AS tok FROM ct)
+SELECT coalesce(lex.tag, {S.rule_tag('lng.tok')}) AS tag, count(*) AS n
+FROM lng LEFT JOIN lex ON lng.tok = lex.tok GROUP BY 1""",
+})

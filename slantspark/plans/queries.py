@@ -497,3 +497,36 @@ def stream_score(spark, sf_dir):
     out = ST.run_to_parquet(ST.score_stream(model, stream, "turn_key", "text"), _scratch(spark, "stream-score"),
                             _scratch(spark, "stream-score-ckpt"))
     return spark.read.parquet(out)
+
+
+# --- further operator queries ------------------------------------------------------------------------
+
+@query
+def confusion_wide(spark, sf_dir):
+    """A2 (matrix form): one row per true label, one count column per predicted class."""
+    from slantspark.operators import metrics as A
+    return A.confusion_matrix(knn_scored(spark, sf_dir), ["least", "left", "right"])
+
+
+@query
+def apply_tagger(spark, sf_dir):
+    """K2 apply: the lexicon fitted on documents tags every conversation token
+    (learned tag where known, rule tag otherwise); tag frequencies."""
+    from slantspark.operators import annotate as K
+    lexicon = fit_tagger(spark, sf_dir)
+    conv = T.text_table(spark, sf_dir, "conversations", "conv_id").withColumn(
+        "key", F.col("conv_id") * 1000000 + F.col("turn"))
+    toks = K.token_table(conv.select("key", TX.preprocess_features("text").alias("t")), "key", "t")
+    return K.apply_tagger(toks, lexicon).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query
+def textclf_eval_5(spark, sf_dir):
+    """M13 five-class variant of the text model (centre biases kept as classes 3 and 4)."""
+    from slantspark.operators import split as SP
+    from slantspark.operators import textclf as TC
+    from slantspark.session import cut_lineage
+    merged = DS.merged(spark, sf_dir).na.fill("", subset=["bias"])
+    data = cut_lineage(TC.prepare(merged, n_labels=5).select("article_id", "clean_text", "labels"))
+    train, evl = SP.train_eval_split(data, "article_id")
+    return TC.evaluate(TC.train(train, max_iter=30), evl, n_labels=5)

@@ -61,3 +61,17 @@ def test_feature_table_label_defaults(spark):
     row = FE.feature_table(df).collect()[0]
     assert row["label"] == "Unknown" and row["article_id"] is None
     assert FE.feature_table(df).columns == ["label", "article_id", *FE.FEATURE_COLUMNS]
+
+
+def test_pluggable_annotator(spark):
+    def simple(texts):
+        out = []
+        for t in texts:
+            toks = t.split()
+            out.append({"tokens": toks, "tags": ["NN"] * len(toks), "is_stop": [w == "the" for w in toks],
+                        "sentences": 1 if toks else 0, "entities": [], "noun_chunks": toks})
+        return out
+    df = spark.createDataFrame([(1, "the cat sat"), (2, "")], "doc_id long, article_text string")
+    rows = {r["doc_key"]: r for r in K.annotate_with(df, "doc_id", "article_text", simple).collect()}
+    assert rows[1]["tokens"] == ["the", "cat", "sat"] and rows[1]["is_stop"] == [True, False, False]
+    assert rows[2]["sentences"] == 0
