@@ -61,42 +61,88 @@ def starts_with_digit(x: Column) -> Column:
     return (x >= F.lit("0")) & (x < F.lit(":"))
 
 
-def rule_tag(x: Column) -> Column:
+def rule_tag(x: Column, out=None) -> Column:
     """Penn tag for one lowercase token: lexicon, number, punctuation, suffix, default NN.
 
     Runs per token inside ``transform`` (interpreted), so the common paths are
     kept short: one hash-set probe decides lexicon membership, a digit test is
     two string comparisons, and suffix rules are grouped by last character.
+    ``out`` maps each tag constant to the emitted value (see ``rule_code``).
     """
+    if out is not None:
+        _lit = F.lit
+        lit = lambda t: _lit(out(t))
+    else:
+        lit = F.lit
     by_tag = _tags_by_word()
     all_words = [w for words in by_tag.values() for w in words]
     lex = None
     for tag, words in by_tag.items():
         cond = x.isin(words)
-        lex = F.when(cond, F.lit(tag)) if lex is None else lex.when(cond, F.lit(tag))
+        lex = F.when(cond, lit(tag)) if lex is None else lex.when(cond, lit(tag))
     punct = None
     for ch, tag in L.PUNCT_TAGS.items():
-        punct = F.when(x == F.lit(ch), F.lit(tag)) if punct is None else punct.when(x == F.lit(ch), F.lit(tag))
+        punct = F.when(x == F.lit(ch), lit(tag)) if punct is None else punct.when(x == F.lit(ch), lit(tag))
     suffix = None
     for last, rules in suffix_groups().items():
         inner = None
         for sfx, tag in rules:
             cond = x.endswith(sfx) & (F.length(x) >= len(sfx) + 2)
-            inner = F.when(cond, F.lit(tag)) if inner is None else inner.when(cond, F.lit(tag))
-        inner = inner.otherwise(F.lit("NN"))
+            inner = F.when(cond, lit(tag)) if inner is None else inner.when(cond, lit(tag))
+        inner = inner.otherwise(lit("NN"))
         cond = x.endswith(last)
         suffix = F.when(cond, inner) if suffix is None else suffix.when(cond, inner)
     return (F.when(x.isin(all_words), lex)
-            .when(starts_with_digit(x), F.lit("CD"))
+            .when(starts_with_digit(x), lit("CD"))
             .when(x.isin(list(L.PUNCT_TAGS)), punct)
-            .when((F.length(x) == 1) & x.rlike("^[^" + P.WORD_CLASS + "]$"), F.lit("SYM"))
-            .when(F.length(x) < 3, F.lit("NN"))
-            .otherwise(suffix.otherwise(F.lit("NN"))))
+            .when((F.length(x) == 1) & x.rlike("^[^" + P.WORD_CLASS + "]$"), lit("SYM"))
+            .when(F.length(x) < 3, lit("NN"))
+            .otherwise(suffix.otherwise(lit("NN"))))
 
 
 def pos_tags(tokens) -> Column:
     """K2 over a token array (narrow, per row)."""
-    return F.transform(_c(tokens), rule_tag)
+    return F.transform(_c(tokens), lambda x: rule_tag(x))
+
+
+# One character per tag group, used by the feature path.  Letters are chosen so
+# the noun-phrase classes form the contiguous range J..N:
+#   J adjective  K possessive pronoun (also a determiner)  L determiner / number
+#   M personal pronoun (also a noun-phrase head)  N noun
+#   C coordinating conjunction  O other  R adverb  V verb  W wh-pronoun
+NP_FIRST, NP_LAST, NP_HEAD_FIRST = "J", "N", "M"
+
+
+def tag_group(tag: str) -> str:
+    if tag in L.VERB_TAGS:
+        return "V"
+    if tag in L.NOUN_TAGS:
+        return "N"
+    if tag in L.ADJ_TAGS:
+        return "J"
+    if tag in L.ADV_TAGS:
+        return "R"
+    if tag in L.CONJ_TAGS:
+        return "C"
+    if tag == "PRP":
+        return "M"
+    if tag == "PRP$":
+        return "K"
+    if tag in ("WP", "WP$"):
+        return "W"
+    if tag in L.NP_DET_TAGS:
+        return "L"
+    return "O"
+
+
+def rule_code(x: Column) -> Column:
+    """``tag_group(rule_tag(x))`` computed in the same single CASE."""
+    return rule_tag(x, out=tag_group)
+
+
+def tag_group_codes(tokens) -> Column:
+    """K2 for the feature path: one group character per token (one interpreted pass)."""
+    return F.transform(_c(tokens), rule_code)
 
 
 def context_tags(tags) -> Column:
@@ -132,22 +178,17 @@ def is_entity_token(x: Column) -> Column:
 def entity_stats(tokens) -> Column:
     """K4: entities are maximal runs of entity tokens.
 
-    Returns struct(runs, chars) where chars is the summed span length, tokens
-    joined by one space.  One left fold over the row's token array.
+    Returns struct(runs, chars): number of runs and their summed length with
+    tokens joined by one space.  A flag string ('E' per entity token) gives
+    the runs and token count with codegen'd string functions; one filter gives
+    the entity characters.
     """
-    zipped = F.arrays_zip(F.transform(_c(tokens), F.length).alias("len"),
-                          F.transform(_c(tokens), is_entity_token).alias("e"))
-    init = F.struct(F.lit(False).alias("prev"), F.lit(0).alias("runs"), F.lit(0).alias("chars"))
-
-    def step(acc, z):
-        e = z["e"]
-        return F.struct(
-            e.alias("prev"),
-            (acc["runs"] + F.when(e & ~acc["prev"], 1).otherwise(0)).alias("runs"),
-            (acc["chars"] + F.when(e, z["len"] + F.when(acc["prev"], 1).otherwise(0)).otherwise(0)).alias("chars"),
-        )
-
-    return F.aggregate(zipped, init, step, lambda acc: F.struct(acc["runs"].alias("runs"), acc["chars"].alias("chars")))
+    toks = _c(tokens)
+    flags = F.array_join(F.transform(toks, lambda x: F.when(is_entity_token(x), F.lit("E")).otherwise(F.lit("-"))), "")
+    runs = F.size(F.regexp_extract_all(flags, F.lit("E+"), 0))
+    n_ent = F.length(flags) - F.length(F.replace(flags, F.lit("E"), F.lit("")))
+    ent_chars = F.length(F.array_join(F.filter(toks, is_entity_token), ""))
+    return F.struct(runs.alias("runs"), (ent_chars + n_ent - runs).alias("chars"))
 
 
 # --- K5 noun chunks ------------------------------------------------------------------
@@ -159,25 +200,28 @@ def np_class(tag: Column) -> Column:
             .otherwise(F.lit("O")))
 
 
-def noun_chunk_stats(tokens, tags) -> Column:
+def noun_chunk_stats(tokens, tags=None, codes=None) -> Column:
     """K5: chunks are maximal runs of D/J/N tokens that contain a noun-like token.
 
     Returns struct(chunks, chars): number of chunks and their summed length in
-    characters (tokens joined by one space).  Gaps-and-islands as one fold.
+    characters (tokens joined by one space).  Gaps-and-islands as one fold
+    over (token, group code); pass ``codes`` (``tag_group_codes``) or ``tags``.
     """
-    # Class and length are computed once per token; the fold itself only compares.
-    zipped = F.arrays_zip(F.transform(_c(tokens), F.length).alias("len"),
-                          F.transform(_c(tags), np_class).alias("cls"))
+    toks = _c(tokens)
+    if codes is None:
+        codes = F.transform(_c(tags), lambda g: np_group(g))
+    zipped = F.arrays_zip(F.transform(toks, F.length).alias("len"), _c(codes).alias("c"))
     init = F.struct(F.lit(0).alias("cur"), F.lit(False).alias("has_n"),
                     F.lit(0).alias("chunks"), F.lit(0).alias("chars"))
 
     def step(acc, z):
-        inside = z["cls"] != F.lit("O")
+        c = z["c"]
+        inside = (c >= F.lit(NP_FIRST)) & (c <= F.lit(NP_LAST))
         flush = ~inside & acc["has_n"]
         return F.struct(
             F.when(inside, acc["cur"] + z["len"] + F.when(acc["cur"] > 0, 1).otherwise(0))
              .otherwise(0).alias("cur"),
-            F.when(inside, acc["has_n"] | (z["cls"] == F.lit("N"))).otherwise(False).alias("has_n"),
+            F.when(inside, acc["has_n"] | (c >= F.lit(NP_HEAD_FIRST))).otherwise(False).alias("has_n"),
             (acc["chunks"] + F.when(flush, 1).otherwise(0)).alias("chunks"),
             (acc["chars"] + F.when(flush, acc["cur"]).otherwise(0)).alias("chars"),
         )
@@ -190,6 +234,13 @@ def noun_chunk_stats(tokens, tags) -> Column:
     return F.aggregate(zipped, init, step, finish)
 
 
+def np_group(tag: Column) -> Column:
+    """Tag -> group code restricted to what K5 needs (see ``tag_group``)."""
+    return (F.when(tag.isin(L.NOUN_TAGS), F.lit("N")).when(tag == "PRP", F.lit("M"))
+            .when(tag.isin(L.ADJ_TAGS), F.lit("J")).when(tag == "PRP$", F.lit("K"))
+            .when(tag.isin(L.NP_DET_TAGS), F.lit("L")).otherwise(F.lit("O")))
+
+
 # --- K6-K8 token flags ----------------------------------------------------------------
 
 def is_stop(x: Column) -> Column:

@@ -32,26 +32,9 @@ def char_count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def tag_code(tag: Column) -> Column:
-    """One character per tag group, so six tag counts become string counts (one pass)."""
-    return (F.when(tag.isin(L.VERB_TAGS), F.lit("V"))
-            .when(tag.isin(L.NOUN_TAGS), F.lit("N"))
-            .when(tag.isin(L.ADJ_TAGS), F.lit("J"))
-            .when(tag.isin(L.ADV_TAGS), F.lit("R"))
-            .when(tag.isin(L.CONJ_TAGS), F.lit("C"))
-            .when(tag == F.lit("PRP"), F.lit("p"))
-            .when(tag == F.lit("PRP$"), F.lit("q"))
-            .when(tag.isin("WP", "WP$"), F.lit("w"))
-            .otherwise(F.lit("O")))
-
-
-def tag_codes(tags: Column) -> Column:
-    return F.array_join(F.transform(tags, tag_code), "")
-
-
-def _unique_with_tags(toks: Column, tags: Column, group: list[str]) -> Column:
-    z = F.arrays_zip(toks.alias("tok"), tags.alias("tag"))
-    return F.size(F.array_distinct(F.transform(F.filter(z, lambda e: e["tag"].isin(group)), lambda e: e["tok"])))
+def _unique_with_code(toks: Column, codes: Column, code: str) -> Column:
+    picked = F.zip_with(toks, codes, lambda t, c: F.when(c == F.lit(code), t))
+    return F.size(F.array_compact(F.array_distinct(picked)))
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -64,12 +47,12 @@ def with_tokens(df: DataFrame, text_col: str) -> DataFrame:
               .withColumn("_tok", K.tokenize(F.col("_t"))))
 
 
-def feature_columns(text: Column, toks: Column, tags: Column, codes: Column | None = None) -> list[Column]:
-    """F1-F26 from the cleaned text, its tokens and their tags, in table order."""
-    codes = tag_codes(tags) if codes is None else codes
+def feature_columns(text: Column, toks: Column, codes: Column) -> list[Column]:
+    """F1-F26 from the cleaned text, its tokens and their group codes (``annotate.tag_group``)."""
+    code_str = F.array_join(codes, "")
     n = F.size(toks)
     sents = K.sentence_count(text)
-    chunks = K.noun_chunk_stats(toks, tags)
+    chunks = K.noun_chunk_stats(toks, codes=codes)
     ents = K.entity_stats(toks)
     digits = F.size(F.filter(toks, K.is_digit))
     cols = {
@@ -77,12 +60,12 @@ def feature_columns(text: Column, toks: Column, tags: Column, codes: Column | No
         "unique_words_count": F.size(F.array_distinct(toks)),
         "avg_word_length": _ratio(F.length(F.array_join(toks, "")), n),
         "sentence_count": sents,
-        "verbs_count": char_count(codes, "V"),
-        "adjectives_count": char_count(codes, "J"),
-        "adverbs_count": char_count(codes, "R"),
-        "pronouns_count": char_count(codes, "pqw"),
-        "conjunctions_count": char_count(codes, "C"),
-        "nouns_count": char_count(codes, "N"),
+        "verbs_count": char_count(code_str, "V"),
+        "adjectives_count": char_count(code_str, "J"),
+        "adverbs_count": char_count(code_str, "R"),
+        "pronouns_count": char_count(code_str, "MKW"),
+        "conjunctions_count": char_count(code_str, "C"),
+        "nouns_count": char_count(code_str, "N"),
         "entities_count": ents["runs"],
         "stop_words_count": F.size(F.filter(toks, K.is_stop)),
         "punctuation_count": F.size(F.filter(toks, K.is_punct)),
@@ -97,8 +80,8 @@ def feature_columns(text: Column, toks: Column, tags: Column, codes: Column | No
         "bigram_length": F.greatest(n - 1, F.lit(0)),
         "question_mark_count": char_count(text, "?"),
         "exclamation_count": char_count(text, "!"),
-        "unique_adjectives": _unique_with_tags(toks, tags, L.ADJ_TAGS),
-        "unique_adverbs": _unique_with_tags(toks, tags, L.ADV_TAGS),
+        "unique_adjectives": _unique_with_code(toks, codes, "J"),
+        "unique_adverbs": _unique_with_code(toks, codes, "R"),
     }
     out = []
     for name in FEATURE_COLUMNS:
@@ -111,9 +94,8 @@ def extract_features(df: DataFrame, text_col: str = "article_text", keep: list[s
     """F1-F26 for every row of ``df``; ``keep`` columns are carried in front."""
     keep = keep or []
     staged = with_tokens(df.select(*keep, text_col), text_col)
-    staged = staged.select(*keep, "_t", "_tok", K.pos_tags(F.col("_tok")).alias("_tag"))
-    staged = staged.select(*keep, "_t", "_tok", "_tag", tag_codes(F.col("_tag")).alias("_code"))
-    return staged.select(*keep, *feature_columns(F.col("_t"), F.col("_tok"), F.col("_tag"), F.col("_code")))
+    staged = staged.select(*keep, "_t", "_tok", K.tag_group_codes(F.col("_tok")).alias("_code"))
+    return staged.select(*keep, *feature_columns(F.col("_t"), F.col("_tok"), F.col("_code")))
 
 
 def feature_table(df: DataFrame, text_col: str = "article_text") -> DataFrame:
