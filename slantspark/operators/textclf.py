@@ -125,17 +125,24 @@ def vocab_encode(texts: DataFrame, key: str, vocab: DataFrame, text_col: str = "
                  max_len: int = 512) -> DataFrame:
     """(key, input_ids, attention_mask), CLS + first max_len-2 words + SEP, PAD to max_len.
 
-    The vocabulary is bounded by its ``vocab_size`` parameter, so it is broadcast.
+    Each text row gets its own row id, so the regrouping after the vocabulary
+    lookup holds at most ``max_len - 2`` entries per group even when a key is
+    repeated; ``posexplode_outer`` keeps texts without words, so no join back
+    is needed.  The vocabulary is bounded by its ``vocab_size`` parameter, so
+    it is broadcast.
     """
     body = max_len - 2
-    pos = texts.select(key, F.posexplode(F.slice(words(F.col(text_col)), 1, body)).alias("pos", "token"))
+    rows = texts.select(key, F.monotonically_increasing_id().alias("_row"),
+                        F.slice(words(F.col(text_col)), 1, body).alias("_w"))      # id fixed before the explode
+    pos = rows.select(key, "_row", F.posexplode_outer("_w").alias("pos", "token"))
     ids = (pos.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-           .select(key, "pos", F.coalesce("id", F.lit(UNK)).alias("id")))
-    seqs = (ids.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
-            .select(key, F.transform("s", lambda e: e["id"]).alias("body")))
-    full = texts.select(key).join(seqs, key, "left").select(
-        key, F.concat(F.array(F.lit(CLS)), F.coalesce("body", F.array().cast("array<int>")), F.array(F.lit(SEP))).alias("ids"))
+           .select(key, "_row", "pos", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK))).alias("id")))
+    seqs = (ids.groupBy("_row")
+            .agg(F.first(key).alias(key),
+                 F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("s")))
+    body_ids = F.transform("s", lambda e: e["id"])
+    ids_full = F.concat(F.array(F.lit(CLS)), body_ids, F.array(F.lit(SEP)))
+    full = seqs.select(key, ids_full.alias("ids"))
     n = F.size("ids")
     return full.select(
         key,

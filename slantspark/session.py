@@ -71,11 +71,16 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
 
     A large scan already has many splits and is returned unchanged (no extra
     shuffle).  Only a scan with fewer partitions than the default parallelism
-    (one small file, one row group) is redistributed, by ``key`` when given so
-    the rows of one key stay together.
+    (one small file, one row group) is redistributed -- round robin, never by
+    ``key``, so a hot key cannot pile up in one task.  (``key`` is accepted
+    for callers that document their key; it does not steer placement.)
     """
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the plan alone
         return df
-    return df.repartition(want, key) if key else df.repartition(want)
+    if have >= want:
+        return df
+    return df.repartition(want)

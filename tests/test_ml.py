@@ -33,8 +33,9 @@ def test_knn_matches_brute_force(spark):
     te = [(1000 + i, "c0", *map(float, rng.integers(0, 4, 3))) for i in range(50)]
     schema = "id long, label string, a double, b double, c double"
     train, test = spark.createDataFrame(tr, schema), spark.createDataFrame(te, schema)
-    got = {r["id"]: r["prediction"] for r in KN.knn_predict(train, test, ["a", "b", "c"], "id", "label", 5,
-                                                             block_rows=70).collect()}
+    rows = KN.knn_predict(train, test, ["a", "b", "c"], "id", "label", 5, block_rows=70).collect()
+    assert len(rows) == len(te)
+    got = {r["id"]: r["prediction"] for r in rows}
     X = np.array([t[2:] for t in tr]); ids = np.array([t[0] for t in tr]); labels = [t[1] for t in tr]
     for row in te:
         d = ((X - np.array(row[2:])) ** 2).sum(axis=1)
