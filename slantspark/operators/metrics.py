@@ -72,12 +72,45 @@ def weighted_prf(df: DataFrame, label: str = "label", pred: str = "prediction",
                     for m in ["precision", "recall", "f1_score"]])
 
 
+def true_class_nll(label_index: str = "label_index", probability: str = "probability", eps: float = 1e-15) -> Column:
+    """Negative log probability of the true class, clipped like common log-loss implementations."""
+    from pyspark.ml.functions import vector_to_array
+    p = F.element_at(vector_to_array(F.col(probability)), F.col(label_index).cast("int") + 1)
+    return -F.log(F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))
+
+
 def log_loss(df: DataFrame, label_index: str = "label_index", probability: str = "probability",
              eps: float = 1e-15) -> DataFrame:
     """A5: mean negative log probability of the true class (one row)."""
-    from pyspark.ml.functions import vector_to_array
-    p = F.element_at(vector_to_array(F.col(probability)), F.col(label_index).cast("int") + 1)
-    return df.agg(F.avg(-F.log(F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))).alias("log_loss"))
+    return df.agg(F.avg(true_class_nll(label_index, probability, eps)).alias("log_loss"))
+
+
+def summary(df: DataFrame, label: str = "label", pred: str = "prediction", nll: str | None = None,
+            digits: int = 6) -> DataFrame:
+    """A1 + A4 (+ A5 when ``nll`` names a per-row loss column) in one row.
+
+    Everything comes from the confusion counts (one grouped aggregation with
+    map-side partial sums), so no one-row frames need to be combined.
+    """
+    aggs = [F.count("*").alias("n")] + ([F.sum(nll).alias("nll")] if nll else [])
+    cm = df.groupBy(F.col(label).alias("label"), F.col(pred).alias("prediction")).agg(*aggs)
+    tp = cm.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
+    sup = cm.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"),
+                                                      *([F.sum("nll").alias("nll")] if nll else []))
+    prd = cm.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
+    classes = sup.select("cls").unionByName(prd.select("cls")).distinct()
+    t = (classes.join(sup, "cls", "left").join(prd, "cls", "left").join(tp, "cls", "left")
+         .na.fill(0, ["support", "predicted", "tp"]))
+    p = _safe_div(F.col("tp"), F.col("predicted"))
+    r = _safe_div(F.col("tp"), F.col("support"))
+    t = t.select("*", p.alias("p"), r.alias("r"), _safe_div(2 * p * r, p + r).alias("f"))
+    total = F.sum("support")
+    out = [F.round(F.sum("tp") / total, digits).alias("accuracy")]
+    out += [F.round(F.sum(F.col(m) * F.col("support")) / total, digits).alias(name)
+            for m, name in [("p", "precision"), ("r", "recall"), ("f", "f1_score")]]
+    if nll:
+        out.append(F.round(F.sum("nll") / total, digits).alias("log_loss"))
+    return t.agg(*out)
 
 
 def argmax(values: Column) -> Column:

@@ -79,8 +79,7 @@ def evaluate(models: dict[str, PipelineModel], test: DataFrame, label: str = "la
     out = None
     for name, m in models.items():
         scored = predict(m, test).select(F.col(label).alias("label"), F.col("predicted_label").alias("prediction"))
-        row = (A.accuracy(scored).crossJoin(A.weighted_prf(scored))  # two one-row frames
-               .select(F.lit(name).alias("model"), "*"))
+        row = A.summary(scored).select(F.lit(name).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

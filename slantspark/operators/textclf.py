@@ -89,11 +89,8 @@ def evaluate(model: PipelineModel, eval_df: DataFrame, n_labels: int = 3) -> Dat
     """One row with log_loss, accuracy and weighted precision/recall/F1."""
     scored = model.transform(eval_df.withColumn("labels", F.col("labels").cast("double")))
     named = scored.select(F.col("labels").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-                          F.col("labels").alias("label_index"), "probability")
-    loss = A.log_loss(named, "label_index", "probability")
-    acc = A.accuracy(named)
-    prf = A.weighted_prf(named)
-    return loss.crossJoin(acc).crossJoin(prf)  # three one-row frames
+                          A.true_class_nll("labels", "probability").alias("nll"))
+    return A.summary(named, nll="nll").select("log_loss", "accuracy", "precision", "recall", "f1_score")
 
 
 def predict(model: PipelineModel, texts: DataFrame, text_col: str = "text", keep: list[str] | None = None,

@@ -98,3 +98,12 @@ def test_forest_probabilities_and_roundtrip(spark, tmp_path):
     acc = A.accuracy(scored.select("label", F.col("predicted_label").alias("prediction"))).collect()[0][0]
     majority = ft.groupBy("label").count().agg(F.max("count")).collect()[0][0] / ft.count()
     assert acc >= majority
+
+
+def test_summary_matches_parts(spark):
+    rows = [("a", "a")] * 3 + [("a", "b")] + [("b", "b")] * 2 + [("b", "a")] + [("c", "a")]
+    df = spark.createDataFrame(rows, "label string, prediction string")
+    s = A.summary(df).collect()[0]
+    w = A.weighted_prf(df).collect()[0]
+    assert s.accuracy == round(5 / 8, 6)
+    assert (s.precision, s.recall, s.f1_score) == (w.precision, w.recall, w.f1_score)
