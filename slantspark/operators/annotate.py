@@ -319,6 +319,24 @@ ANNOTATION_SCHEMA = ("doc_key long, tokens array<string>, tags array<string>, is
                      "sentences int, entities array<string>, noun_chunks array<string>")
 
 
+def python_tokenizer_annotator(texts: list[str]) -> list[dict]:
+    """A minimal external annotator for ``annotate_with``: the K1 token rule in
+    Python (``regex`` module), no tags.  Shows the plug-in contract."""
+    import re
+
+    import regex
+
+    # Python spells code points \uXXXX where Java and RE2 accept \x{...}.
+    py_pattern = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: "\\u%04x" % int(m.group(1), 16), P.TOKEN)
+    pattern = regex.compile(py_pattern)
+    out = []
+    for t in texts:
+        toks = pattern.findall(t or "")
+        out.append({"tokens": toks, "tags": [None] * len(toks), "is_stop": [None] * len(toks),
+                    "sentences": None, "entities": [], "noun_chunks": []})
+    return out
+
+
 def annotate_with(df: DataFrame, key: str, text_col: str,
                   fn: Callable[[list[str]], list[dict]], schema: str = ANNOTATION_SCHEMA) -> DataFrame:
     """K9: run an installed annotator over Arrow batches.

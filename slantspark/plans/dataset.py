@@ -64,9 +64,11 @@ def features(spark: SparkSession, sf_dir: str, broadcast_rows: int | None = None
 
 
 def build(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[str, str]:
-    """Materialise merged + features as parquet (the reference's two kept files)."""
+    """Materialise the relabelled merged table and the feature table as parquet
+    (the two files the reference keeps), features computed from the written
+    merged table so the text is read once more but never shuffled."""
     paths = {"merged": f"{out_dir}/merged", "features": f"{out_dir}/features"}
     relabelled(spark, sf_dir).write.mode("overwrite").parquet(paths["merged"])
-    FE.feature_table(spread(spark.read.parquet(paths["merged"]), "article_id")) \
-        .write.mode("overwrite").parquet(paths["features"])
+    merged_back = spread(spark.read.parquet(paths["merged"]))
+    FE.feature_table(merged_back).write.mode("overwrite").parquet(paths["features"])
     return paths

@@ -203,3 +203,9 @@ lng AS (SELECT k, unnest(toks) AS tok FROM ct)
 SELECT coalesce(lex.tag, {S.rule_tag('lng.tok')}) AS tag, count(*) AS n
 FROM lng LEFT JOIN lex ON lng.tok = lex.tok GROUP BY 1""",
 })
+
+ORACLES.update({
+    "plugin_tokens": f"""SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_distinct(toks)) AS INTEGER) AS n_distinct
+FROM (SELECT doc_id, {S.tokens(S.t6('text'))} AS toks FROM documents)""",
+    "dataset_build": ORACLES["feature_table"],
+})

@@ -530,3 +530,23 @@ def textclf_eval_5(spark, sf_dir):
     data = cut_lineage(TC.prepare(merged, n_labels=5).select("article_id", "clean_text", "labels"))
     train, evl = SP.train_eval_split(data, "article_id")
     return TC.evaluate(TC.train(train, max_iter=30), evl, n_labels=5)
+
+
+@query
+def plugin_tokens(spark, sf_dir):
+    """K9: an external annotator plugged in through Arrow batches (here a Python
+    tokeniser with the same token rule); token counts must equal K1's."""
+    from slantspark.operators import annotate as K
+    d = documents(spark, sf_dir).select("doc_id", TX.preprocess_features("text").alias("t"))
+    ann = K.annotate_with(d, "doc_id", "t", K.python_tokenizer_annotator)
+    return ann.select(F.col("doc_key").alias("doc_id"), F.size("tokens").alias("n_tokens"),
+                      F.size(F.array_distinct("tokens")).alias("n_distinct"))
+
+
+@query
+def dataset_build(spark, sf_dir):
+    """Lifecycle A end to end: merged table and feature table written as parquet
+    to the shared folder, the feature table read back."""
+    out = _scratch(spark, "dataset")
+    paths = DS.build(spark, sf_dir, out)
+    return spark.read.parquet(paths["features"])
