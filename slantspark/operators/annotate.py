@@ -191,6 +191,49 @@ def entity_stats(tokens) -> Column:
     return F.struct(runs.alias("runs"), (ent_chars + n_ent - runs).alias("chars"))
 
 
+def ngrams(tokens, max_n: int) -> Column:
+    """All 1..max_n-grams of a token array as structs (start, n, gram), gram space-joined."""
+    toks = _c(tokens)
+
+    def grams_of(n):
+        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(0), F.size(toks) - n)).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), n.alias("n"),
+                                                      F.array_join(F.slice(toks, i + 1, n), " ").alias("gram")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), grams_of))
+
+
+def entity_spans(docs: DataFrame, key: str, tokens_col: str, gazetteer: DataFrame, max_n: int = 4) -> DataFrame:
+    """K4 with a gazetteer: (key, start, n, entity, label) for the longest
+    non-overlapping gazetteer matches, scanning each text left to right.
+
+    ``gazetteer``: (entity, label), entity = lowercase tokens joined by one space.
+    N-grams are generated on the row (narrow), matched with a broadcast join
+    (gazetteer row count checked first), and only the matches -- at most
+    tokens x max_n per text row -- are regrouped per row to pick the spans.
+    """
+    gaz = _maybe_broadcast(gazetteer.select(F.col("entity").alias("gram"), "label"))
+    rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"),
+                       F.col(tokens_col).alias("_toks"))
+    grams = rows.select("_key", "_row", F.explode(ngrams("_toks", max_n)).alias("g")).select("_key", "_row", "g.*")
+    hits = grams.join(gaz, "gram", "inner")
+    ordered = (hits.groupBy("_row")
+               .agg(F.first("_key").alias("_key"),
+                    F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("neg_n"), "gram", "label")))
+                    .alias("m")))
+    init = F.struct(F.lit(0).alias("free"), F.array().cast(ordered.schema["m"].dataType).alias("keep"))
+
+    def step(acc, m):
+        take = m["start"] >= acc["free"]
+        return F.struct(F.when(take, m["start"] - m["neg_n"]).otherwise(acc["free"]).alias("free"),
+                        F.when(take, F.array_append(acc["keep"], m)).otherwise(acc["keep"]).alias("keep"))
+
+    chosen = ordered.select("_key", F.explode(F.aggregate("m", init, step)["keep"]).alias("e"))
+    return chosen.select(F.col("_key").alias(key), F.col("e.start").alias("start"), (-F.col("e.neg_n")).alias("n"),
+                         F.col("e.gram").alias("entity"), F.col("e.label").alias("label"))
+
+
 # --- K5 noun chunks ------------------------------------------------------------------
 
 def np_class(tag: Column) -> Column:
@@ -282,18 +325,46 @@ def fit_tagger(tagged: DataFrame, tok_col: str = "tok", tag_col: str = "tag", mi
     return best
 
 
-def apply_tagger(tokens: DataFrame, lexicon: DataFrame, tok_col: str = "tok") -> DataFrame:
-    """K2 apply: learned tag where known, rule tag otherwise.
+SUFFIX_LEN = 3
+
+
+def fit_suffix_tagger(tagged: DataFrame, tok_col: str = "tok", tag_col: str = "tag",
+                      suffix_len: int = SUFFIX_LEN) -> DataFrame:
+    """K2 fit, back-off level: most frequent tag per final ``suffix_len`` letters
+    (words longer than the suffix only), ties to the smallest tag."""
+    t = tagged.where(F.length(tok_col) > suffix_len).select(
+        F.expr(f"right(`{tok_col}`, {suffix_len})").alias("suffix"), F.col(tag_col).alias("tag"))
+    counts = t.groupBy("suffix", "tag").agg(F.count("*").alias("n"))
+    return (counts.groupBy("suffix")
+            .agg(F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("tag").alias("tag"))).alias("m"),
+                 F.sum("n").alias("total"))
+            .select("suffix", F.col("m.tag").alias("tag"), (-F.col("m.neg_n")).alias("n"), "total"))
+
+
+def _maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a lexicon only after checking its row count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_LEXICON_ROWS else df
+
+
+def apply_tagger(tokens: DataFrame, lexicon: DataFrame, tok_col: str = "tok",
+                 suffixes: DataFrame | None = None, suffix_len: int = SUFFIX_LEN) -> DataFrame:
+    """K2 apply: learned word tag, else learned suffix tag, else the rule tag.
 
-    The lexicon is broadcast only after its row count is checked against
-    ``BROADCAST_LEXICON_ROWS``; a larger one goes through a shuffle join.
+    Each table is broadcast only after its row count is checked against
+    ``BROADCAST_LEXICON_ROWS``; a larger one goes through a shuffle join
+    (AQE splits the partitions of very frequent tokens).
     """
-    lex = lexicon.select(F.col("tok").alias("_lex_tok"), F.col("tag").alias("_lex_tag"))
-    n = lex.count()
-    if n <= BROADCAST_LEXICON_ROWS:
-        lex = F.broadcast(lex)
-    joined = tokens.join(lex, tokens[tok_col] == lex["_lex_tok"], "left")
-    return joined.withColumn("tag", F.coalesce(F.col("_lex_tag"), rule_tag(F.col(tok_col)))).drop("_lex_tok", "_lex_tag")
+    lex = _maybe_broadcast(lexicon.select(F.col("tok").alias("_lex_tok"), F.col("tag").alias("_lex_tag")))
+    out = tokens.join(lex, tokens[tok_col] == lex["_lex_tok"], "left")
+    tag = F.col("_lex_tag")
+    drop = ["_lex_tok", "_lex_tag"]
+    if suffixes is not None:
+        suf = _maybe_broadcast(suffixes.select(F.col("suffix").alias("_sfx"), F.col("tag").alias("_sfx_tag")))
+        key = F.when(F.length(tok_col) > suffix_len, F.expr(f"right(`{tok_col}`, {suffix_len})"))
+        out = out.withColumn("_key", key).join(suf, F.col("_key") == suf["_sfx"], "left")
+        tag = F.coalesce(tag, F.col("_sfx_tag"))
+        drop += ["_key", "_sfx", "_sfx_tag"]
+    return out.withColumn("tag", F.coalesce(tag, rule_tag(F.col(tok_col)))).drop(*drop)
 
 
 def noun_chunks_long(tags: DataFrame, key: str) -> DataFrame:

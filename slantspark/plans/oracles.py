@@ -124,7 +124,21 @@ ENCODE5 = ("CAST(CASE {b} WHEN 'least' THEN 0 WHEN 'right' THEN 1 WHEN 'left' TH
 DECODE3 = "CASE {c} WHEN 0 THEN 'least' WHEN 1 THEN 'right' WHEN 2 THEN 'left' ELSE 'Invalid predicted label' END"
 MERGED_FILLED = f"SELECT article_id, coalesce(bias, '') AS bias FROM ({MERGED})"
 
+TAGGED_CORPUS = f"""
+WITH tk AS (SELECT doc_id, {S.tokens(S.t6('text'))} AS toks FROM documents),
+lng AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM tk),
+tg AS (SELECT doc_id, pos, tok, {S.rule_tag('tok')} AS tag FROM lng)
+SELECT tok, CASE WHEN lag(tag) OVER w = 'DT' AND tag IN {S.in_list(_L.VERB_TAGS)} THEN 'NN'
+                 WHEN lag(tag) OVER w IN ('TO', 'MD') AND tag = 'NN' THEN 'VB' ELSE tag END AS tag
+FROM tg WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"""
+
 ORACLES.update({
+    "fit_suffix_tagger": f"""
+WITH c AS (SELECT right(tok, 3) AS suffix, tag FROM ({TAGGED_CORPUS}) WHERE length(tok) > 3),
+cnt AS (SELECT suffix, tag, count(*) AS n FROM c GROUP BY suffix, tag),
+best AS (SELECT suffix, tag, n, CAST(sum(n) OVER (PARTITION BY suffix) AS BIGINT) AS total,
+                row_number() OVER (PARTITION BY suffix ORDER BY n DESC, tag) AS rn FROM cnt)
+SELECT suffix, tag, n, total FROM best WHERE rn = 1""",
     "fit_tagger": f"""
 WITH tk AS (SELECT doc_id, {S.tokens(S.t6('text'))} AS toks FROM documents),
 lng AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM tk),
@@ -198,10 +212,12 @@ SELECT label, CAST(count(*) FILTER (WHERE prediction = 'least') AS BIGINT) AS le
 FROM k GROUP BY label""",
     "apply_tagger": f"""
 WITH lex AS ({ORACLES['fit_tagger']}),
+suf AS ({ORACLES['fit_suffix_tagger']}),
 ct AS (SELECT conv_id * 1000000 + turn AS k, {S.tokens(S.t6('text'))} AS toks FROM conversations),
 lng AS (SELECT k, unnest(toks) AS tok FROM ct)
-SELECT coalesce(lex.tag, {S.rule_tag('lng.tok')}) AS tag, count(*) AS n
-FROM lng LEFT JOIN lex ON lng.tok = lex.tok GROUP BY 1""",
+SELECT coalesce(lex.tag, suf.tag, {S.rule_tag('lng.tok')}) AS tag, count(*) AS n
+FROM lng LEFT JOIN lex ON lng.tok = lex.tok
+         LEFT JOIN suf ON length(lng.tok) > 3 AND right(lng.tok, 3) = suf.suffix GROUP BY 1""",
 })
 
 ORACLES.update({
@@ -209,3 +225,25 @@ ORACLES.update({
 FROM (SELECT doc_id, {S.tokens(S.t6('text'))} AS toks FROM documents)""",
     "dataset_build": ORACLES["feature_table"],
 })
+
+_WORDS = (f"list_filter({S.tokens(S.t6('text'))}, lambda t: regexp_matches(t, '^[\\p{{L}}]'))")
+GAZETTEER_ENTITIES = f"""
+WITH RECURSIVE
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+lng AS (SELECT doc_id, unnest(range(len(w))) AS pos, w FROM d),
+grams AS (SELECT doc_id, pos AS start, r.n AS n, array_to_string(w[pos + 1:pos + r.n], ' ') AS gram
+          FROM lng, (SELECT unnest(range(1, 4)) AS n) r WHERE pos + r.n <= len(w)),
+gaz AS (SELECT gram AS entity FROM (SELECT gram, count(*) AS c FROM grams WHERE n >= 2 GROUP BY gram)
+        ORDER BY c DESC, gram LIMIT 200),
+hits AS (SELECT g.doc_id, g.start, max(g.n) AS n FROM grams g JOIN gaz ON g.gram = gaz.entity GROUP BY g.doc_id, g.start),
+chain AS (
+  SELECT doc_id, min(start) AS start, arg_min(n, start) AS n FROM hits GROUP BY doc_id
+  UNION ALL
+  SELECT c.doc_id, nx.start, nx.n FROM chain c,
+    LATERAL (SELECT h.start, h.n FROM hits h WHERE h.doc_id = c.doc_id AND h.start >= c.start + c.n
+             ORDER BY h.start LIMIT 1) nx
+)
+SELECT c.doc_id, CAST(c.start AS INTEGER) AS start, CAST(c.n AS INTEGER) AS n, g.gram AS entity,
+       'PHRASE' || CAST(c.n AS VARCHAR) AS label
+FROM chain c JOIN grams g ON g.doc_id = c.doc_id AND g.start = c.start AND g.n = c.n"""
+ORACLES["gazetteer_entities"] = GAZETTEER_ENTITIES

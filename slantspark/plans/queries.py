@@ -212,15 +212,27 @@ def conversation_features(spark, sf_dir):
 
 # --- tagger job (K2 fit) ---------------------------------------------------------------------
 
-@query
-def fit_tagger(spark, sf_dir):
-    """K2 fit on a derived tagged corpus: every document token with its context tag."""
+def tagged_corpus(spark, sf_dir) -> DataFrame:
+    """Derived tagged corpus: every document token with its context tag."""
     from slantspark.operators import annotate as K
     d = documents(spark, sf_dir).select("doc_id", K.tokenize(TX.preprocess_features("text")).alias("tok"))
     d = d.select("tok", K.pos_tags("tok").alias("rule_tag"))          # tags computed once per row
     d = d.select("tok", K.context_tags("rule_tag").alias("tag"))
-    tagged = d.select(F.explode(F.arrays_zip("tok", "tag")).alias("z")).select("z.tok", "z.tag")
-    return K.fit_tagger(tagged)
+    return d.select(F.explode(F.arrays_zip("tok", "tag")).alias("z")).select("z.tok", "z.tag")
+
+
+@query
+def fit_tagger(spark, sf_dir):
+    """K2 fit: most frequent tag per word of the derived tagged corpus."""
+    from slantspark.operators import annotate as K
+    return K.fit_tagger(tagged_corpus(spark, sf_dir))
+
+
+@query
+def fit_suffix_tagger(spark, sf_dir):
+    """K2 fit, back-off level: most frequent tag per 3-letter suffix."""
+    from slantspark.operators import annotate as K
+    return K.fit_suffix_tagger(tagged_corpus(spark, sf_dir))
 
 
 # --- splits (M1, M2) ----------------------------------------------------------------------------
@@ -513,11 +525,13 @@ def apply_tagger(spark, sf_dir):
     """K2 apply: the lexicon fitted on documents tags every conversation token
     (learned tag where known, rule tag otherwise); tag frequencies."""
     from slantspark.operators import annotate as K
-    lexicon = fit_tagger(spark, sf_dir)
+    from slantspark.session import cut_lineage
+    corpus = cut_lineage(tagged_corpus(spark, sf_dir), "tagged-corpus")
+    lexicon, suffixes = K.fit_tagger(corpus), K.fit_suffix_tagger(corpus)
     conv = T.text_table(spark, sf_dir, "conversations", "conv_id").withColumn(
         "key", F.col("conv_id") * 1000000 + F.col("turn"))
     toks = K.token_table(conv.select("key", TX.preprocess_features("text").alias("t")), "key", "t")
-    return K.apply_tagger(toks, lexicon).groupBy("tag").agg(F.count("*").alias("n"))
+    return K.apply_tagger(toks, lexicon, suffixes=suffixes).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query
@@ -550,3 +564,25 @@ def dataset_build(spark, sf_dir):
     out = _scratch(spark, "dataset")
     paths = DS.build(spark, sf_dir, out)
     return spark.read.parquet(paths["features"])
+
+
+def frequent_phrases(spark, sf_dir, top: int = 200) -> DataFrame:
+    """A gazetteer derived from the corpus: the ``top`` most frequent 2- and 3-word
+    phrases of word tokens (count desc, phrase asc); a bounded table."""
+    from slantspark.operators import annotate as K
+    d = documents(spark, sf_dir).select(
+        F.filter(K.tokenize(TX.preprocess_features("text")), lambda t: t.rlike("^[\\p{L}]")).alias("w"))
+    g = d.select(F.explode(K.ngrams("w", 3)).alias("g")).where(F.col("g.n") >= 2)
+    counts = g.groupBy(F.col("g.gram").alias("entity")).agg(F.count("*").alias("cnt"))
+    return counts.orderBy(F.col("cnt").desc(), F.col("entity")).limit(top).select(
+        "entity", F.concat(F.lit("PHRASE"), F.size(F.split("entity", " "))).alias("label"))
+
+
+@query
+def gazetteer_entities(spark, sf_dir):
+    """K4 gazetteer job: longest non-overlapping matches of the corpus phrase table in every document."""
+    from slantspark.operators import annotate as K
+    gaz = frequent_phrases(spark, sf_dir)
+    d = documents(spark, sf_dir).select(
+        "doc_id", F.filter(K.tokenize(TX.preprocess_features("text")), lambda t: t.rlike("^[\\p{L}]")).alias("w"))
+    return K.entity_spans(d, "doc_id", "w", gaz, max_n=3)

@@ -75,3 +75,23 @@ def test_pluggable_annotator(spark):
     rows = {r["doc_key"]: r for r in K.annotate_with(df, "doc_id", "article_text", simple).collect()}
     assert rows[1]["tokens"] == ["the", "cat", "sat"] and rows[1]["is_stop"] == [True, False, False]
     assert rows[2]["sentences"] == 0
+
+
+def test_entity_spans_longest_non_overlapping(spark):
+    gaz = spark.createDataFrame([("new york", "GPE"), ("new york city", "GPE"), ("york", "GPE"), ("city hall", "FAC"),
+                                 ("hall", "X")], "entity string, label string")
+    texts = [["i", "love", "new", "york", "city", "hall"], ["york", "city", "hall", "new"], []]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, toks array<string>")
+    got = sorted((r["doc_id"], r["start"], r["n"], r["entity"]) for r in K.entity_spans(df, "doc_id", "toks", gaz, 3).collect())
+    gz = {"new york": "GPE", "new york city": "GPE", "york": "GPE", "city hall": "FAC", "hall": "X"}
+    want = []
+    for d, toks in enumerate(texts):
+        i = 0
+        while i < len(toks):
+            hit = next((n for n in (3, 2, 1) if i + n <= len(toks) and " ".join(toks[i:i + n]) in gz), None)
+            if hit:
+                want.append((d, i, hit, " ".join(toks[i:i + hit])))
+                i += hit
+            else:
+                i += 1
+    assert got == sorted(want)
