@@ -95,3 +95,24 @@ def test_entity_spans_longest_non_overlapping(spark):
             else:
                 i += 1
     assert got == sorted(want)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+WORDS = st.sampled_from(["the", "big", "dog", "ran", "quickly", "and", "he", "said", "3", "340,000", ".", "!", "?",
+                         "'", "happiness", "texas", "beautiful", "<b>", "http://x.y/z", "\n", "  "])
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.lists(WORDS, max_size=25).map(" ".join), min_size=40, max_size=40))
+def test_feature_invariants(spark, texts):
+    rows = _features(spark, texts)
+    for r in rows.values():
+        n = r["word_count"]
+        assert r["bigram_length"] == max(n - 1, 0) and r["trigram_length"] == max(n - 2, 0)
+        assert r["unique_words_count"] <= n and r["digits_count"] == r["numeric_count"]
+        assert r["verbs_count"] + r["adjectives_count"] + r["adverbs_count"] + r["nouns_count"] <= n
+        assert r["unique_adjectives"] <= r["adjectives_count"] and r["unique_adverbs"] <= r["adverbs_count"]
+        assert all(r[c] >= 0 for c in FE.FEATURE_COLUMNS)
+        assert (r["sentence_count"] == 0) == (r["avg_sentence_length"] == 0) or n == 0
