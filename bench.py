@@ -42,9 +42,11 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="slantspark-bench")
     # Warm-up (not timed): the JIT compiles the interpreted array-lambda paths
     # and Python workers start, on the smallest scale factor.
-    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
-    for name in ("all_doc_features", "knn_predict", "vocab_encode"):
-        REGISTRY[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
+    small_dir = os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.001")
+    REGISTRY["all_doc_features"](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    for name in ("knn_predict", "vocab_encode", "rf_predict", "textclf_eval"):
+        REGISTRY[name](spark, small_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
     for name in only or HEADLINE:
