@@ -3,11 +3,12 @@
 The reference runs a pre-trained English pipeline per row.  Here every
 annotation is a native array expression on the article row (K1-K8): the
 tokens of one document never leave its row, so annotation is a narrow map
-with no shuffle and scales with the text volume.  ``fit_tagger`` (K2) learns a
-lexicon from a tagged token table with a grouped aggregation, and
-``apply_tagger`` joins it back (broadcast only when its size is checked).
-``annotate_with`` (K9) lets an installed model replace K1-K6 through Arrow
-batches (``mapInPandas``).
+with no shuffle and scales with the text volume.  ``fit_tagger`` and
+``fit_suffix_tagger`` (K2) learn word and suffix lexicons from a tagged token
+table with grouped aggregations, and ``apply_tagger`` joins them back
+(broadcast only when the row count is checked).  ``entity_spans`` (K4) matches
+a gazetteer table (longest non-overlapping spans).  ``annotate_with`` (K9)
+lets an installed model replace K1-K6 through Arrow batches (``mapInPandas``).
 
 Fidelity: K1, K7, K8 are exact given our tokeniser; K2-K6 are lexicon and rule
 approximations of a statistical model (see README).
