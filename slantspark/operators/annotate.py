@@ -146,6 +146,30 @@ def tag_group_codes(tokens) -> Column:
     return F.transform(_c(tokens), rule_code)
 
 
+# Token flags as one lowercase letter: 'a' + bitmask of
+#   1 stop word (K6)   2 punctuation (K7)   4 digits only (K8)   8 entity token (K4)
+FLAG_STOP, FLAG_PUNCT, FLAG_DIGIT, FLAG_ENTITY = 1, 2, 4, 8
+FLAG_LETTERS = "abcdefghijklmnop"
+GROUP_LETTERS = "CJKLMNORVW"
+
+
+def flag_letters(bit: int) -> str:
+    """All flag letters whose bitmask contains ``bit``."""
+    return "".join(ch for i, ch in enumerate(FLAG_LETTERS) if i & bit)
+
+
+def token_flags(x: Column) -> Column:
+    bits = (F.when(is_stop(x), FLAG_STOP).otherwise(0) + F.when(is_punct(x), FLAG_PUNCT).otherwise(0)
+            + F.when(is_digit(x), FLAG_DIGIT).otherwise(0) + F.when(is_entity_token(x), FLAG_ENTITY).otherwise(0))
+    return F.substring(F.lit(FLAG_LETTERS), bits + 1, 1)
+
+
+def token_codes(tokens) -> Column:
+    """Feature path: per token, its tag-group letter followed by its flag letter
+    (one interpreted pass for K2, K4, K6, K7, K8)."""
+    return F.transform(_c(tokens), lambda x: F.concat(rule_code(x), token_flags(x)))
+
+
 def context_tags(tags) -> Column:
     """K2 context pass over rule tags: a verb-looking word after a determiner is a
     noun ("the run"), a noun-looking word after ``to`` or a modal is a verb
@@ -259,8 +283,8 @@ def noun_chunk_stats(tokens, tags=None, codes=None) -> Column:
                     F.lit(0).alias("chunks"), F.lit(0).alias("chars"))
 
     def step(acc, z):
-        c = z["c"]
-        inside = (c >= F.lit(NP_FIRST)) & (c <= F.lit(NP_LAST))
+        c = z["c"]                     # group letter, optionally followed by a flag letter
+        inside = (c >= F.lit(NP_FIRST)) & (c < F.lit(chr(ord(NP_LAST) + 1)))
         flush = ~inside & acc["has_n"]
         return F.struct(
             F.when(inside, acc["cur"] + z["len"] + F.when(acc["cur"] > 0, 1).otherwise(0))

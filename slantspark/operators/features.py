@@ -35,7 +35,7 @@ def char_count(text: Column, chars: str) -> Column:
 
 
 def _unique_with_code(toks: Column, codes: Column, code: str) -> Column:
-    picked = F.zip_with(toks, codes, lambda t, c: F.when(c == F.lit(code), t))
+    picked = F.zip_with(toks, codes, lambda t, c: F.when(F.substring(c, 1, 1) == F.lit(code), t))
     return F.size(F.array_compact(F.array_distinct(picked)))
 
 
@@ -50,32 +50,36 @@ def with_tokens(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def feature_columns(text: Column, toks: Column, codes: Column) -> list[Column]:
-    """F1-F26 from the cleaned text, its tokens and their group codes (``annotate.tag_group``)."""
-    code_str = F.array_join(codes, "")
+    """F1-F26 from the cleaned text, its tokens and their two-letter codes (``annotate.token_codes``)."""
+    joined = F.array_join(codes, "")
+    groups = F.translate(joined, K.FLAG_LETTERS, "")        # one tag-group letter per token
+    flags = F.translate(joined, K.GROUP_LETTERS, "")        # one flag letter per token
     n = F.size(toks)
     sents = K.sentence_count(text)
     chunks = K.noun_chunk_stats(toks, codes=codes)
-    ents = K.entity_stats(toks)
-    digits = F.size(F.filter(toks, K.is_digit))
+    ent_runs = F.size(F.regexp_extract_all(flags, F.lit(f"[{K.flag_letters(K.FLAG_ENTITY)}]+"), 0))
+    n_ent = char_count(flags, K.flag_letters(K.FLAG_ENTITY))
+    ent_chars = F.length(F.array_join(F.filter(toks, K.is_entity_token), "")) + n_ent - ent_runs
+    digits = char_count(flags, K.flag_letters(K.FLAG_DIGIT))
     cols = {
         "word_count": n,
         "unique_words_count": F.size(F.array_distinct(toks)),
         "avg_word_length": _ratio(F.length(F.array_join(toks, "")), n),
         "sentence_count": sents,
-        "verbs_count": char_count(code_str, "V"),
-        "adjectives_count": char_count(code_str, "J"),
-        "adverbs_count": char_count(code_str, "R"),
-        "pronouns_count": char_count(code_str, "MKW"),
-        "conjunctions_count": char_count(code_str, "C"),
-        "nouns_count": char_count(code_str, "N"),
-        "entities_count": ents["runs"],
-        "stop_words_count": F.size(F.filter(toks, K.is_stop)),
-        "punctuation_count": F.size(F.filter(toks, K.is_punct)),
+        "verbs_count": char_count(groups, "V"),
+        "adjectives_count": char_count(groups, "J"),
+        "adverbs_count": char_count(groups, "R"),
+        "pronouns_count": char_count(groups, "MKW"),
+        "conjunctions_count": char_count(groups, "C"),
+        "nouns_count": char_count(groups, "N"),
+        "entities_count": ent_runs,
+        "stop_words_count": char_count(flags, K.flag_letters(K.FLAG_STOP)),
+        "punctuation_count": char_count(flags, K.flag_letters(K.FLAG_PUNCT)),
         "digits_count": digits,
         "avg_sentence_length": _ratio(n, sents),
         "noun_phrases_count": chunks["chunks"],
         "avg_noun_phrase_length": _ratio(chunks["chars"], chunks["chunks"]),
-        "avg_entity_length": _ratio(ents["chars"], ents["runs"]),
+        "avg_entity_length": _ratio(ent_chars, ent_runs),
         "numeric_count": digits,
         "quotes_count": char_count(text, "\"'"),
         "trigram_length": F.greatest(n - 2, F.lit(0)),
@@ -96,7 +100,7 @@ def extract_features(df: DataFrame, text_col: str = "article_text", keep: list[s
     """F1-F26 for every row of ``df``; ``keep`` columns are carried in front."""
     keep = keep or []
     staged = with_tokens(df.select(*keep, text_col), text_col)
-    staged = staged.select(*keep, "_t", "_tok", K.tag_group_codes(F.col("_tok")).alias("_code"))
+    staged = staged.select(*keep, "_t", "_tok", K.token_codes(F.col("_tok")).alias("_code"))
     return staged.select(*keep, *feature_columns(F.col("_t"), F.col("_tok"), F.col("_code")))
 
 
