@@ -2,7 +2,8 @@
 
 S1  article scan: a splittable text scan with ``lineSep='</article>'`` gives
     one record per article (no whole-file DOM), the ``<article`` fragment is
-    cut out and re-closed, and ``xpath_string`` reads the attributes (JVM).
+    cut out and re-closed; attributes come from the same single parse as the
+    text (lead mode) or from ``xpath`` in the JVM (full mode).
 S2  text extraction, two modes:
     * ``lead`` (reference parity): children first, then the element's own
       leading text; text after a child (its tail) is never read.  Runs as a
@@ -43,14 +44,17 @@ def lead_text(element: ET.Element) -> str:
 
 
 def _extract_lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One parse per article: attributes and lead-mode text together."""
     for pdf in batches:
-        out = []
+        rows = []
         for x in pdf["xml"]:
             try:
-                out.append(lead_text(ET.fromstring(x)))
+                el = ET.fromstring(x)
             except ET.ParseError:
-                out.append(None)
-        yield pdf.assign(article_text=out)
+                rows.append((None, "", "", None))
+                continue
+            rows.append((el.get("id"), el.get("title", ""), el.get("published-at", ""), lead_text(el)))
+        yield pd.DataFrame(rows, columns=["article_id", "title", "published_at", "article_text"])
 
 
 def article_fragments(spark: SparkSession, path: str) -> DataFrame:
@@ -63,23 +67,22 @@ def article_fragments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _attr(name: str) -> Column:
-    return F.expr(f"xpath_string(xml, 'article/@{name}')")
+    """Attribute value; null when the attribute is absent, '' when it is empty."""
+    return F.try_element_at(F.expr(f"xpath(xml, 'article/@{name}')"), F.lit(1))
 
 
 def read_articles(spark: SparkSession, path: str, mode: str = "lead") -> DataFrame:
     """S1 + S2: article_id (null when absent), title, published_at ('' when absent), article_text."""
-    x = article_fragments(spark, path).select(
-        "xml",
-        F.nullif(_attr("id"), F.lit("")).alias("article_id"),
-        _attr("title").alias("title"),
-        _attr("published-at").alias("published_at"),
-    )
+    frags = article_fragments(spark, path)
     if mode == "full":
-        return x.select("article_id", "title", "published_at", F.expr("xpath_string(xml, 'article')").alias("article_text"))
+        return frags.select(_attr("id").alias("article_id"),
+                            F.coalesce(_attr("title"), F.lit("")).alias("title"),
+                            F.coalesce(_attr("published-at"), F.lit("")).alias("published_at"),
+                            F.expr("xpath_string(xml, 'article')").alias("article_text"))
     if mode != "lead":
         raise ValueError("mode must be 'lead' or 'full'")
-    schema = "xml string, article_id string, title string, published_at string, article_text string"
-    return x.mapInPandas(_extract_lead, schema).drop("xml")
+    schema = "article_id string, title string, published_at string, article_text string"
+    return frags.mapInPandas(_extract_lead, schema)
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
