@@ -59,8 +59,9 @@ def clean_truth(truth_raw: DataFrame, id_mode: str = "quarantine") -> DataFrame:
     return t.select("article_id", F.col("hyperpartisan").cast("boolean").alias("hyperpartisan"), "bias")
 
 
-# The pruned label side is broadcast only up to this many rows (~30 bytes each).
-BROADCAST_LABEL_ROWS = 5_000_000
+# The pruned label side (article_id, label) is broadcast only up to this many rows
+# (~40 bytes each in the hashed relation, so <= ~80 MB per executor).
+BROADCAST_LABEL_ROWS = 2_000_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
