@@ -61,3 +61,41 @@ def test_lead_text_python_walk():
     import xml.etree.ElementTree as ET
     el = ET.fromstring("<article><p>Hello <a>world</a> tail</p><q>one</q><p>two b</p></article>")
     assert X.lead_text(el) == "worldHello onetwo b"
+
+
+MERGE_ARTICLES = """<articles>
+<article id="1" title="A"><p>one</p></article>
+<article id="2" title="B"><p>two</p></article>
+<article id="2" title="B again"><p>two bis</p></article>
+<article id="3" title="C"><p>three</p></article>
+<article id="4"><p>four</p></article>
+<article id="5" title="E"><p>five</p></article>
+<article id="1.5" title="bad id"><p>x</p></article>
+</articles>"""
+
+MERGE_TRUTH = """<articles>
+<article id="1" url="u1" hyperpartisan="true" bias="left" labeled-by="publisher"/>
+<article id="2" url="u2" hyperpartisan="true" bias="right-center" labeled-by="publisher"></article>
+<article id="3" url="u3" hyperpartisan="false" bias="least" labeled-by="publisher"/>
+<article id="4" url="u4" hyperpartisan="true" bias="left-center" labeled-by="publisher"/>
+<article id="4" url="u4" hyperpartisan="true" bias="left-center" labeled-by="publisher"/>
+<article id="5" url="u5" hyperpartisan="true" labeled-by="publisher"/>
+<article id="6" url="u6" hyperpartisan="true" bias="right" labeled-by="publisher"/>
+</articles>"""
+
+
+def test_merge_semantics_from_xml(spark):
+    from slantspark.operators import prepare as PR
+    from slantspark.operators import quality as Q
+    arts = X.read_articles(spark, _write(MERGE_ARTICLES))
+    truth = X.read_truth(spark, _write(MERGE_TRUTH))
+    assert Q.invalid_id_rows(arts).count() == 1                      # '1.5' quarantined, reported
+    assert sorted(r[0] for r in Q.distinct_values(truth).collect() if r[0]) == ["least", "left", "left-center",
+                                                                               "right", "right-center"]
+    merged = PR.merged_articles(arts, truth)
+    rows = sorted((r["article_id"], r["bias"]) for r in merged.collect())
+    # duplicate article 2 and duplicate label 4 multiply; orphan label 6 and bad id 1.5 drop out
+    assert rows == [(1, "left"), (2, "right-center"), (2, "right-center"), (3, "least"), (4, "left-center"),
+                    (4, "left-center"), (5, None)]
+    rel = sorted((r["article_id"], r["bias"], r["title"]) for r in PR.relabelled(merged).collect())
+    assert rel[1][1] == "right" and rel[4][1] == "left" and rel[-1][1] == "" and rel[4][2] == ""
