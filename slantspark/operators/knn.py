@@ -36,6 +36,26 @@ def _empty_candidates() -> pd.DataFrame:
                          "train_label": pd.Series([], dtype="object"), "dist": pd.Series([], dtype="float64")})
 
 
+def _k_smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column indices of the k smallest entries of every row, ties broken
+    by the lower column (columns are sorted by train id), in (distance, column) order.
+
+    Linear time per row (``argpartition``) instead of a full sort: take every
+    entry below the k-th smallest value, then the lowest columns among those
+    equal to it.
+    """
+    n_rows = d.shape[0]
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1][:, None]
+    lt = d < kth
+    eq = d == kth
+    need = k - lt.sum(axis=1, keepdims=True)
+    sel = lt | (eq & (np.cumsum(eq, axis=1) <= need))          # exactly k per row
+    r, c = np.nonzero(sel)                                      # row-major: columns ascending per row
+    r, c = r.reshape(n_rows, k), c.reshape(n_rows, k)
+    order = np.argsort(d[r, c], axis=1, kind="stable")          # by distance, column order on ties
+    return np.take_along_axis(r, order, 1).reshape(-1), np.take_along_axis(c, order, 1).reshape(-1)
+
+
 def _local_topk(k: int, n_feat: int):
     """k nearest train rows (ties: smallest train id) of every test row in one block pair."""
     def run(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
@@ -56,9 +76,7 @@ def _local_topk(k: int, n_feat: int):
             for j in range(n_feat):                               # left-to-right sum, like the SQL
                 diff = blk[:, j][:, None] - b[:, j][None, :]
                 d += diff * diff
-            idx = np.argsort(d, axis=1, kind="stable")[:, :kk]    # stable: equal distances keep id order
-            rows = np.repeat(np.arange(len(blk)), kk)
-            cols = idx.reshape(-1)
+            rows, cols = _k_smallest(d, kk)
             sel = test.iloc[s:s + step]
             out.append(pd.DataFrame({
                 "test_row": sel["row"].to_numpy(np.int64)[rows], "test_id": sel["id"].to_numpy(np.int64)[rows],

@@ -107,3 +107,14 @@ def test_summary_matches_parts(spark):
     w = A.weighted_prf(df).collect()[0]
     assert s.accuracy == round(5 / 8, 6)
     assert (s.precision, s.recall, s.f1_score) == (w.precision, w.recall, w.f1_score)
+
+
+def test_k_smallest_ties_exact():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        d = rng.integers(0, 4, size=(7, 30)).astype(float)        # many ties
+        k = int(rng.integers(1, 8))
+        r, c = KN._k_smallest(d, k)
+        for i in range(d.shape[0]):
+            want = sorted(range(d.shape[1]), key=lambda j: (d[i, j], j))[:k]
+            assert list(c[r == i]) == want
