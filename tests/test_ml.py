@@ -118,3 +118,17 @@ def test_k_smallest_ties_exact():
         for i in range(d.shape[0]):
             want = sorted(range(d.shape[1]), key=lambda j: (d[i, j], j))[:k]
             assert list(c[r == i]) == want
+
+
+def test_log_loss_matches_spark_evaluator(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from slantspark.plans import dataset as DS
+    data = TC.prepare(DS.relabelled(spark, SF_SMALL)).select("article_id", "clean_text", "labels")
+    train, evl = SP.train_eval_split(data, "article_id")
+    model = TC.train(train, max_iter=5)
+    scored = model.transform(evl.withColumn("labels", F.col("labels").cast("double")))
+    want = MulticlassClassificationEvaluator(labelCol="labels", metricName="logLoss").evaluate(scored)
+    got = A.log_loss(scored, "labels", "probability").collect()[0][0]
+    assert abs(got - want) < 1e-9
+    acc = MulticlassClassificationEvaluator(labelCol="labels", metricName="accuracy").evaluate(scored)
+    assert abs(TC.evaluate(model, evl).collect()[0]["accuracy"] - round(acc, 6)) < 1e-9
