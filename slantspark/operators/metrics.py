@@ -1,8 +1,9 @@
 """Evaluation metrics A1-A6 as aggregations over (label, prediction) tables.
 
-Every metric starts from the long confusion counts -- one grouped
-aggregation with map-side partial counts, at most classes^2 rows -- so the
-per-class arithmetic afterwards touches a handful of rows.
+Every metric starts from one grouped aggregation with map-side partial
+counts (per class, or per label x prediction pair), so the per-class
+arithmetic afterwards touches a handful of rows and the scored input is
+evaluated once.
 """
 
 from __future__ import annotations
@@ -31,15 +32,27 @@ def _safe_div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def class_counts(df: DataFrame, label: str = "label", pred: str = "prediction", nll: str | None = None) -> DataFrame:
+    """Per class: support, predicted and true-positive counts (and summed loss) in ONE aggregation.
+
+    Every row contributes its label side and its prediction side (an
+    ``explode`` of two structs), so no joins are needed and the upstream plan
+    is evaluated once.
+    """
+    loss = F.col(nll).cast("double") if nll else F.lit(None).cast("double")
+    sides = F.array(
+        F.struct(F.col(label).alias("cls"), F.lit(1).alias("s"), (F.col(label) == F.col(pred)).cast("int").alias("t"),
+                 F.lit(0).alias("p"), loss.alias("l")),
+        F.struct(F.col(pred).alias("cls"), F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(1).alias("p"),
+                 F.lit(None).cast("double").alias("l")))
+    e = df.select(F.explode(sides).alias("e")).select("e.*")
+    return e.groupBy("cls").agg(F.sum("s").cast("long").alias("support"), F.sum("p").cast("long").alias("predicted"),
+                                F.sum("t").cast("long").alias("tp"), F.sum("l").alias("nll"))
+
+
 def per_class(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """Per-class tp/fp/fn/support and precision, recall, F1 (zero when undefined)."""
-    cm = confusion_long(df, label, pred)
-    tp = cm.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
-    sup = cm.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = cm.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    classes = sup.select("cls").unionByName(prd.select("cls")).distinct()
-    t = (classes.join(sup, "cls", "left").join(prd, "cls", "left").join(tp, "cls", "left")
-         .na.fill(0, ["support", "predicted", "tp"]))
+    """Per-class tp/support/predicted and precision, recall, F1 (zero when undefined)."""
+    t = class_counts(df, label, pred)
     p = _safe_div(F.col("tp"), F.col("predicted"))
     r = _safe_div(F.col("tp"), F.col("support"))
     return t.select("cls", "tp", "support", "predicted", p.alias("precision"), r.alias("recall"),
@@ -87,20 +100,9 @@ def log_loss(df: DataFrame, label_index: str = "label_index", probability: str =
 
 def summary(df: DataFrame, label: str = "label", pred: str = "prediction", nll: str | None = None,
             digits: int = 6) -> DataFrame:
-    """A1 + A4 (+ A5 when ``nll`` names a per-row loss column) in one row.
-
-    Everything comes from the confusion counts (one grouped aggregation with
-    map-side partial sums), so no one-row frames need to be combined.
-    """
-    aggs = [F.count("*").alias("n")] + ([F.sum(nll).alias("nll")] if nll else [])
-    cm = df.groupBy(F.col(label).alias("label"), F.col(pred).alias("prediction")).agg(*aggs)
-    tp = cm.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
-    sup = cm.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"),
-                                                      *([F.sum("nll").alias("nll")] if nll else []))
-    prd = cm.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    classes = sup.select("cls").unionByName(prd.select("cls")).distinct()
-    t = (classes.join(sup, "cls", "left").join(prd, "cls", "left").join(tp, "cls", "left")
-         .na.fill(0, ["support", "predicted", "tp"]))
+    """A1 + A4 (+ A5 when ``nll`` names a per-row loss column) in one row,
+    from the single-pass class counts."""
+    t = class_counts(df, label, pred, nll)
     p = _safe_div(F.col("tp"), F.col("predicted"))
     r = _safe_div(F.col("tp"), F.col("support"))
     t = t.select("*", p.alias("p"), r.alias("r"), _safe_div(2 * p * r, p + r).alias("f"))

@@ -30,8 +30,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.text_table(spark, sf_dir, "documents", "doc_id")
+def documents(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame:
+    """The documents table; ``heavy`` spreads a one-split test file over the cores
+    for CPU-heavy text work (no-op on real multi-split inputs)."""
+    return T.text_table(spark, sf_dir, "documents", "doc_id") if heavy else T.table(spark, sf_dir, "documents")
 
 
 def doc_features(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
@@ -49,7 +51,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def article_null_profile(spark, sf_dir):
     """P1/P2 on the article table."""
-    return Q.null_counts(T.articles_raw(spark, sf_dir), ["article_id", "title", "article_text"])
+    return Q.null_counts(T.articles_raw(spark, sf_dir, heavy=False), ["article_id", "title", "article_text"])
 
 
 @query
@@ -60,7 +62,7 @@ def truth_null_profile(spark, sf_dir):
 
 def candidate_ids(spark, sf_dir) -> DataFrame:
     """Every document id as text plus every ``source`` value (never numeric)."""
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, heavy=False)
     return (d.select(F.col("doc_id").cast("string").alias("article_id"))
             .unionByName(d.select(F.col("source").alias("article_id"))))
 
@@ -256,13 +258,16 @@ def hash_split_dl(spark, sf_dir):
 # --- exact KNN and metrics (M5, A1-A4) -----------------------------------------------------------
 
 def knn_scored(spark, sf_dir) -> DataFrame:
+    """KNN predictions materialised in the shared folder: the metric queries read
+    them in several branches, and the KNN plan (row ids, Python kernel) must
+    not be re-executed per branch."""
     from slantspark.operators import knn as KN
     from slantspark.operators import split as SP
     from slantspark.session import cut_lineage
-    # 28 numeric columns per article: cheap to checkpoint, and KNN reads it three times.
-    ft = cut_lineage(DS.features(spark, sf_dir).where(F.col("label") != ""))
+    # 28 numeric columns per article: cheap to materialise, and KNN reads it three times.
+    ft = cut_lineage(DS.features(spark, sf_dir).where(F.col("label") != ""), "knn-features")
     train, test = SP.train_test_split(ft, "article_id", 20)
-    return KN.knn_predict(train, test, FE.FEATURE_COLUMNS, "article_id", "label", k=5)
+    return cut_lineage(KN.knn_predict(train, test, FE.FEATURE_COLUMNS, "article_id", "label", k=5), "knn-predictions")
 
 
 @query

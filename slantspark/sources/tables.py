@@ -39,9 +39,11 @@ def bias_from_labels(quality: Column, toxic: Column) -> Column:
             .when((quality == 0) & (toxic == 1), F.lit("right")))
 
 
-def articles_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``articles_raw`` schema: article_id, title, published_at (all strings), article_text."""
-    d = text_table(spark, sf_dir, "documents", "doc_id")
+def articles_raw(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame:
+    """``articles_raw`` schema: article_id, title, published_at (all strings), article_text.
+
+    ``heavy``: the rows feed CPU-heavy text work (see ``text_table``)."""
+    d = text_table(spark, sf_dir, "documents", "doc_id") if heavy else table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").cast("string").alias("article_id"),
                     F.coalesce(F.col("source"), F.lit("")).alias("title"),
                     F.lit("").alias("published_at"),
