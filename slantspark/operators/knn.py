@@ -10,10 +10,10 @@ spreads it without ever placing a whole side in one task or on the driver:
    rows -- and the (test block, train block) pairs are cogrouped;
 3. inside a pair, NumPy computes squared Euclidean distances over Arrow
    batches (features summed left to right, so the SQL oracle gets the very
-   same doubles) and keeps the k best train rows per test row, ties broken by
-   the train id;
-4. the <= k * rb candidates per test row are reduced with a window on the
-   test id, and the k nearest vote; vote ties go to the smallest label.
+   same doubles) and keeps the k best train rows per test row with a
+   linear-time selection, ties broken by the train id;
+4. one aggregation per test row merges its <= k * rb candidates (sort by
+   distance then train id, keep k) and votes; vote ties go to the smallest label.
 
 Every group is bounded by ``block_rows`` per side, whatever the data size.
 """
