@@ -158,9 +158,25 @@ def flag_letters(bit: int) -> str:
     return "".join(ch for i, ch in enumerate(FLAG_LETTERS) if i & bit)
 
 
+def _may_be_punct(x: Column) -> Column:
+    """Cheap exact pre-check for K7 on our tokens: only single characters and
+    underscore runs can consist of punctuation alone (``_`` is the only
+    punctuation that is also a word character)."""
+    return (F.length(x) == 1) | x.startswith("_")
+
+
+def _may_be_digits(x: Column) -> Column:
+    """Cheap exact pre-check for K8: a token starting with an ASCII letter is never all digits."""
+    return ~((x >= F.lit("a")) & (x < F.lit("{")))
+
+
 def token_flags(x: Column) -> Column:
-    bits = (F.when(is_stop(x), FLAG_STOP).otherwise(0) + F.when(is_punct(x), FLAG_PUNCT).otherwise(0)
-            + F.when(is_digit(x), FLAG_DIGIT).otherwise(0) + F.when(is_entity_token(x), FLAG_ENTITY).otherwise(0))
+    # The regex flags run only behind their pre-checks: RLIKE converts each
+    # token to a Java string, which dominates its cost on word tokens.
+    punct = F.when(_may_be_punct(x) & is_punct(x), FLAG_PUNCT).otherwise(0)
+    digit = F.when(_may_be_digits(x) & is_digit(x), FLAG_DIGIT).otherwise(0)
+    bits = (F.when(is_stop(x), FLAG_STOP).otherwise(0) + punct + digit
+            + F.when(is_entity_token(x), FLAG_ENTITY).otherwise(0))
     return F.substring(F.lit(FLAG_LETTERS), bits + 1, 1)
 
 
