@@ -44,8 +44,11 @@ def _classifier(name: str, seed: int = 42):
 def pipeline(name: str, features: list[str] | None = None, label: str = "label", seed: int = 42) -> Pipeline:
     """Indexer -> assembler -> classifier -> label decoder."""
     feats = features or FE.FEATURE_COLUMNS
+    # handleInvalid="error": an extra "unknown" index would add a class (and a
+    # probability) to every model; training rows carry known labels only, and
+    # scoring new text skips this stage (no label column).
     indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc",
-                            handleInvalid="keep")
+                            handleInvalid="error")
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     clf = _classifier(name, seed)
     return Pipeline(stages=[indexer, assembler, clf])

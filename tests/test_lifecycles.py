@@ -41,3 +41,32 @@ def test_cli_build(spark, tmp_path):
     ft = spark.read.parquet(f"{out}/features")
     assert sorted(r["article_id"] for r in ft.collect()) == [1, 2, 3]
     assert ft.where(F.col("article_id") == 3).collect()[0]["label"] == ""
+
+
+# An invented article with the traits of the reference's sample input: HTML
+# entities left in the text, mojibake quotes, paragraphs glued without a space,
+# and a link.
+SAMPLE_ARTICLE = ("*Update added.Only last spring, the river towns were busy and hopeful that the boom would "
+                  "hold.Not anymore.&#160;With grain prices sliding, the co-ops have cut 1,200 jobs.See "
+                  "http://example.org/report?id=7 for details.â€œWe are still growing,â€\u009d said a "
+                  "spokesman for the Treasurer.&#160;&#160;")
+
+
+def test_sample_article_predictions(spark):
+    from slantspark.functions import text as TX
+    from slantspark.plans import dataset as DS
+    from slantspark.plans.detector import Detector
+    from slantspark.plans.text_classifier import TextClassifier
+    from test_text import t6_py, t13_py
+    row = spark.createDataFrame([(SAMPLE_ARTICLE,)], "article_text string").select(
+        TX.preprocess_features("article_text").alias("a"), TX.preprocess_text_classifier("article_text").alias("b")
+    ).collect()[0]
+    assert row.a == t6_py(SAMPLE_ARTICLE) and row.b == t13_py(SAMPLE_ARTICLE)
+    assert "http" not in row.a and "&#160;" in row.a          # entities are not decoded, links are removed
+    texts = spark.createDataFrame([(SAMPLE_ARTICLE,)], "article_text string")
+    res = Detector().train(DS.features(spark, SF_SMALL)).predict(texts).collect()[0]["result"]
+    label, *probs = res.split(",")
+    assert label in {"least", "left", "right"} and len(probs) == 3
+    clf = TextClassifier().train(DS.relabelled(spark, SF_SMALL), max_iter=5)
+    name = clf.predict(texts.withColumnRenamed("article_text", "text")).collect()[0]["predicted_label"]
+    assert name in {"least", "left", "right"}

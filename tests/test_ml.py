@@ -89,6 +89,8 @@ def test_forest_probabilities_and_roundtrip(spark, tmp_path):
     from pyspark.ml.functions import vector_to_array
     sums = scored.select(F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, x: a + x).alias("s"))
     assert all(abs(r.s - 1.0) < 1e-9 for r in sums.collect())
+    n_classes = len(MD.class_order(model))
+    assert {len(r[0]) for r in scored.select(vector_to_array("probability")).collect()} == {n_classes}
     path = MD.save_model(model, str(tmp_path / "rf"))
     again = MD.predict(MD.open_model(path), ft).select("article_id", F.col("predicted_label").alias("p2"))
     joined = scored.select("article_id", "predicted_label").join(again, "article_id")
