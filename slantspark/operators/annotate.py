@@ -349,37 +349,47 @@ def token_table(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return df.select(key, F.posexplode(tokenize(text_col)).alias("pos", "tok"))
 
 
-def fit_tagger(tagged: DataFrame, tok_col: str = "tok", tag_col: str = "tag", min_count: int = 1) -> DataFrame:
-    """K2 fit: most frequent tag per token, ties to the smallest tag.
+def tag_counts(tagged: DataFrame, tok_col: str = "tok", tag_col: str = "tag") -> DataFrame:
+    """(tok, tag, n): one pass over the tagged corpus with map-side partial counts.
 
-    ``tagged`` is any (tok, tag) table.  Map-side partial counts, one shuffle
-    on (tok, tag), then a second small aggregation per token; a hot token only
-    ever sends one partial count per task.
+    Its size is the number of distinct (token, tag) pairs, far below the
+    corpus; both lexicons below derive from it.
     """
-    counts = tagged.groupBy(F.col(tok_col).alias("tok"), F.col(tag_col).alias("tag")).agg(F.count("*").alias("n"))
-    # min over (-n, tag): highest count first, then the smallest tag.
-    best = (counts.groupBy("tok")
+    return tagged.groupBy(F.col(tok_col).alias("tok"), F.col(tag_col).alias("tag")).agg(F.count("*").alias("n"))
+
+
+def _best_tag(counts: DataFrame, key: str) -> DataFrame:
+    """Per key: the tag with the highest count, ties to the smallest tag; plus the key's total."""
+    return (counts.groupBy(key)
             .agg(F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("tag").alias("tag"))).alias("m"),
                  F.sum("n").alias("total"))
-            .select("tok", F.col("m.tag").alias("tag"), (-F.col("m.neg_n")).alias("n"), "total")
-            .where(F.col("total") >= min_count))
-    return best
+            .select(key, F.col("m.tag").alias("tag"), (-F.col("m.neg_n")).alias("n"), "total"))
+
+
+def fit_tagger(tagged: DataFrame | None, tok_col: str = "tok", tag_col: str = "tag", min_count: int = 1,
+               counts: DataFrame | None = None) -> DataFrame:
+    """K2 fit: most frequent tag per token, ties to the smallest tag.
+
+    ``tagged`` is any (tok, tag) table (or pass precomputed ``tag_counts``).
+    A hot token only ever sends one partial count per task.
+    """
+    c = counts if counts is not None else tag_counts(tagged, tok_col, tag_col)
+    return _best_tag(c, "tok").where(F.col("total") >= min_count)
 
 
 SUFFIX_LEN = 3
 
 
-def fit_suffix_tagger(tagged: DataFrame, tok_col: str = "tok", tag_col: str = "tag",
-                      suffix_len: int = SUFFIX_LEN) -> DataFrame:
+def fit_suffix_tagger(tagged: DataFrame | None, tok_col: str = "tok", tag_col: str = "tag",
+                      suffix_len: int = SUFFIX_LEN, counts: DataFrame | None = None) -> DataFrame:
     """K2 fit, back-off level: most frequent tag per final ``suffix_len`` letters
-    (words longer than the suffix only), ties to the smallest tag."""
-    t = tagged.where(F.length(tok_col) > suffix_len).select(
-        F.expr(f"right(`{tok_col}`, {suffix_len})").alias("suffix"), F.col(tag_col).alias("tag"))
-    counts = t.groupBy("suffix", "tag").agg(F.count("*").alias("n"))
-    return (counts.groupBy("suffix")
-            .agg(F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("tag").alias("tag"))).alias("m"),
-                 F.sum("n").alias("total"))
-            .select("suffix", F.col("m.tag").alias("tag"), (-F.col("m.neg_n")).alias("n"), "total"))
+    (words longer than the suffix only), ties to the smallest tag.  Derived from
+    the (token, tag) counts, so the corpus is not read again."""
+    c = counts if counts is not None else tag_counts(tagged, tok_col, tag_col)
+    by_suffix = (c.where(F.length("tok") > suffix_len)
+                 .groupBy(F.expr(f"right(tok, {suffix_len})").alias("suffix"), "tag")
+                 .agg(F.sum("n").alias("n")))
+    return _best_tag(by_suffix, "suffix")
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:

@@ -531,8 +531,10 @@ def apply_tagger(spark, sf_dir):
     (learned tag where known, rule tag otherwise); tag frequencies."""
     from slantspark.operators import annotate as K
     from slantspark.session import cut_lineage
-    corpus = cut_lineage(tagged_corpus(spark, sf_dir), "tagged-corpus")
-    lexicon, suffixes = K.fit_tagger(corpus), K.fit_suffix_tagger(corpus)
+    # One pass over the corpus; only the (token, tag) counts are materialised.
+    counts = cut_lineage(K.tag_counts(tagged_corpus(spark, sf_dir)), "tag-counts")
+    lexicon = K.fit_tagger(None, counts=counts)
+    suffixes = K.fit_suffix_tagger(None, counts=counts)
     conv = T.text_table(spark, sf_dir, "conversations", "conv_id").withColumn(
         "key", F.col("conv_id") * 1000000 + F.col("turn"))
     toks = K.token_table(conv.select("key", TX.preprocess_features("text").alias("t")), "key", "t")
