@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sp_codec, token_output, url_filter, winnow
-from .common import table
+from . import (chat_repair, compact_windows, minhash_dedup, ngram_lm, projection_dedup, sp_codec, token_output, toxicity,
+               url_filter, winnow)
+from .common import heldout, table
 
 REGISTRY: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,22 +32,53 @@ def tokenizer_file(name: str, path: str | None = None) -> bytes:
         return f.read()
 
 
+@query
+def op1_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.fit_and_score(table(spark, sf_dir, "documents"), ~heldout(F.col("doc_id"), 1))
+
+
 @query
 def op2_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op3_projection_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@query
+def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2, 50_257)
