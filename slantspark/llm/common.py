@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slantspark.session import cut_lineage, scratch_path
 
 __all__ = ["cut_lineage", "scratch_path", "table", "heldout", "map_arrow", "binary_texts", "word_table", "segment_offsets",
-           "partitions_for", "sliding_min"]
+           "per_worker", "slices", "partitions_for", "sliding_min"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,16 @@ def binary_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts take about ``most`` bytes together (a longer text is a run of its own)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    run = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def word_table(keep_digits_letters_only: bool) -> bytes:
     """Byte table for ``bytes.translate``: A-Z to lower case; with the flag set, every ASCII byte but a-z, 0-9 to a space."""
     out = bytearray(range(256))
@@ -56,6 +67,21 @@ def word_table(keep_digits_letters_only: bool) -> bytes:
     return bytes(out)
 
 
+def per_worker(key: tuple, make: Callable):
+    """One object per Python worker process and key (Spark reuses workers), so caches outlive a task.
+
+    Functions reach workers by value, so the store hangs on a module that every worker has.  The last four keys stay.
+    """
+    import pyspark
+
+    store = pyspark.__dict__.setdefault("_slantspark_per_worker", {})
+    if key not in store:
+        while len(store) >= 4:
+            store.pop(next(iter(store)))
+        store[key] = make()
+    return store[key]
+
+
 def segment_offsets(lengths) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))])
 

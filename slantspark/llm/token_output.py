@@ -18,22 +18,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, partitions_for, scratch_path
+from .common import map_arrow, partitions_for, per_worker, scratch_path, slices
 from .elias_fano import EliasFano
 
 BLOCK_IDS = 1 << 20
 CACHED_WORDS = 300_000
+SLICE_BYTES = 8 << 20
+
+
+# A space that white space or the end follows.
+_GLUED = " ([\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
 
 
 class ByteBpe:
     """Whole-text encoding with a ``tokenizers`` file, caching the ids of space-separated words.
 
     The byte-level pre-tokeniser always starts a token at a single space that a non-space follows, whatever stands before,
-    so the text may be cut there and equal pieces share one encoding.  Pieces starting with white space stay glued to the
-    piece before.
+    so the text may be cut there and equal pieces share one encoding; texts with a space before white space or the end
+    are encoded whole.  Pieces of many texts are numbered at once and their ids gathered by arrays.  New pieces are encoded many to a line; as the tokens of a line spell its bytes, the pieces' ends
+    are found again by adding up token lengths.
     """
 
     def __init__(self, definition: bytes, end_id: int, dtype: str):
@@ -44,33 +51,79 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_buffer(definition)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # one character of a byte-level token stands for one byte
         self.dtype, self.end = dtype, np.array([end_id], dtype).tobytes()
-        self.cache: dict[str, bytes] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        if not any(p == "" or p[0].isspace() for p in parts[1:]):
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p == "" or p[0].isspace():
-                out[-1] += " " + p
-            else:
-                out.append(" " + p)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        known = self.cache
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for a in range(0, len(new), 20_000):
-            some = new[a: a + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[p] for p in pieces]) + self.end for pieces in cut]
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        width = np.dtype(self.dtype).itemsize
+        lines = [(b" " + b" ".join(new[a: a + 200])).decode() for a in range(0, len(new), 200)]
+        for a, line in zip(range(0, len(new), 200), self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(line.ids, self.dtype)
+            ends = np.cumsum([len(p) + 1 for p in new[a: a + 200]])
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="left") + 1
+            raw, start = ids.tobytes(), 0
+            for p, cut in zip(new[a: a + 200], (cuts * width).tolist()):
+                self.cache[p] = raw[start:cut]
+                start = cut
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that follow a space, from the cache or learnt."""
+        if len(self.cache) > CACHED_WORDS:  # two generations: words still in use come back from the older one
+            self.cache, self.older = {}, self.cache
+        known, older = self.cache, self.older
+        found = list(map(known.get, words))
+        if None in found:
+            new = []
+            for p in [p for p, ids in zip(words, found) if ids is None]:
+                ids = older.get(p)
+                if ids is None:
+                    new.append(p)
+                else:
+                    known[p] = ids
+            self._learn(new)
+            found = [known[p] if ids is None else ids for p, ids in zip(words, found)]
+        return found
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids and end id of every text (null: empty), as packed integers."""
+        n, dtype = len(texts), np.dtype(self.dtype)
+        texts = pc.fill_null(texts, "")
+        glued = pc.match_substring_regex(texts, _GLUED)
+        parts = pc.split_pattern(pc.if_else(glued, "", texts), " ")
+        rows = parts.offsets.to_numpy().astype(np.int64)
+        pieces = parts.values.dictionary_encode()
+        codes, words = pieces.indices.to_numpy(), pieces.dictionary.cast(pa.binary()).to_pylist()
+        # Units: a text's first piece (no space before it), its words, the end id.
+        first = parts.values.take(pa.array(rows[:-1])).to_pylist()
+        whole = [t if g else f for t, g, f in zip(pc.if_else(glued, texts, "").to_pylist(), glued.to_pylist(), first)]
+        heads = [np.array(e.ids, dtype).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        used = np.zeros(len(words), bool)
+        body = np.ones(len(codes), bool)
+        body[rows[:-1]] = False
+        used[codes[body]] = True
+        asked = np.flatnonzero(used).tolist()
+        ids = [b""] * len(words)
+        for k, x in zip(asked, self._ids_of([words[k] for k in asked])):
+            ids[k] = x
+        ids += [*heads, self.end]
+        units = np.empty(len(codes) + n, np.int32)
+        units[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(rows))] = codes
+        units[rows[:-1] + np.arange(n)] = len(words) + np.arange(n)
+        units[rows[1:] + np.arange(n)] = len(words) + n
+        sizes = np.array([len(x) // dtype.itemsize for x in ids], np.int32)
+        count = sizes[units]
+        ends = np.cumsum(count, dtype=np.int64)
+        shift = (np.cumsum(sizes, dtype=np.int64) - sizes)[units] - (ends - count)
+        place = np.repeat(shift, count)
+        place += np.arange(len(place))
+        out = np.frombuffer(b"".join(ids), dtype)[place]
+        offsets = np.concatenate([[0], ends[rows[1:] + np.arange(n)]]) * dtype.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
 def encode_documents(docs: DataFrame, definition: bytes, end_id: int, width: int, limits: list[int], id_col: str = "doc_id",
@@ -79,16 +132,13 @@ def encode_documents(docs: DataFrame, definition: bytes, end_id: int, width: int
     shard counts the ``limits`` below the doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # one tokenizer file, a few MB
     edges = np.array(sorted(set(limits)), np.int64)
-    state: list[ByteBpe] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        if not state:
-            state.append(ByteBpe(shared.value, end_id, f"<u{width}"))
-        for a in range(0, batch.num_rows, 500):
-            part = batch.slice(a, 500)
+        coder = per_worker(("byte-bpe", zlib.crc32(shared.value), end_id, width), lambda: ByteBpe(shared.value, end_id, f"<u{width}"))
+        for part in slices(batch, 1, SLICE_BYTES):
             ids = part.column(0)
             shard = np.searchsorted(edges, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
-            yield {"shard": shard.astype(np.int32), "doc_id": ids, "ids": state[0].encode([t or "" for t in part.column(1).to_pylist()])}
+            yield {"shard": shard.astype(np.int32), "doc_id": ids, "ids": coder.encode(part.column(1))}
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run,
                      "shard int, doc_id long, ids binary")
