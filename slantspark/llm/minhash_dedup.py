@@ -234,3 +234,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (signed.join(least, ["h1", "h2"], "left").join(final, F.col("rep") == F.col("node"), "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, without those that are not the least of their component."""
+    found = near_duplicates(docs, id_col, text_col, k, percent)
+    dropped = cut_lineage(found.where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    return docs.join(_few(dropped), F.col(id_col).cast("long") == F.col("dropped_id"), "left_anti")
