@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, per_worker
 
 MARK = "▁"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 CACHED_PAIRS = 1_000_000
 
 
@@ -62,13 +62,17 @@ class PrefixTableBpe:
                 self.eos = i
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds the space mark after another character")
+        if any(c not in self.score for p in self.score for c in p):
+            raise ValueError("a piece holds a character that is no piece")
+        self.alphabet = {p for p in self.score if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
-        for p in self.score:
-            if len(p) > 1:
-                self.automaton.add_word(p, len(p))
+        for p, i in self.ids.items():
+            if len(p) == 1 or self._merge(p) == [p]:  # a piece that merging never gives is no last piece
+                self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.joined: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[bytes, int]] = {}
+        self.names = [p.piece for p in spec.pieces]
+        self.joined: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Merges of a short text, best score first and leftmost among equals; used on pairs of pieces only."""
@@ -85,47 +89,58 @@ class PrefixTableBpe:
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        got = self.joined.get((left, right))
-        if got is None:
-            if len(self.joined) > CACHED_PAIRS:
-                self.joined.clear()
-            got = self.joined[left, right] = self._merge(left + right) == [left, right]
-        return got
-
-    def pieces(self, word: str) -> list[str]:
-        """The encoding of a piece of text between cuts, by its table of last pieces."""
-        n = len(word)
-        ends: list[list[int]] = [[] for _ in range(n)]
-        for end, size in self.automaton.iter(word):
-            ends[end].append(size)
-        last: list[int] = [0] * (n + 1)  # size of the last piece of each prefix
-        for end in range(n):
-            for size in (*sorted(ends[end], reverse=True), 1):
-                start = end + 1 - size
-                piece = word[start: end + 1]
-                if self._reaches(piece) and (start == 0 or self.compatible(word[start - last[start]: start], piece)):
-                    last[end + 1] = size
-                    break
+        """Whether two neighbouring pieces stay apart when their text is merged alone."""
+        return self._merge(left + right) == [left, right]
+
+    def _table(self, word: str) -> list[int] | None:
+        """Ids of a piece of text between cuts, by its table of last pieces; None if a character is not a piece."""
+        n, joined = len(word), self.joined
+        last, size = [-1] * (n + 1), [0] * (n + 1)
+        for end, (width, piece) in self.automaton.iter(word):
+            if size[end + 1]:
+                continue  # a prefix has one last piece
+            start = end + 1 - width
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                key = before << 32 | piece
+                fits = joined.get(key)
+                if fits is None:
+                    fits = joined[key] = self.compatible(self.names[before], self.names[piece])
+                if not fits:
+                    continue
+            last[end + 1], size[end + 1] = piece, width
         out = []
         while n:
-            out.append(word[n - last[n]: n])
-            n -= last[n]
+            if not size[n]:
+                return None
+            out.append(last[n])
+            n -= size[n]
         return out[::-1]
 
-    def _reaches(self, piece: str) -> bool:
-        """Whether merging gives this piece at all (a listed piece may be cut off by better merges)."""
-        got = self.joined.get((piece, ""))
-        if got is None:
-            got = self.joined[piece, ""] = len(piece) == 1 or self._merge(piece) == [piece]
-        return got
-
     def _word(self, word: str) -> bytes:
+        if len(self.joined) > CACHED_PAIRS:
+            self.joined.clear()
+        if self.alphabet.issuperset(word):
+            return np.array(self._table(word), "<u4").tobytes()
+        # Characters outside the vocabulary never merge with a neighbour unless a piece holds them; each gives its bytes.
         out: list[int] = []
-        for p in self.pieces(word):
-            i = self.ids.get(p)
-            out.extend([i] if i is not None else (self.byte_ids[b] for b in p.encode()))
+        for run in self._runs(word):
+            out.extend(self._table(run) if run[0] in self.alphabet else [self.byte_ids[b] for b in run.encode()])
         return np.array(out, "<u4").tobytes()
 
+    def _runs(self, word: str) -> list[str]:
+        """Runs of characters inside the vocabulary, and single characters outside it."""
+        out, run = [], ""
+        for c in word:
+            if c in self.alphabet:
+                run += c
+            else:
+                out += [run, c] if run else [c]
+                run = ""
+        return [*out, run] if run else out
+
     def encode(self, text: str) -> bytes:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
         head, tail = np.array([self.bos], "<u4").tobytes(), np.array([self.eos], "<u4").tobytes()
@@ -145,10 +160,15 @@ class PrefixTableBpe:
         known = self.words
         if len(known) > CACHED_WORDS:
             known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self._word(MARK + w)
-        return b"".join([head, *[known[w] for w in words], tail])
+        found = list(map(known.get, words))
+        if None in found:
+            for n, ids in enumerate(found):
+                if ids is None:
+                    w = words[n]
+                    if w not in known:
+                        known[w] = self._word(MARK + w)
+                    found[n] = known[w]
+        return b"".join((head, *found, tail))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: begin and end ids give nothing, the dummy space is taken off, bytes are joined to characters."""
@@ -167,12 +187,9 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     One narrow pass; the model is a file of under a MB and goes to each worker once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    state: list[PrefixTableBpe] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        if not state:
-            state.append(PrefixTableBpe(shared.value))
-        codec = state[0]
+        codec = per_worker(("piece-bpe", hashlib.md5(shared.value).hexdigest()), lambda: PrefixTableBpe(shared.value))
         for a in range(0, batch.num_rows, 500):
             part = batch.slice(a, 500)
             ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
