@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from slantspark.session import cut_lineage, scratch_path
 
-__all__ = ["cut_lineage", "scratch_path", "table", "heldout", "map_arrow", "binary_texts", "word_table", "segment_offsets",
+__all__ = ["cut_lineage", "scratch_path", "table", "heldout", "map_arrow", "binary_texts", "word_table",
            "per_worker", "slices", "partitions_for", "sliding_min"]
 
 
@@ -68,24 +68,20 @@ def word_table(keep_digits_letters_only: bool) -> bytes:
 
 
 def per_worker(key: tuple, make: Callable):
-    """One object per Python worker process and key (Spark reuses workers), so caches outlive a task.
+    """One object per Python worker process (Spark reuses workers), so a cache outlives a task.
 
-    Functions reach workers by value, so the store hangs on a module that every worker has.  The last four keys stay.
+    Functions reach workers by value, so the store hangs on a module that every worker has.  Only the object asked for
+    last stays: the caches of an earlier stage do not weigh on a later one.
     """
     import pyspark
 
     store = pyspark.__dict__.setdefault("_slantspark_per_worker", {})
     if key not in store:
-        while len(store) >= 4:
-            store.pop(next(iter(store)))
+        store.clear()
         store[key] = make()
     return store[key]
 
 
-def segment_offsets(lengths) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))])
-
-
 def partitions_for(df: DataFrame, at_least: int = 1) -> int:
     """Shuffle partitions of the session, the knob a deployment sizes to its input."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_texts, cut_lineage, map_arrow, partitions_for
+from .common import binary_texts, cut_lineage, map_arrow, partitions_for, slices
 from .components import components
-from .winnow import _Hashes, gram_hashes
+from .winnow import SLICE_BYTES, _Hashes, gram_hashes, known_hashes
 
 BINS = 120
 BLOCK_BYTES = 16 << 20
@@ -46,8 +46,6 @@ def shingle_set(text: bytes, k: int, known: _Hashes) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(known) > 500_000:
-        known.clear()
     return np.unique(gram_hashes(np.array([known[w] for w in words], np.uint64), min(k, len(words))))
 
 
@@ -83,11 +81,10 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
-    known = _Hashes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
+        known = known_hashes()
+        for part in slices(batch, 1, SLICE_BYTES):
             n, h1, h2, bands = [], [], [], []
             for text in binary_texts(part.column(1)):
                 s = shingle_set(text, k, known)
@@ -102,11 +99,10 @@ def _signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    known = _Hashes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for a in range(0, batch.num_rows, 500):
-            part = batch.slice(a, 500)
+        known = known_hashes()
+        for part in slices(batch, 1, SLICE_BYTES):
             yield {"rep": part.column(0), "shingles": pa.array([shingle_set(t, k, known).view(np.int64) for t in binary_texts(part.column(1))], pa.list_(pa.int64()))}
 
     return map_arrow(docs, run, "rep long, shingles array<long>")

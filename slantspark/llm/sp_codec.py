@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, per_worker
 
 MARK = "▁"
-CACHED_WORDS = 800_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 400_000
+CACHED_PAIRS = 400_000
 
 
 class PrefixTableBpe:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, cut_lineage, heldout, map_arrow
-from .winnow import _Hashes, word_hashes
+from .common import binary_texts, cut_lineage, heldout, map_arrow, slices
+from .winnow import SLICE_BYTES, known_hashes, word_hashes
 
 DISCOUNT = 0.75
 STRONGEST = 3
@@ -113,9 +113,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def _bigram_counts(sample: DataFrame) -> DataFrame:
     """(context, word, c00, c01, c10, c11): counts of class-half pairs over the sample."""
-    known = _Hashes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        known = known_hashes()
         toxic, half = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for t, h, text in zip(toxic, half, binary_texts(batch.column(0))):
             words = word_hashes(text, known)
@@ -126,15 +126,15 @@ def _bigram_counts(sample: DataFrame) -> DataFrame:
                    "part": np.full(size, 2 * int(t) + int(h), np.int32), "n": counts}
 
     rows = map_arrow(sample.select("text", "toxic", "half"), run, "context long, word long, part int, n long")
-    return rows.groupBy("context", "word").agg(*[F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(f"c{p}") for p in range(4)])
+    return rows.groupBy("context", "word").agg(*[F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).cast("int").alias(f"c{p}") for p in range(4)])
 
 
 def _described(texts: DataFrame, models: list[dict], columns: str) -> DataFrame:
     """Differences of each row's text by the model numbered ``which``."""
     shared = texts.sparkSession.sparkContext.broadcast(models)
-    known = _Hashes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        known = known_hashes()
         which = batch.column(1).to_numpy()
         yield {"which": which, "toxic": batch.column(2),
                "x": [differences(shared.value[m], word_hashes(t, known)) for m, t in zip(which, binary_texts(batch.column(0)))]}
@@ -143,7 +143,7 @@ def _described(texts: DataFrame, models: list[dict], columns: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          fold: int = 0, folds: int = 5, sample: int = 2000) -> dict:
+          fold: int = 0, folds: int = 5, sample: int = 1500) -> dict:
     """Fit on labelled rows outside the held-out fold; the result holds arrays bounded by the sample."""
     usable = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
               .agg(F.max(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("toxic")).where(~heldout(F.col("doc_id"), fold, folds)))
@@ -185,10 +185,11 @@ def _probability(model: dict, words: np.ndarray) -> float:
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", fold: int = 0, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every text, in one narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    known = _Hashes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {"doc_id": batch.column(0), "score": [_probability(shared.value, word_hashes(t, known)) for t in binary_texts(batch.column(1))]}
+        known = known_hashes()
+        for part in slices(batch, 1, SLICE_BYTES):
+            yield {"doc_id": part.column(0), "score": [_probability(shared.value, word_hashes(t, known)) for t in binary_texts(part.column(1))]}
 
     rows = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
     return rows.select("doc_id", heldout(F.col("doc_id"), fold, folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -197,11 +198,12 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 def keep_ordinary(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, whose score is below one half."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    known = _Hashes()
     place = docs.columns.index(text_col)
 
     def keep(batches):
+        known = known_hashes()
         for batch in batches:
-            yield batch.filter(pa.array([_probability(shared.value, word_hashes(t, known)) < 0.5 for t in binary_texts(batch.column(place))], pa.bool_()))
+            for part in slices(batch, place, SLICE_BYTES):
+                yield part.filter(pa.array([_probability(shared.value, word_hashes(t, known)) < 0.5 for t in binary_texts(part.column(place))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -25,25 +25,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, map_arrow, sliding_min, word_table
+from .common import binary_texts, map_arrow, per_worker, slices, sliding_min, word_table
 
 WORDS = word_table(True)
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
+SLICE_BYTES = 4 << 20
 
 
 class _Hashes(dict):
     """Word -> 64-bit hash, each computed once."""
 
     def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
         self[word] = got = xxhash.xxh64_intdigest(word)
         return got
 
 
+def known_hashes() -> _Hashes:
+    """The worker's one cache of word hashes, shared by all operators that run in it."""
+    return per_worker(("word-hashes",), _Hashes)
+
+
 def word_hashes(text: bytes, known: _Hashes) -> np.ndarray:
-    words = text.translate(WORDS).split()
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    return np.array([known[w] for w in words], np.uint64)
+    return np.array([known[w] for w in text.translate(WORDS).split()], np.uint64)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -168,12 +173,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def _narrow(docs, items, id_col, text_col, item_id, item_text, plan, clean) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_read_items(items, item_id, item_text))  # at most broadcast_bytes of text
-    known, state = _Hashes(), []
+    state = []
 
     def settle(texts: pa.Array):
         if not state:
             state.append(Fingerprints(shared.value, plan))
-        listed = state[0]
+        listed, known = state[0], known_hashes()
         for text in binary_texts(texts):
             words = word_hashes(text, known)
             found = listed.hits(words)
@@ -185,23 +190,24 @@ def _narrow(docs, items, id_col, text_col, item_id, item_text, plan, clean) -> D
 
         def keep(batches):
             for batch in batches:
-                yield batch.filter(pa.array([hit == 0 for _, hit, _ in settle(batch.column(place))], pa.bool_()))
+                for part in slices(batch, place, SLICE_BYTES):
+                    yield part.filter(pa.array([hit == 0 for _, hit, _ in settle(part.column(place))], pa.bool_()))
 
         return docs.mapInArrow(keep, schema)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        n, hit, ids = (list(x) for x in zip(*settle(batch.column(1)))) if batch.num_rows else ([], [], [])
-        yield {"doc_id": batch.column(0), "n_words": n, "n_hit": hit, "n_items": [len(x) for x in ids],
-               "items_sha256": [_items_digest(x) for x in ids], "contaminated": [x > 0 for x in hit]}
+        for part in slices(batch, 1, SLICE_BYTES):
+            n, hit, ids = (list(x) for x in zip(*settle(part.column(1))))
+            yield {"doc_id": part.column(0), "n_words": n, "n_hit": hit, "n_items": [len(x) for x in ids],
+                   "items_sha256": [_items_digest(x) for x in ids], "contaminated": [x > 0 for x in hit]}
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, RESULT)
 
 
 def fingerprints(df: DataFrame, key: str, text_col: str, plan: Plan, spans: list[int], as_items: bool) -> DataFrame:
     """(key, span, fp): the distinct kept grams of each text, for each span an item may have."""
-    known = _Hashes()
-
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        known = known_hashes()
         keys, kinds, fps = [], [], []
         for row, text in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1))):
             words = word_hashes(text, known)
@@ -225,9 +231,9 @@ def _shuffled(docs, items, id_col, text_col, item_id, item_text, plan, clean) ->
     spans = [r["span"] for r in item_fps.select("span").distinct().collect()]  # at most ``span`` numbers
     doc_fps = fingerprints(docs_in.where(F.col("doc_id").isNotNull()), "doc_id", "text", plan, spans, False)
     pairs = doc_fps.join(item_fps, ["span", "fp"]).select("doc_id", "item").distinct()
-    known = _Hashes()
 
     def extend(batch: pa.RecordBatch) -> Iterator[dict]:
+        known = known_hashes()
         out = {"doc_id": [], "item": [], "spans": []}
         for d, item, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_texts(batch.column(2)), binary_texts(batch.column(3))):
             found = Fingerprints([(item, word_hashes(b, known))], plan).hits(word_hashes(a, known))
