@@ -23,15 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table whose text feeds CPU-heavy per-row work: spread over enough tasks.
-
-    Large inputs already scan into many splits and are left alone (no shuffle).
-    """
-    from slantspark.session import spread
-    return spread(table(spark, sf_dir, name), key)
-
-
 def bias_from_labels(quality: Column, toxic: Column) -> Column:
     return (F.when((quality == 1) & (toxic == 0), F.lit("least"))
             .when((quality == 0) & (toxic == 0), F.lit("left-center"))
@@ -39,13 +30,13 @@ def bias_from_labels(quality: Column, toxic: Column) -> Column:
             .when((quality == 0) & (toxic == 1), F.lit("right")))
 
 
-def articles_raw(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame:
+def articles_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``articles_raw`` schema: article_id, title, published_at (all strings), article_text.
 
-    ``heavy``: the rows feed CPU-heavy text work (see ``text_table``)."""
-    d = text_table(spark, sf_dir, "documents", "doc_id") if heavy else table(spark, sf_dir, "documents")
+    ``title`` keeps a null source, so that null profiles count something; the merge fills it."""
+    d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").cast("string").alias("article_id"),
-                    F.coalesce(F.col("source"), F.lit("")).alias("title"),
+                    F.col("source").alias("title"),
                     F.lit("").alias("published_at"),
                     F.col("text").alias("article_text"))
 

@@ -1,97 +1,194 @@
 """XML sources S1-S3 (and the writers used to derive XML from tables).
 
-S1  article scan: a splittable text scan with ``lineSep='</article>'`` gives
-    one record per article (no whole-file DOM), the ``<article`` fragment is
-    cut out and re-closed; attributes come from the same single parse as the
-    text (lead mode) or from ``xpath`` in the JVM (full mode).
-S2  text extraction, two modes:
-    * ``lead`` (reference parity): children first, then the element's own
-      leading text; text after a child (its tail) is never read.  Runs as a
-      small per-row walk in ``mapInPandas`` over Arrow batches;
-    * ``full``: every text node in document order, ``xpath_string(x, 'article')``
-      (JVM, no Python).
-S3  ground-truth scan: Spark's built-in XML source, attributes only, explicit
-    all-string schema.
+Articles and ground truth are scanned alike.  A text scan with ``lineSep='</article>'`` (``'>'`` for ground truth, whose
+elements are often self-closing and matter by their attributes alone) is splittable and gives each task its records in file order; a small state machine in the task walks over them, knows comments, CDATA
+sections, processing instructions and quoted attributes, joins records that such a section cut in two, and hands
+each complete ``<article>`` element (self-closing ones too) to the parser.  Every element gives one row: an element
+that does not parse gives a row with its fragment and the error.  ``on_error='raise'`` (default, like the
+reference) fails the job on it; ``'quarantine'`` leaves it out of the result, and ``rejected_articles`` returns it.
+A comment or CDATA section that holds ``</article>`` and runs over the end of a split is an error too (read such a
+file with a larger ``spark.sql.files.maxPartitionBytes``).
+
+Text extraction (S2): ``lead`` (reference parity) is the leading text of every element in the order in which the
+elements end, tails are never read; ``full`` is every text node in document order.
 """
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ARTICLE_FRAGMENT = r"(?s)(<article[\s>/].*)"
+END = "</article>"
+_TOKEN = re.compile(r"<!--|<!\[CDATA\[|<\?|<article(?=[\s>/])")
+_CLOSE = {"<!--": "-->", "<![CDATA[": "]]>", "<?": "?>"}
+_START_TAG = re.compile(r"<article(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>")
 
-TRUTH_SCHEMA = T.StructType([
-    T.StructField("_id", T.StringType()),
-    T.StructField("_url", T.StringType()),
-    T.StructField("_hyperpartisan", T.StringType()),
-    T.StructField("_bias", T.StringType()),
-    T.StructField("_labeled-by", T.StringType()),
-])
+SCAN_SCHEMA = ("article_id string, title string, published_at string, article_text string, url string, "
+               "hyperpartisan string, bias string, labeled_by string, fragment string, error string")
 
 
 def lead_text(element: ET.Element) -> str:
-    """Children first (recursively), then the element's own leading text; tails ignored."""
-    parts = [lead_text(child) for child in element]
-    if element.text:
-        parts.append(element.text)
-    return "".join(parts)
-
-
-def _extract_lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One parse per article: attributes and lead-mode text together."""
-    for pdf in batches:
-        rows = []
-        for x in pdf["xml"]:
-            try:
-                el = ET.fromstring(x)
-            except ET.ParseError:
-                rows.append((None, "", "", None))
+    """The leading texts of all elements under ``element`` (itself included) in the order in which they end."""
+    last_first, stack = [], [element]
+    while stack:
+        e = stack.pop()
+        last_first.append(e.text or "")
+        stack.extend(e)
+    return "".join(reversed(last_first))
+
+
+class ArticleScanner:
+    """Elements from the records of one file, fed in order; ``finish`` reports what is left open."""
+
+    def __init__(self):
+        self.text, self.at, self.depth, self.start = "", 0, 0, 0
+
+    def feed(self, record: str) -> Iterator[str]:
+        """Complete elements once this record, which an end tag followed, is read."""
+        self.text += record
+        while True:
+            m = _TOKEN.search(self.text, self.at)
+            if m is None:
+                break
+            if m.group() in _CLOSE:
+                close = self.text.find(_CLOSE[m.group()], m.end())
+                if close < 0:  # the section goes on: the end tag was part of it
+                    self.at = m.start()
+                    self.text += END
+                    return
+                self.at = close + len(_CLOSE[m.group()])
                 continue
-            rows.append((el.get("id"), el.get("title", ""), el.get("published-at", ""), lead_text(el)))
-        yield pd.DataFrame(rows, columns=["article_id", "title", "published_at", "article_text"])
-
-
-def article_fragments(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``<article ...>...</article>`` element, as an XML string."""
-    raw = spark.read.text(path, lineSep="</article>")
-    frag = F.regexp_extract("value", ARTICLE_FRAGMENT, 1)
-    return (raw.select(frag.alias("frag")).where(F.col("frag") != "")
-            .select(F.when(F.col("frag").endswith("/>"), F.col("frag"))
-                    .otherwise(F.concat("frag", F.lit("</article>"))).alias("xml")))
+            tag = _START_TAG.match(self.text, m.start())
+            if tag is None:
+                yield self.text[m.start():] + END
+                self._drop(len(self.text))
+                return
+            if self.depth == 0:
+                self.start = m.start()
+            self.at = tag.end()
+            if tag.group().endswith("/>"):
+                if self.depth == 0:
+                    yield self.text[self.start: self.at]
+                    self._drop(self.at)
+            else:
+                self.depth += 1
+        if self.depth == 0:
+            self._drop(len(self.text))
+            return
+        self.depth -= 1
+        self.text += END
+        self.at = len(self.text)
+        if self.depth == 0:
+            yield self.text[self.start:]
+            self._drop(self.at)
+
+    def _drop(self, upto: int) -> None:
+        self.text, self.at, self.depth, self.start = self.text[upto:], 0, 0, 0
+
+    def finish(self) -> Iterator[str]:
+        """An element or section still open when the records end."""
+        if self.depth or self.at < len(self.text) and _TOKEN.match(self.text, self.at):
+            yield self.text[self.start if self.depth else self.at:]
+        self._drop(len(self.text))
+
+
+class TagScanner:
+    """Start tags of article elements, as self-closing elements, from records that a ``>`` followed."""
+
+    def __init__(self):
+        self.text, self.at = "", 0
+
+    def feed(self, record: str) -> Iterator[str]:
+        self.text += record + ">"
+        while m := _TOKEN.search(self.text, self.at):
+            self.at = m.start()
+            if m.group() in _CLOSE:
+                close = self.text.find(_CLOSE[m.group()], m.end())
+                if close < 0:
+                    return
+                self.at = close + len(_CLOSE[m.group()])
+                continue
+            tag = _START_TAG.match(self.text, m.start())
+            if tag is None:  # a quoted ``>``: the tag goes on
+                return
+            yield tag.group() if tag.group().endswith("/>") else tag.group()[:-1] + "/>"
+            self.at = tag.end()
+        self.text, self.at = "", 0
+
+    def finish(self) -> Iterator[str]:
+        if _TOKEN.match(self.text, self.at):
+            yield self.text[self.at:]
+        self.text, self.at = "", 0
+
+
+def _rows(fragment: str, mode: str) -> Iterator[tuple]:
+    try:
+        root = ET.fromstring(fragment)
+    except ET.ParseError as e:
+        yield (None,) * 8 + (fragment, str(e))
+        return
+    for el in root.iter("article"):
+        text = lead_text(el) if mode == "lead" else "".join(el.itertext())
+        yield (el.get("id"), el.get("title", ""), el.get("published-at", ""), text, el.get("url", ""),
+               el.get("hyperpartisan", ""), el.get("bias"), el.get("labeled-by", ""), None, None)
+
+
+def scan(spark: SparkSession, path: str, mode: str = "lead") -> DataFrame:
+    """Every article element with its attributes and text, or its fragment and error (``tags``: attributes alone)."""
+    if mode not in ("lead", "full", "tags"):
+        raise ValueError("mode must be 'lead', 'full' or 'tags'")
+    raw = spark.read.text(path, lineSep=">" if mode == "tags" else END).select("value", F.col("_metadata.file_path").alias("file"))
+    names = [part.split()[0] for part in SCAN_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner, file = TagScanner() if mode == "tags" else ArticleScanner(), None
+
+        def table(fragments):
+            rows = [r for f in fragments for r in _rows(f, mode)]
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            return pa.RecordBatch.from_pydict({n: pa.array(c, pa.string()) for n, c in zip(names, columns)})
+
+        for batch in batches:
+            found = []
+            for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != file:
+                    found += scanner.finish()
+                    file = name
+                found += scanner.feed(value)
+            yield table(found)
+        yield table(list(scanner.finish()))
+
+    return raw.mapInArrow(run, SCAN_SCHEMA)
+
+
+def _checked(scanned: DataFrame, columns: list[str], on_error: str) -> DataFrame:
+    if on_error == "quarantine":
+        return scanned.where("error IS NULL").select(*columns)
+    if on_error != "raise":
+        raise ValueError("on_error must be 'raise' or 'quarantine'")
+    message = F.concat(F.lit("article does not parse: "), F.col("error"), F.lit(" in "), F.substring("fragment", 1, 200))
+    first = F.when(F.col("error").isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col(columns[0]))
+    return scanned.select(first.alias(columns[0]), *columns[1:])
+
+
+def read_articles(spark: SparkSession, path: str, mode: str = "lead", on_error: str = "raise") -> DataFrame:
+    """S1 + S2: article_id (null when absent), title, published_at ('' when absent), article_text."""
+    return _checked(scan(spark, path, mode), ["article_id", "title", "published_at", "article_text"], on_error)
 
 
-def _attr(name: str) -> Column:
-    """Attribute value; null when the attribute is absent, '' when it is empty."""
-    return F.try_element_at(F.expr(f"xpath(xml, 'article/@{name}')"), F.lit(1))
+def read_truth(spark: SparkSession, path: str, on_error: str = "raise") -> DataFrame:
+    """S3: article_id, url, hyperpartisan, bias, labeled_by as strings (id and bias null when absent, the others '')."""
+    return _checked(scan(spark, path, "tags"), ["article_id", "url", "hyperpartisan", "bias", "labeled_by"], on_error)
 
 
-def read_articles(spark: SparkSession, path: str, mode: str = "lead") -> DataFrame:
-    """S1 + S2: article_id (null when absent), title, published_at ('' when absent), article_text."""
-    frags = article_fragments(spark, path)
-    if mode == "full":
-        return frags.select(_attr("id").alias("article_id"),
-                            F.coalesce(_attr("title"), F.lit("")).alias("title"),
-                            F.coalesce(_attr("published-at"), F.lit("")).alias("published_at"),
-                            F.expr("xpath_string(xml, 'article')").alias("article_text"))
-    if mode != "lead":
-        raise ValueError("mode must be 'lead' or 'full'")
-    schema = "article_id string, title string, published_at string, article_text string"
-    return frags.mapInPandas(_extract_lead, schema)
-
-
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """S3: article_id, url, hyperpartisan, bias, labeled_by as strings (absent -> null)."""
-    df = (spark.read.format("xml").option("rowTag", "article").option("attributePrefix", "_")
-          .option("ignoreSurroundingSpaces", "false").schema(TRUTH_SCHEMA).load(path))
-    return df.select(F.col("_id").alias("article_id"), F.coalesce("_url", F.lit("")).alias("url"),
-                     F.coalesce("_hyperpartisan", F.lit("")).alias("hyperpartisan"), F.col("_bias").alias("bias"),
-                     F.coalesce("`_labeled-by`", F.lit("")).alias("labeled_by"))
+def rejected_articles(spark: SparkSession, path: str, mode: str = "lead") -> DataFrame:
+    """(fragment, error) of every element that does not parse (``mode='tags'`` for a ground-truth file)."""
+    return scan(spark, path, mode).where("error IS NOT NULL").select("fragment", "error")
 
 
 # --- writers (derive XML from tables) -------------------------------------------------------

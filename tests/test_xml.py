@@ -2,6 +2,8 @@
 import os
 import tempfile
 
+import pytest
+
 from slantspark.sources import xml as X
 
 ARTICLES = """<?xml version="1.0" encoding="utf-8"?>
@@ -57,6 +59,73 @@ def test_truth_scan(spark):
     assert rows["3"]["bias"] is None and rows["3"]["labeled_by"] == "publisher"
 
 
+HARD = """<?xml version="1.0"?><!-- a comment with <article id="no"> and </article> in it -->
+<articles><article id="1"/><article id="2" title="a > b"><p>two</p></article>
+<article id="3"/><article id="4"/><article id="5"><![CDATA[x </article> <article id="no"> y]]><p>five</p></article>
+<article id="6"><!-- </article> --><p>six<b>in</b>out</p></article><sec><sub><article id='7' title='q"q'>seven</article></sub></sec>
+<article id="8"><p>eight</p></article>
+</articles>"""
+
+
+def test_self_closing_cdata_comments_and_nesting(spark):
+    rows = {r.article_id: (r.title, r.article_text) for r in X.read_articles(spark, _write(HARD)).collect()}
+    assert rows == {"1": ("", ""), "2": ("a > b", "two"), "3": ("", ""), "4": ("", ""), "5": ("", "fivex </article> <article id=\"no\"> y"),
+                    "6": ("", "insix"), "7": ('q"q', "seven"), "8": ("", "eight")}
+    full = {r.article_id: r.article_text for r in X.read_articles(spark, _write(HARD), "full").collect()}
+    assert full["6"] == "sixinout" and full["5"].endswith("yfive")
+
+
+def test_malformed_articles_raise_or_are_returned(spark):
+    text = ARTICLES.replace("Just a paragraph.", "fish & chips").replace("nested", "<open>")
+    path = _write(text)
+    with pytest.raises(Exception, match="does not parse"):
+        X.read_articles(spark, path).collect()
+    kept = X.read_articles(spark, path, on_error="quarantine").collect()
+    bad = X.rejected_articles(spark, path).collect()
+    assert len(kept) == 4 and len(bad) == 2
+    assert sorted("fish" in r.fragment for r in bad) == [False, True] and all(r.error for r in bad)
+
+
+def test_unterminated_sections_and_tags_are_not_lost(spark):
+    for text in ('<articles><article id="1">a</article><article id="2"><![CDATA[never closed</article>', '<articles><article id="1">a</article><article id="2',
+                 '<articles><article id="1">a</article><!-- open </article>'):
+        bad = X.rejected_articles(spark, _write(text)).collect()
+        assert len(bad) == 1, text
+        assert [r.article_id for r in X.read_articles(spark, _write(text), on_error="quarantine").collect()] == ["1"]
+
+
+def test_nested_articles_each_give_a_row(spark):
+    rows = {r.article_id: r.article_text for r in X.read_articles(spark, _write(
+        '<a><article id="1">out<article id="2">in</article>tail</article><article id="3">x</article></a>')).collect()}
+    assert rows == {"1": "inout", "2": "in", "3": "x"}
+
+
+def test_truth_tags_with_quoted_brackets(spark):
+    text = "<t><article id='1' url='http://a?x>y' hyperpartisan='true' bias='left'/><!-- <article id='no'/> --><article id='2' bias=''></article></t>"
+    rows = {r.article_id: (r.url, r.bias) for r in X.read_truth(spark, _write(text)).collect()}
+    assert rows == {"1": ("http://a?x>y", "left"), "2": ("", "")}
+
+
+def test_one_file_is_read_in_several_splits(spark):
+    n = 3000
+    arts = "<articles>\n" + "".join(f'<article id="{k}" title="t"><p>text {k} {"x" * 200}</p></article>\n' for k in range(n)) + "</articles>"
+    truth = "<articles>\n" + "".join(f'<article id="{k}" url="u" hyperpartisan="true" bias="left" labeled-by="p"/>\n' for k in range(n)) + "</articles>"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        for df in (X.read_articles(spark, _write(arts)), X.read_truth(spark, _write(truth))):
+            assert df.rdd.getNumPartitions() > 3
+            assert sorted(int(r.article_id) for r in df.select("article_id").collect()) == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_deep_nesting_does_not_recurse():
+    import xml.etree.ElementTree as ET
+    el = ET.fromstring("<article>" + "<p>x" * 3000 + "</p>" * 3000 + "</article>")
+    assert X.lead_text(el) == "x" * 3000
+
+
 def test_lead_text_python_walk():
     import xml.etree.ElementTree as ET
     el = ET.fromstring("<article><p>Hello <a>world</a> tail</p><q>one</q><p>two b</p></article>")
