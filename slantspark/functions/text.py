@@ -35,7 +35,7 @@ def trim_spaces(col) -> Column:
 
 def strip_tags_or_urls(col) -> Column:
     """T4: remove ``<...>`` (non-greedy, single line) or a URL."""
-    return F.regexp_replace(_c(col), P.TAG_OR_URL_JAVA, "")
+    return F.regexp_replace(_c(col), P.TAG_OR_URL_JAVA, "$1")
 
 
 def lowercase(col) -> Column:
@@ -57,7 +57,7 @@ def dl_strip_urls(col) -> Column:
 
 def dl_strip_tags(col) -> Column:
     """T8."""
-    return F.regexp_replace(_c(col), P.DL_TAG_JAVA, "")
+    return F.regexp_replace(_c(col), P.DL_TAG_JAVA, "$1")
 
 
 def dl_strip_punctuation(col) -> Column:
@@ -67,13 +67,13 @@ def dl_strip_punctuation(col) -> Column:
 
 def dl_lower_strip(col) -> Column:
     """Lowercase, then strip Unicode whitespace at both ends (newlines survive inside)."""
-    return F.regexp_replace(F.lower(_c(col)), P.EDGE_WS, "")
+    return F.btrim(F.lower(_c(col)), F.lit(P.WS_CHARS))
 
 
 def dl_strip_brackets(col) -> Column:
     """``[...]`` removal.  A no-op after T9 (brackets are gone); kept for callers
     that use it on other text."""
-    return F.regexp_replace(_c(col), r"(?d)\[.*?\]", "")
+    return F.regexp_replace(_c(col), P.BRACKETS, "")
 
 
 def dl_strip_dots(col) -> Column:
@@ -89,8 +89,6 @@ def preprocess_text_classifier(col) -> Column:
 # --- prediction string (T14) -------------------------------------------------
 
 def format_prediction(label: Column | str, probability: Column | str) -> Column:
-    """``label,p0,p1,...`` with probabilities in class order."""
-    from pyspark.ml.functions import vector_to_array
-
-    probs = F.transform(vector_to_array(_c(probability)), lambda p: p.cast("string"))
+    """``label,p0,p1,...`` with probabilities (an array of doubles) in class order."""
+    probs = F.transform(_c(probability), lambda p: p.cast("string"))
     return F.concat_ws(",", _c(label), F.array_join(probs, ","))
