@@ -1,8 +1,8 @@
 """Session helpers: a local session for tests/bench, and the shared scratch folder.
 
 Scratch output (lineage cuts, round-trip checks) always goes under the folder the
-cluster names in ``spark.checkpoint.dir``.  Only when that is unset (local tests)
-do we create one ourselves.
+cluster names in ``spark.checkpoint.dir``.  Only a local master may leave it unset
+(tests, bench); elsewhere a machine-local folder would be lost, so that raises.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "16m")  # CPU-bound text work: more, smaller splits
         .config("spark.driver.memory", os.environ.get("SLANT_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
@@ -35,13 +36,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder, creating a local one only if unset on a local master."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set; name a folder that the driver and all executors share")
     # Unset (local tests / bench only): create one and register it.
     local = tempfile.mkdtemp(prefix="slantspark-ckpt-")
     try:
@@ -70,21 +73,8 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give CPU-heavy text work enough tasks.
-
-    A large scan already has many splits and is returned unchanged (no extra
-    shuffle).  Only a scan with fewer partitions than the default parallelism
-    (one small file, one row group) is redistributed -- round robin, never by
-    ``key``, so a hot key cannot pile up in one task.  (``key`` is accepted
-    for callers that document their key; it does not steer placement.)
-    """
-    spark = df.sparkSession
-    try:
-        want = spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the plan alone
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want)
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder after use, on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
