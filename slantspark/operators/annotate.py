@@ -1,14 +1,12 @@
-"""Token annotation K1-K9 as Spark jobs.
+"""Token annotation K1-K8 as Spark jobs.
 
 The reference runs a pre-trained English pipeline per row.  Here every
 annotation is a native array expression on the article row (K1-K8): the
 tokens of one document never leave its row, so annotation is a narrow map
 with no shuffle and scales with the text volume.  ``fit_tagger`` and
 ``fit_suffix_tagger`` (K2) learn word and suffix lexicons from a tagged token
-table with grouped aggregations, and ``apply_tagger`` joins them back
-(broadcast only when the row count is checked).  ``entity_spans`` (K4) matches
-a gazetteer table (longest non-overlapping spans).  ``annotate_with`` (K9)
-lets an installed model replace K1-K6 through Arrow batches (``mapInPandas``).
+table with grouped aggregations, and ``apply_tagger`` joins them back.
+``entity_spans`` (K4) matches a gazetteer table (longest non-overlapping spans).
 
 Fidelity: K1, K7, K8 are exact given our tokeniser; K2-K6 are lexicon and rule
 approximations of a statistical model (see README).
@@ -16,18 +14,13 @@ approximations of a statistical model (see README).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slantspark.functions import lexicon as L
 from slantspark.functions import patterns as P
 
-# Lexicons above this many rows are joined with a shuffle instead of broadcast.
-BROADCAST_LEXICON_ROWS = 2_000_000
-
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -141,11 +134,6 @@ def rule_code(x: Column) -> Column:
     return rule_tag(x, out=tag_group)
 
 
-def tag_group_codes(tokens) -> Column:
-    """K2 for the feature path: one group character per token (one interpreted pass)."""
-    return F.transform(_c(tokens), rule_code)
-
-
 # Token flags as one lowercase letter: 'a' + bitmask of
 #   1 stop word (K6)   2 punctuation (K7)   4 digits only (K8)   8 entity token (K4)
 FLAG_STOP, FLAG_PUNCT, FLAG_DIGIT, FLAG_ENTITY = 1, 2, 4, 8
@@ -216,22 +204,6 @@ def is_entity_token(x: Column) -> Column:
     return starts_with_digit(x) | x.isin(L.ENTITY_WORDS + L.ENTITY_SIGNS)
 
 
-def entity_stats(tokens) -> Column:
-    """K4: entities are maximal runs of entity tokens.
-
-    Returns struct(runs, chars): number of runs and their summed length with
-    tokens joined by one space.  A flag string ('E' per entity token) gives
-    the runs and token count with codegen'd string functions; one filter gives
-    the entity characters.
-    """
-    toks = _c(tokens)
-    flags = F.array_join(F.transform(toks, lambda x: F.when(is_entity_token(x), F.lit("E")).otherwise(F.lit("-"))), "")
-    runs = F.size(F.regexp_extract_all(flags, F.lit("E+"), 0))
-    n_ent = F.length(flags) - F.length(F.replace(flags, F.lit("E"), F.lit("")))
-    ent_chars = F.length(F.array_join(F.filter(toks, is_entity_token), ""))
-    return F.struct(runs.alias("runs"), (ent_chars + n_ent - runs).alias("chars"))
-
-
 def ngrams(tokens, max_n: int) -> Column:
     """All 1..max_n-grams of a token array as structs (start, n, gram), gram space-joined."""
     toks = _c(tokens)
@@ -245,34 +217,41 @@ def ngrams(tokens, max_n: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), grams_of))
 
 
-def entity_spans(docs: DataFrame, key: str, tokens_col: str, gazetteer: DataFrame, max_n: int = 4) -> DataFrame:
+def entity_spans(docs: DataFrame, key: str, tokens_col: str, gazetteer: DataFrame) -> DataFrame:
     """K4 with a gazetteer: (key, start, n, entity, label) for the longest
     non-overlapping gazetteer matches, scanning each text left to right.
 
-    ``gazetteer``: (entity, label), entity = lowercase tokens joined by one space.
-    N-grams are generated on the row (narrow), matched with a broadcast join
-    (gazetteer row count checked first), and only the matches -- at most
-    tokens x max_n per text row -- are regrouped per row to pick the spans.
+    ``gazetteer``: (entity, label), entity = lowercase tokens joined by one space; an entity
+    of any length matches, as n-grams go up to the longest one listed.  N-grams are generated on the
+    row (narrow) and joined with the gazetteer (Spark broadcasts it by its bytes); only the
+    matches -- at most tokens x lengths per text row -- are regrouped per row, and one linear
+    walk picks the spans.
     """
-    gaz = _maybe_broadcast(gazetteer.select(F.col("entity").alias("gram"), "label"))
+    longest = gazetteer.agg(F.max(F.size(F.split("entity", " "))).alias("n")).first()["n"] or 1
     rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"),
                        F.col(tokens_col).alias("_toks"))
-    grams = rows.select("_key", "_row", F.explode(ngrams("_toks", max_n)).alias("g")).select("_key", "_row", "g.*")
-    hits = grams.join(gaz, "gram", "inner")
+    grams = rows.select("_key", "_row", F.explode(ngrams("_toks", longest)).alias("g")).select("_key", "_row", "g.*")
+    hits = grams.join(gazetteer.select(F.col("entity").alias("gram"), "label"), "gram", "inner")
     ordered = (hits.groupBy("_row")
                .agg(F.first("_key").alias("_key"),
                     F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("neg_n"), "gram", "label")))
                     .alias("m")))
-    init = F.struct(F.lit(0).alias("free"), F.array().cast(ordered.schema["m"].dataType).alias("keep"))
+    kind = dict(docs.dtypes)[key]
 
-    def step(acc, m):
-        take = m["start"] >= acc["free"]
-        return F.struct(F.when(take, m["start"] - m["neg_n"]).otherwise(acc["free"]).alias("free"),
-                        F.when(take, F.array_append(acc["keep"], m)).otherwise(acc["keep"]).alias("keep"))
+    def pick(batches):
+        for batch in batches:
+            out = []
+            for k, matches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                free = 0
+                for m in matches:
+                    if m["start"] >= free:
+                        out.append((k, m["start"], -m["neg_n"], m["gram"], m["label"]))
+                        free = m["start"] - m["neg_n"]
+            cols = list(zip(*out)) if out else [()] * 5
+            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [key, "start", "n", "entity", "label"])
 
-    chosen = ordered.select("_key", F.explode(F.aggregate("m", init, step)["keep"]).alias("e"))
-    return chosen.select(F.col("_key").alias(key), F.col("e.start").alias("start"), (-F.col("e.neg_n")).alias("n"),
-                         F.col("e.gram").alias("entity"), F.col("e.label").alias("label"))
+    return ordered.select("_key", "m").mapInArrow(pick, f"{key} {kind}, start int, n int, entity string, label string")
 
 
 # --- K5 noun chunks ------------------------------------------------------------------
@@ -289,7 +268,7 @@ def noun_chunk_stats(tokens, tags=None, codes=None) -> Column:
 
     Returns struct(chunks, chars): number of chunks and their summed length in
     characters (tokens joined by one space).  Gaps-and-islands as one fold
-    over (token, group code); pass ``codes`` (``tag_group_codes``) or ``tags``.
+    over (token, group code); pass ``codes`` (``token_codes``) or ``tags``.
     """
     toks = _c(tokens)
     if codes is None:
@@ -392,25 +371,19 @@ def fit_suffix_tagger(tagged: DataFrame | None, tok_col: str = "tok", tag_col: s
     return _best_tag(by_suffix, "suffix")
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a lexicon only after checking its row count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_LEXICON_ROWS else df
-
-
 def apply_tagger(tokens: DataFrame, lexicon: DataFrame, tok_col: str = "tok",
                  suffixes: DataFrame | None = None, suffix_len: int = SUFFIX_LEN) -> DataFrame:
     """K2 apply: learned word tag, else learned suffix tag, else the rule tag.
 
-    Each table is broadcast only after its row count is checked against
-    ``BROADCAST_LEXICON_ROWS``; a larger one goes through a shuffle join
+    Spark broadcasts a lexicon by its bytes; a larger one goes through a shuffle join
     (AQE splits the partitions of very frequent tokens).
     """
-    lex = _maybe_broadcast(lexicon.select(F.col("tok").alias("_lex_tok"), F.col("tag").alias("_lex_tag")))
+    lex = lexicon.select(F.col("tok").alias("_lex_tok"), F.col("tag").alias("_lex_tag"))
     out = tokens.join(lex, tokens[tok_col] == lex["_lex_tok"], "left")
     tag = F.col("_lex_tag")
     drop = ["_lex_tok", "_lex_tag"]
     if suffixes is not None:
-        suf = _maybe_broadcast(suffixes.select(F.col("suffix").alias("_sfx"), F.col("tag").alias("_sfx_tag")))
+        suf = suffixes.select(F.col("suffix").alias("_sfx"), F.col("tag").alias("_sfx_tag"))
         key = F.when(F.length(tok_col) > suffix_len, F.expr(f"right(`{tok_col}`, {suffix_len})"))
         out = out.withColumn("_key", key).join(suf, F.col("_key") == suf["_sfx"], "left")
         tag = F.coalesce(tag, F.col("_sfx_tag"))
@@ -433,45 +406,3 @@ def noun_chunks_long(tags: DataFrame, key: str) -> DataFrame:
                  F.max(F.when(F.col("cls") == "N", 1).otherwise(0)).alias("has_n"))
             .where("has_n = 1")
             .select(key, "island", (F.col("n_chars") + F.col("n_tok") - 1).alias("chunk_chars")))
-
-
-# --- K9 pluggable annotator -------------------------------------------------------------
-
-ANNOTATION_SCHEMA = ("doc_key long, tokens array<string>, tags array<string>, is_stop array<boolean>, "
-                     "sentences int, entities array<string>, noun_chunks array<string>")
-
-
-def python_tokenizer_annotator(texts: list[str]) -> list[dict]:
-    """A minimal external annotator for ``annotate_with``: the K1 token rule in
-    Python (``regex`` module), no tags.  Shows the plug-in contract."""
-    import re
-
-    import regex
-
-    # Python spells code points \uXXXX where Java and RE2 accept \x{...}.
-    py_pattern = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: "\\u%04x" % int(m.group(1), 16), P.TOKEN)
-    pattern = regex.compile(py_pattern)
-    out = []
-    for t in texts:
-        toks = pattern.findall(t or "")
-        out.append({"tokens": toks, "tags": [None] * len(toks), "is_stop": [None] * len(toks),
-                    "sentences": None, "entities": [], "noun_chunks": []})
-    return out
-
-
-def annotate_with(df: DataFrame, key: str, text_col: str,
-                  fn: Callable[[list[str]], list[dict]], schema: str = ANNOTATION_SCHEMA) -> DataFrame:
-    """K9: run an installed annotator over Arrow batches.
-
-    ``fn`` takes a list of texts and returns one dict per text with the keys of
-    ``schema`` (minus ``doc_key``).  Batches are bounded by
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``; nothing is collected.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = fn(pdf["_text"].fillna("").tolist())
-            out = pd.DataFrame(rows)
-            out.insert(0, "doc_key", pdf["_key"].to_numpy())
-            yield out
-
-    return df.select(F.col(key).cast("long").alias("_key"), F.col(text_col).alias("_text")).mapInPandas(run, schema)

@@ -22,8 +22,15 @@ def confusion_long(df: DataFrame, label: str = "label", pred: str = "prediction"
     return df.groupBy(F.col(label).alias("label"), F.col(pred).alias("prediction")).agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(df: DataFrame, classes: list[str], label: str = "label", pred: str = "prediction") -> DataFrame:
-    """A2 (wide form): one row per true label, one column per predicted class."""
+def class_names(df: DataFrame, *cols: str) -> list[str]:
+    """The distinct class names of label columns, sorted (a handful of names on the driver)."""
+    names = F.explode(F.array(*[F.col(c).cast("string") for c in cols]))
+    return sorted(r[0] for r in df.select(names.alias("c")).where("c IS NOT NULL").distinct().collect())
+
+
+def confusion_matrix(df: DataFrame, classes: list[str] | None = None, label: str = "label", pred: str = "prediction") -> DataFrame:
+    """A2 (wide form): one row per true label, one column per class that occurs on either side."""
+    classes = classes or class_names(df, label, pred)
     return (confusion_long(df, label, pred).groupBy("label").pivot("prediction", classes)
             .agg(F.sum("n")).na.fill(0))
 
@@ -85,11 +92,15 @@ def weighted_prf(df: DataFrame, label: str = "label", pred: str = "prediction",
                     for m in ["precision", "recall", "f1_score"]])
 
 
+def nll(p: Column, eps: float = 1e-15) -> Column:
+    """Negative log of the true class's probability, clipped like common log-loss implementations."""
+    return -F.log(F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))
+
+
 def true_class_nll(label_index: str = "label_index", probability: str = "probability", eps: float = 1e-15) -> Column:
-    """Negative log probability of the true class, clipped like common log-loss implementations."""
+    """``nll`` from a probability vector and the true class's index."""
     from pyspark.ml.functions import vector_to_array
-    p = F.element_at(vector_to_array(F.col(probability)), F.col(label_index).cast("int") + 1)
-    return -F.log(F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))
+    return nll(F.element_at(vector_to_array(F.col(probability)), F.col(label_index).cast("int") + 1), eps)
 
 
 def log_loss(df: DataFrame, label_index: str = "label_index", probability: str = "probability",

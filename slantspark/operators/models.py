@@ -10,12 +10,13 @@ Training runs on executors (tree aggregation); scoring is a narrow
 
 from __future__ import annotations
 
-import os
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slantspark.functions.text import format_prediction
@@ -26,22 +27,24 @@ from slantspark.operators import metrics as A
 MAX_DEPTH = 30
 
 
-def _classifier(name: str, seed: int = 42):
+def _classifier(name: str, seed: int = 42, min_rows: int = 1):
     if name == "RandomForest":
         # Deep trees: cache node ids per row instead of re-walking every tree at
         # each level, and give each level's split statistics more room so fewer
         # passes over the data are needed.
         return RandomForestClassifier(featuresCol="features", labelCol="label_index", numTrees=100,
                                       maxDepth=MAX_DEPTH, featureSubsetStrategy="sqrt", seed=seed,
-                                      minInstancesPerNode=1, maxBins=64, cacheNodeIds=True,
+                                      minInstancesPerNode=min_rows, maxBins=64, cacheNodeIds=True,
                                       maxMemoryInMB=1024, checkpointInterval=10)
     if name == "DecisionTree":
         return DecisionTreeClassifier(featuresCol="features", labelCol="label_index", maxDepth=MAX_DEPTH,
-                                      seed=seed, maxBins=64, cacheNodeIds=True, maxMemoryInMB=1024)
+                                      seed=seed, minInstancesPerNode=min_rows, maxBins=64, cacheNodeIds=True,
+                                      maxMemoryInMB=1024)
     raise ValueError(f"unknown model {name}")
 
 
-def pipeline(name: str, features: list[str] | None = None, label: str = "label", seed: int = 42) -> Pipeline:
+def pipeline(name: str, features: list[str] | None = None, label: str = "label", seed: int = 42,
+             min_rows: int = 1) -> Pipeline:
     """Indexer -> assembler -> classifier -> label decoder."""
     feats = features or FE.FEATURE_COLUMNS
     # handleInvalid="error": an extra "unknown" index would add a class (and a
@@ -50,7 +53,7 @@ def pipeline(name: str, features: list[str] | None = None, label: str = "label",
     indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc",
                             handleInvalid="error")
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-    clf = _classifier(name, seed)
+    clf = _classifier(name, seed, min_rows)
     return Pipeline(stages=[indexer, assembler, clf])
 
 
@@ -60,12 +63,25 @@ def with_prediction_label(model: PipelineModel, scored: DataFrame) -> DataFrame:
     return IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels).transform(scored)
 
 
-def fit_all(train: DataFrame, names: tuple[str, ...] = ("RandomForest", "DecisionTree"),
-            label: str = "label") -> dict[str, PipelineModel]:
-    """M6: fit every model on one cached training frame (KNN is in ``operators.knn``)."""
-    labelled = train.where(F.col(label).isNotNull() & (F.col(label) != "")).cache()
+def bounded(train: DataFrame, fit_rows: int | None, id_col: str = "article_id", seed: int = 42) -> DataFrame:
+    """About ``fit_rows`` rows, chosen by a hash of the id (None: all)."""
+    if fit_rows is None:
+        return train
+    share = fit_rows / max(1, train.count())
+    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000))
+    return train.where(h < int(share * 1_000_000))
+
+
+def fit_all(train: DataFrame, names: tuple[str, ...] = ("RandomForest", "DecisionTree"), label: str = "label",
+            fit_rows: int | None = None, min_rows: int = 1) -> dict[str, PipelineModel]:
+    """M6: fit every tree model on one cached training frame (KNN keeps its table, see ``operators.knn``).
+
+    A tree of depth 30 grows with its rows and lies on the driver and in each scoring task.  ``fit_rows`` (default off)
+    bounds the labelled rows used to fit, ``min_rows`` the rows a leaf must hold.
+    """
+    labelled = bounded(train.where(F.col(label).isNotNull() & (F.col(label) != "")), fit_rows).cache()
     try:
-        return {n: pipeline(n, label=label).fit(labelled) for n in names}
+        return {n: pipeline(n, label=label, min_rows=min_rows).fit(labelled) for n in names}
     finally:
         labelled.unpersist()
 
@@ -75,16 +91,16 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return with_prediction_label(model, model.transform(df))
 
 
-def evaluate(models: dict[str, PipelineModel], test: DataFrame, label: str = "label") -> DataFrame:
-    """M8: accuracy and weighted P/R/F1 per model (one row per model)."""
-    if test is None:
-        raise ValueError("No test data available.")
-    out = None
-    for name, m in models.items():
-        scored = predict(m, test).select(F.col(label).alias("label"), F.col("predicted_label").alias("prediction"))
-        row = A.summary(scored).select(F.lit(name).alias("model"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+def summaries(scored: dict[str, DataFrame]) -> DataFrame:
+    """M8: accuracy and weighted P/R/F1 per model, one row per model, from (label, prediction) tables."""
+    rows = [A.summary(s).select(F.lit(n).alias("model"), "*") for n, s in scored.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def reports(scored: dict[str, DataFrame]) -> DataFrame:
+    """M8: the classification report of every model, with the model's name in front."""
+    rows = [A.classification_report(s).select(F.lit(n).alias("model"), "*") for n, s in scored.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def class_order(model: PipelineModel) -> list[str]:
@@ -99,7 +115,7 @@ def predict_text(model: PipelineModel, texts: DataFrame, text_col: str = "articl
     feats = FE.extract_features(texts, text_col, keep=keep)
     scored = predict(model, feats)
     return scored.select(*keep, F.col("predicted_label").alias("prediction"),
-                         format_prediction(F.col("predicted_label"), F.col("probability")).alias("result"))
+                         format_prediction(F.col("predicted_label"), vector_to_array(F.col("probability"))).alias("result"))
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -109,15 +125,10 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 
 def open_model(path: str) -> PipelineModel | None:
-    """The loaded model, or None when nothing is stored at ``path``."""
-    local = path.startswith("/") or path.startswith("file:")
-    if local and not os.path.exists(path.replace("file:", "")):
-        print(f"Error: The file '{path}' does not exist.")
+    """The loaded model, or None (with a note) when nothing is stored at ``path``."""
+    spark = SparkSession.getActiveSession()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        print(f"no model is stored at {path}")
         return None
-    try:
-        return PipelineModel.load(path)
-    except Exception as e:  # noqa: BLE001 - absent/unreadable path on remote storage
-        if "does not exist" in str(e) or "Path does not exist" in str(e):
-            print(f"Error: The file '{path}' does not exist.")
-            return None
-        raise
+    return PipelineModel.load(path)

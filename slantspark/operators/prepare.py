@@ -1,10 +1,9 @@
 """Join and reshaping operators P9-P14 and J1.
 
 J1 is the one shuffle boundary of the dataset build.  The ground-truth side
-is pruned to (article_id, hyperpartisan, bias) before the join, so AQE can
-turn the sort-merge join into a broadcast hash join at runtime when that side
-is small; when it is not, both sides shuffle on the join key and AQE splits
-skewed partitions (duplicate or hot ids).
+is pruned to (article_id, hyperpartisan, bias) before the join; Spark picks
+the broadcast by the bytes of that side (from its statistics, or from the
+shuffle files under AQE), and AQE splits skewed partitions (duplicate or hot ids).
 """
 
 from __future__ import annotations
@@ -20,35 +19,18 @@ CENTER_TO_SIDE = {"left-center": "left", "right-center": "right"}
 # --- end of fixed values ------------------------------------------------------
 
 
-def drop_columns(df: DataFrame, *cols: str) -> DataFrame:
-    """P9."""
-    return df.drop(*cols)
-
-
-def fill_blank(df: DataFrame) -> DataFrame:
-    """P10: nulls in string columns become ''."""
-    return df.na.fill("")
-
-
 def relabel(df: DataFrame, col: str = "bias", mapping: dict[str, str] | None = None) -> DataFrame:
     """Left-center -> left, right-center -> right."""
     return df.na.replace(mapping or CENTER_TO_SIDE, subset=[col])
 
 
-def default_if_missing(df: DataFrame, col: str, default) -> DataFrame:
-    """Add ``col`` with a default when the input lacks it."""
-    return df if col in df.columns else df.withColumn(col, F.lit(default))
-
-
-def default_blank(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Absent attribute values read as ''."""
-    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
 def clean_articles(articles_raw: DataFrame, id_mode: str = "quarantine") -> DataFrame:
-    """P5 -> P6 -> P8 on the article side: article_id BIGINT, title, article_text."""
-    a = Q.keep_valid_ids(articles_raw, "article_id")
-    a = Q.drop_null_text(a, "article_text")
+    """P5 -> P6 -> P8 on the article side: article_id BIGINT, title, article_text.
+
+    ``failfast`` casts every id, so one that is no whole number stops the job
+    (reference behaviour); ``quarantine`` leaves those rows to ``rejected_ids``.
+    """
+    a = Q.drop_null_text(articles_raw, "article_text")
     a = Q.cast_id(a, "article_id", id_mode)
     return a.select("article_id", "title", "article_text")
 
@@ -59,32 +41,25 @@ def clean_truth(truth_raw: DataFrame, id_mode: str = "quarantine") -> DataFrame:
     return t.select("article_id", F.col("hyperpartisan").cast("boolean").alias("hyperpartisan"), "bias")
 
 
-# The pruned label side (article_id, label) is broadcast only up to this many rows
-# (~40 bytes each in the hashed relation, so <= ~80 MB per executor).
-BROADCAST_LABEL_ROWS = 2_000_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Size check before a broadcast: one count job on the (narrow) side."""
-    return df.count() <= (BROADCAST_LABEL_ROWS if max_rows is None else max_rows)
+def rejected_ids(articles_raw: DataFrame, truth_raw: DataFrame) -> DataFrame:
+    """(side, article_id, n): every id, on either side, that quarantine leaves out of the merge."""
+    sides = [(n, df) for n, df in (("articles", articles_raw), ("truth", truth_raw))]
+    found = [Q.invalid_id_rows(df).select(F.lit(n).alias("side"), "article_id") for n, df in sides]
+    return found[0].unionByName(found[1]).groupBy("side", "article_id").agg(F.count("*").alias("n"))
 
 
-def merge(articles: DataFrame, truth: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
+def merge(articles: DataFrame, truth: DataFrame) -> DataFrame:
     """J1 + P9: inner equi-join on article_id; duplicates multiply like the reference.
 
-    A label side within the checked bound is broadcast, so article text is
-    never shuffled; beyond it both sides shuffle on article_id (AQE splits
-    skewed keys).  Output: article_id BIGINT, title, article_text,
-    hyperpartisan BOOLEAN, bias.
+    Output: article_id BIGINT, title, article_text, hyperpartisan BOOLEAN, bias.
     """
-    side = F.broadcast(truth) if fits_broadcast(truth, broadcast_rows) else truth
-    return (articles.join(side, "article_id", "inner")
+    return (articles.join(truth, "article_id", "inner")
             .select("article_id", "title", "article_text", "hyperpartisan", "bias"))
 
 
-def merged_articles(articles_raw: DataFrame, truth_raw: DataFrame) -> DataFrame:
+def merged_articles(articles_raw: DataFrame, truth_raw: DataFrame, id_mode: str = "quarantine") -> DataFrame:
     """The merged table (before relabelling)."""
-    return merge(clean_articles(articles_raw), clean_truth(truth_raw))
+    return merge(clean_articles(articles_raw, id_mode), clean_truth(truth_raw, id_mode))
 
 
 def relabelled(merged: DataFrame) -> DataFrame:

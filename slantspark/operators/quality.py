@@ -10,13 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def null_mask(col: str) -> Column:
-    """P1."""
-    return F.col(col).isNull()
-
-
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """One row, ``<col>_nulls`` per column, all counted in one pass."""
+    """P1 + P2: one row, ``<col>_nulls`` per column, all counted in one pass."""
     cols = cols or df.columns
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in cols])
 

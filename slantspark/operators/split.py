@@ -20,10 +20,6 @@ def bucket(id_col: str | Column, seed: int = DEFAULT_SEED) -> Column:
     return F.pmod(F.conv(h, 16, 10).cast("bigint"), F.lit(100))
 
 
-def with_bucket(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED) -> DataFrame:
-    return df.withColumn("bucket", bucket(id_col, seed))
-
-
 def train_test_split(df: DataFrame, id_col: str, test_percent: int = 20, seed: int = DEFAULT_SEED
                      ) -> tuple[DataFrame, DataFrame]:
     """M1: (train, test); test holds the rows whose bucket < ``test_percent``."""

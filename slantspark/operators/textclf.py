@@ -4,21 +4,20 @@ The reference fine-tunes a transformer on one machine.  Here the same
 workflow is a Spark ML pipeline over the T13-cleaned text:
 
     clean (T13) -> label encode (M11/M13) -> hash split (M2)
-      -> Tokenizer -> HashingTF -> IDF -> multinomial LogisticRegression (M15)
+      -> words -> HashingTF -> IDF -> multinomial LogisticRegression (M15)
       -> evaluate (M16: loss, accuracy, weighted P/R/F1, confusion, report)
       -> predict raw text -> class name (M17, M12)
 
-``vocab_encode`` (M14) is the token-id encoding job: a vocabulary counted
-with map-side partial aggregation, cut to the top ``vocab_size`` tokens
-(a bounded table, so broadcasting it is safe) and joined back to the
-first ``max_len - 2`` token positions of every text.
+``vocab_encode`` (M14) is the token-id encoding job: the whole vocabulary counted
+with map-side partial aggregation, ranked, and joined back to the first ``max_len - 2``
+token positions of every text.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, Tokenizer
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from slantspark.functions.patterns import WS_RUN
 from slantspark.functions.text import preprocess_text_classifier
 from slantspark.operators import metrics as A
+from slantspark.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 # Class codes of the three-class and five-class label sets.
@@ -64,16 +64,27 @@ def decode_label(col: Column, n_labels: int = 3) -> Column:
     return expr.otherwise(F.lit(INVALID_LABEL))
 
 
-def prepare(df: DataFrame, text_col: str = "article_text", label_col: str = "bias", n_labels: int = 3) -> DataFrame:
-    """T13 text + integer label (the encoded training table without token ids)."""
-    return df.select("*", preprocess_text_classifier(F.col(text_col)).alias("clean_text"),
-                     encode_label(F.col(label_col), n_labels).alias("labels"))
+def prepare(df: DataFrame, text_col: str = "article_text", label_col: str = "bias", n_labels: int = 3,
+            strict: bool = False) -> DataFrame:
+    """T13 text, its words and the integer label (the encoded training table without token ids)."""
+    return (df.select("*", preprocess_text_classifier(F.col(text_col)).alias("clean_text"),
+                      encode_label(F.col(label_col), n_labels, strict).alias("labels"))
+            .withColumn("words", words(F.col("clean_text"))))
+
+
+#: Bound of the model: this many hashed columns at most (each costs one coefficient a class on the driver).
+MAX_COLUMNS = 1 << 20
+
+
+def hashed_columns(train_df: DataFrame) -> int:
+    """Columns for the hashed words: a power of two, at least four a distinct word (counted by sketch) up to ``MAX_COLUMNS``."""
+    distinct = train_df.select(F.explode("words").alias("w")).agg(F.approx_count_distinct("w").alias("n")).first()["n"]
+    return min(MAX_COLUMNS, max(1 << 16, 1 << (4 * distinct).bit_length()))
 
 
 def pipeline(num_features: int = 1 << 16, max_iter: int = 50, reg: float = 0.0) -> Pipeline:
     """The text model."""
     return Pipeline(stages=[
-        Tokenizer(inputCol="clean_text", outputCol="words"),
         HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="labels", family="multinomial",
@@ -81,16 +92,22 @@ def pipeline(num_features: int = 1 << 16, max_iter: int = 50, reg: float = 0.0)
     ])
 
 
-def train(train_df: DataFrame, **kw) -> PipelineModel:
-    return pipeline(**kw).fit(train_df.withColumn("labels", F.col("labels").cast("double")))
+def train(train_df: DataFrame, num_features: int | None = None, **kw) -> PipelineModel:
+    """Fit on a table from ``prepare``."""
+    columns = num_features or hashed_columns(train_df)
+    return pipeline(num_features=columns, **kw).fit(train_df.withColumn("labels", F.col("labels").cast("double")))
+
+
+def scored(model: PipelineModel, eval_df: DataFrame) -> DataFrame:
+    """(label, prediction, nll): class codes and the loss of every evaluation row."""
+    out = model.transform(eval_df.withColumn("labels", F.col("labels").cast("double")))
+    return out.select(F.col("labels").cast("int").alias("label"), A.argmax(vector_to_array("probability")).cast("int").alias("prediction"),
+                      A.true_class_nll("labels", "probability").alias("nll"))
 
 
 def evaluate(model: PipelineModel, eval_df: DataFrame, n_labels: int = 3) -> DataFrame:
     """One row with log_loss, accuracy and weighted precision/recall/F1."""
-    scored = model.transform(eval_df.withColumn("labels", F.col("labels").cast("double")))
-    named = scored.select(F.col("labels").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-                          A.true_class_nll("labels", "probability").alias("nll"))
-    return A.summary(named, nll="nll").select("log_loss", "accuracy", "precision", "recall", "f1_score")
+    return A.summary(scored(model, eval_df), nll="nll").select("log_loss", "accuracy", "precision", "recall", "f1_score")
 
 
 def predict(model: PipelineModel, texts: DataFrame, text_col: str = "text", keep: list[str] | None = None,
@@ -98,41 +115,48 @@ def predict(model: PipelineModel, texts: DataFrame, text_col: str = "text", keep
     """Raw text -> cleaned -> class code (arg max, A6) -> class name."""
     keep = keep or []
     t = texts.select(*keep, preprocess_text_classifier(F.col(text_col)).alias("clean_text"))
-    scored = model.transform(t)
     cls = A.argmax(vector_to_array(F.col("probability")))
-    return scored.select(*keep, cls.cast("int").alias("predicted_class"),
+    return model.transform(t.withColumn("words", words(F.col("clean_text")))).select(*keep, cls.cast("int").alias("predicted_class"),
                          decode_label(cls, n_labels).alias("predicted_label"))
 
 
 def words(col: Column) -> Column:
-    """Whitespace word split of T13 text (our stand-in for the sub-word tokeniser)."""
+    """Whitespace word split of T13 text: the one notion of a word in this module."""
     return F.filter(F.split(col, WS_RUN), lambda w: w != "")
 
 
-def vocabulary(texts: DataFrame, text_col: str = "clean_text", vocab_size: int = 30_000) -> DataFrame:
-    """(token, id, n): the ``vocab_size`` most frequent words, ids by (count desc, token)."""
-    counts = (texts.select(F.explode(words(F.col(text_col))).alias("token"))
-              .groupBy("token").agg(F.count("*").alias("n")))
-    top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(vocab_size)   # per-task top-k, then merge
-    w = Window.orderBy(F.col("n").desc(), F.col("token"))                       # over <= vocab_size rows
-    return top.select("token", (F.row_number().over(w) + (FIRST_WORD_ID - 1)).alias("id"), "n")
+def vocabulary(texts: DataFrame, words_col: str = "words") -> DataFrame:
+    """(token, id, n): every word of the texts, ids by (count desc, token).
 
-
-def vocab_encode(texts: DataFrame, key: str, vocab: DataFrame, text_col: str = "clean_text",
+    The counts are range-partitioned and sorted; a word's rank is its place in its partition plus
+    the sizes of the partitions before, so no task sees the whole vocabulary.
+    """
+    counts = (texts.select(F.explode(words_col).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    ranked = cut_lineage(counts.repartitionByRange(F.col("n").desc(), "token").sortWithinPartitions(F.col("n").desc(), "token")
+                         .withColumn("mid", F.monotonically_increasing_id()), "vocabulary")
+    part = F.shiftright("mid", 33)                       # partition number above, place inside below
+    sizes = ranked.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # a row a partition
+    place = F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return (ranked.withColumn("part", part).join(F.broadcast(before), "part")
+            .select("token", (F.col("before") + place + FIRST_WORD_ID).cast("int").alias("id"), "n"))
+
+
+def vocab_encode(texts: DataFrame, key: str, vocab: DataFrame, words_col: str = "words",
                  max_len: int = 512) -> DataFrame:
     """(key, input_ids, attention_mask), CLS + first max_len-2 words + SEP, PAD to max_len.
 
     Each text row gets its own row id, so the regrouping after the vocabulary
     lookup holds at most ``max_len - 2`` entries per group even when a key is
     repeated; ``posexplode_outer`` keeps texts without words, so no join back
-    is needed.  The vocabulary is bounded by its ``vocab_size`` parameter, so
-    it is broadcast.
+    is needed.  The lookup is a plain join: Spark broadcasts the vocabulary by its bytes, and a larger
+    one is joined by a shuffle whose frequent words AQE splits.
     """
     body = max_len - 2
     rows = texts.select(key, F.monotonically_increasing_id().alias("_row"),
-                        F.slice(words(F.col(text_col)), 1, body).alias("_w"))      # id fixed before the explode
+                        F.slice(F.col(words_col), 1, body).alias("_w"))      # id fixed before the explode
     pos = rows.select(key, "_row", F.posexplode_outer("_w").alias("pos", "token"))
-    ids = (pos.join(F.broadcast(vocab.select("token", "id")), "token", "left")
+    ids = (pos.join(vocab.select("token", "id"), "token", "left")
            .select(key, "_row", "pos", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK))).alias("id")))
     seqs = (ids.groupBy("_row")
             .agg(F.first(key).alias(key),

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from slantspark.operators import features as FE
 from slantspark.operators import knn as KN
-from slantspark.operators import metrics as A
 from slantspark.operators import models as MD
 from slantspark.operators import split as SP
 from slantspark.session import cut_lineage
@@ -29,11 +28,11 @@ class Detector:
     train_table: DataFrame | None = None
     test_table: DataFrame | None = None
 
-    def train(self, features: DataFrame, test_percent: int = 20, seed: int = 42) -> Detector:
-        """Split the feature table by id hash and fit forest and tree; KNN needs no fit."""
+    def train(self, features: DataFrame, test_percent: int = 20, seed: int = 42, fit_rows: int | None = None) -> Detector:
+        """Split the feature table by id hash and fit forest and tree (on at most about ``fit_rows`` rows); KNN needs no fit."""
         ft = cut_lineage(features.where(F.col("label").isNotNull() & (F.col("label") != "")), "detector-features")
         self.train_table, self.test_table = SP.train_test_split(ft, "article_id", test_percent, seed)
-        self.models = MD.fit_all(self.train_table)
+        self.models = MD.fit_all(self.train_table, fit_rows=fit_rows)
         return self
 
     def _scored(self, name: str, df: DataFrame) -> DataFrame:
@@ -41,17 +40,16 @@ class Detector:
             return KN.knn_predict(self.train_table, df, FE.FEATURE_COLUMNS, "article_id", "label")
         return MD.predict(self.models[name], df).select("article_id", "label", F.col("predicted_label").alias("prediction"))
 
-    def test(self) -> tuple[DataFrame, dict[str, DataFrame]]:
-        """One summary row per model, plus a classification report per model."""
+    def scored(self) -> dict[str, DataFrame]:
+        """The test rows scored by each model, each written once (summary and report read them in several branches)."""
         if self.test_table is None:
-            raise ValueError("No test data available.")
-        names = [*self.models, "KNN"]
-        scored = {n: self._scored(n, self.test_table) for n in names}
-        summary = None
-        for n, s in scored.items():
-            row = A.summary(s).select(F.lit(n).alias("model"), "*")
-            summary = row if summary is None else summary.unionByName(row)
-        return summary, {n: A.classification_report(s) for n, s in scored.items()}
+            raise ValueError("train first: there is no held-out table to test on")
+        return {n: cut_lineage(self._scored(n, self.test_table), f"scored-{n}") for n in (*self.models, "KNN")}
+
+    def test(self) -> tuple[DataFrame, DataFrame]:
+        """One summary row per model, and the classification report of every model."""
+        scored = self.scored()
+        return MD.summaries(scored), MD.reports(scored)
 
     def predict(self, texts: DataFrame, text_col: str = "article_text", keep: list[str] | None = None) -> DataFrame:
         """The forest's 'label,p0,p1,...' for every text (reference: forest only)."""

@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 BIAS = ("CASE WHEN quality = 1 AND toxic = 0 THEN 'least' WHEN quality = 0 AND toxic = 0 THEN 'left-center' "
         "WHEN quality = 1 AND toxic = 1 THEN 'right-center' WHEN quality = 0 AND toxic = 1 THEN 'right' END")
 
-ARTICLES_RAW = ("SELECT CAST(doc_id AS VARCHAR) AS article_id, coalesce(source, '') AS title, '' AS published_at, "
+ARTICLES_RAW = ("SELECT CAST(doc_id AS VARCHAR) AS article_id, source AS title, '' AS published_at, "
                 "text AS article_text FROM documents")
 TRUTH_RAW = (f"SELECT CAST(doc_id AS VARCHAR) AS article_id, '' AS url, "
              f"CASE WHEN ({BIAS}) = 'least' THEN 'false' ELSE 'true' END AS hyperpartisan, "
@@ -105,6 +105,13 @@ v AS (SELECT test_id, train_label, count(*) AS n FROM r WHERE rn <= 5 GROUP BY t
 p AS (SELECT test_id, train_label AS prediction, row_number() OVER (PARTITION BY test_id ORDER BY n DESC, train_label) AS rn FROM v)
 SELECT te.article_id, te.label, p.prediction FROM te LEFT JOIN p ON te.article_id = p.test_id AND p.rn = 1"""
 
+CLASSES = ("least", "left", "right")
+KNN_SHARES = KNN[:KNN.rindex("SELECT te.article_id")] + f"""
+SELECT te.article_id, te.label, any_value(p.prediction) AS prediction,
+       {', '.join(f"coalesce(sum(v.n) FILTER (WHERE v.train_label = '{c}'), 0) / 5.0 AS p{k}" for k, c in enumerate(CLASSES))}
+FROM te LEFT JOIN v ON te.article_id = v.test_id LEFT JOIN p ON te.article_id = p.test_id AND p.rn = 1
+GROUP BY te.article_id, te.label"""
+
 PER_CLASS = f"""
 WITH k AS ({KNN}),
 cm AS (SELECT label, prediction, count(*) AS n FROM k GROUP BY label, prediction),
@@ -177,7 +184,7 @@ w AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS token
       FROM (SELECT doc_id, list_filter(string_split_regex(ct, {S.lit(_P.WS_RUN)}), lambda x: x <> '') AS ws FROM t)),
 cnt AS (SELECT token, count(*) AS n FROM w GROUP BY token),
 ranked AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rk FROM cnt),
-vocab AS (SELECT token, rk + 3 AS id FROM ranked WHERE rk <= 30000),
+vocab AS (SELECT token, rk + 3 AS id FROM ranked),
 enc AS (SELECT w.doc_id, w.pos, coalesce(v.id, 1) AS id FROM w LEFT JOIN vocab v ON w.token = v.token WHERE w.pos < 510),
 agg AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS body, count(*) AS nb FROM enc GROUP BY doc_id)
 SELECT t.doc_id, '2' || coalesce(' ' || body, '') || ' 3' || repeat(' 0', CAST(510 - coalesce(nb, 0) AS INTEGER)) AS ids_text,
@@ -188,6 +195,7 @@ FROM t LEFT JOIN agg ON t.doc_id = agg.doc_id""",
 # --- sources -------------------------------------------------------------------------------------
 
 _FIRST_WORD = S.lit(__import__("slantspark.sources.xml", fromlist=["FIRST_WORD"]).FIRST_WORD)
+PADDED = "concat('  \\N', article_text, chr(9), chr(34), '\\', chr(13), chr(10), ' ')"
 LEAD_TEXT = (f"array_to_string(list_transform(string_split(text, chr(10)), lambda p: "
              f"CASE WHEN regexp_matches(p, {_FIRST_WORD}) THEN regexp_extract(p, {_FIRST_WORD}, 1) ELSE p END), '')")
 
@@ -197,8 +205,9 @@ ORACLES.update({
     "xml_articles_full": "SELECT CAST(doc_id AS VARCHAR) AS article_id, coalesce(source, '') AS title, '' AS published_at, "
                          "replace(text, chr(10), '') AS article_text FROM documents",
     "xml_truth": TRUTH_RAW,
-    "tsv_roundtrip": ARTICLES_RAW,
-    "csv_roundtrip": RELABELLED,
+    "tsv_roundtrip": f"SELECT article_id, ' ' AS title, CAST(NULL AS VARCHAR) AS published_at, {PADDED} AS article_text FROM ({ARTICLES_RAW})",
+    "csv_roundtrip": f"SELECT article_id, '\\N' AS title, {PADDED} AS article_text, hyperpartisan, bias FROM ({RELABELLED})",
+    "features_csv_roundtrip": FEATURE_TABLE,
 })
 
 ORACLES["stream_features"] = ORACLES["all_doc_features"]
@@ -221,8 +230,6 @@ FROM lng LEFT JOIN lex ON lng.tok = lex.tok
 })
 
 ORACLES.update({
-    "plugin_tokens": f"""SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_distinct(toks)) AS INTEGER) AS n_distinct
-FROM (SELECT doc_id, {S.tokens(S.t6('text'))} AS toks FROM documents)""",
     "dataset_build": ORACLES["feature_table"],
 })
 
@@ -232,9 +239,8 @@ WITH RECURSIVE
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 lng AS (SELECT doc_id, unnest(range(len(w))) AS pos, w FROM d),
 grams AS (SELECT doc_id, pos AS start, r.n AS n, array_to_string(w[pos + 1:pos + r.n], ' ') AS gram
-          FROM lng, (SELECT unnest(range(1, 4)) AS n) r WHERE pos + r.n <= len(w)),
-gaz AS (SELECT gram AS entity FROM (SELECT gram, count(*) AS c FROM grams WHERE n >= 2 GROUP BY gram)
-        ORDER BY c DESC, gram LIMIT 200),
+          FROM lng, (SELECT unnest(range(1, 5)) AS n) r WHERE pos + r.n <= len(w)),
+gaz AS (SELECT gram AS entity FROM grams WHERE n >= 2 GROUP BY gram HAVING count(*) >= 25),
 hits AS (SELECT g.doc_id, g.start, max(g.n) AS n FROM grams g JOIN gaz ON g.gram = gaz.entity GROUP BY g.doc_id, g.start),
 chain AS (
   SELECT doc_id, min(start) AS start, arg_min(n, start) AS n FROM hits GROUP BY doc_id
@@ -247,3 +253,40 @@ SELECT c.doc_id, CAST(c.start AS INTEGER) AS start, CAST(c.n AS INTEGER) AS n, g
        'PHRASE' || CAST(c.n AS VARCHAR) AS label
 FROM chain c JOIN grams g ON g.doc_id = c.doc_id AND g.start = c.start AND g.n = c.n"""
 ORACLES["gazetteer_entities"] = GAZETTEER_ENTITIES
+
+# --- profile, defaults, vote shares, and what must hold for learned models --------------------------
+
+_BAD = "(TRY_CAST(article_id AS BIGINT) IS NULL)"
+
+
+def _nulls(side: str, src: str, col: str) -> str:
+    return f"""SELECT '{side} nulls' AS "check", '{col}_nulls' AS value, count(*) FILTER (WHERE {col} IS NULL) AS n FROM ({src})"""
+
+
+_TEST = f"SELECT article_id, label FROM ({FEATURE_TABLE}) WHERE label <> '' AND {BUCKET.format(id='article_id')} < 20"
+ORACLES.update({
+    "rejected_ids": f"""
+SELECT 'articles' AS side, article_id, count(*) AS n FROM ({CANDIDATES}) WHERE {_BAD} GROUP BY article_id
+UNION ALL SELECT 'truth', article_id, count(*) FROM (SELECT article_id FROM ({TRUTH_RAW}) UNION ALL SELECT bias FROM ({TRUTH_RAW}))
+WHERE {_BAD} GROUP BY article_id""",
+    "dataset_profile": " UNION ALL ".join(
+        [_nulls("article", ARTICLES_RAW, c) for c in ("article_id", "title", "article_text")]
+        + [_nulls("truth", TRUTH_RAW, c) for c in ("article_id", "bias")]
+        + [f"SELECT '{side} ids', '{name}', count(*) FILTER (WHERE {test}) FROM ({src})"
+           for side, src in (("article", ARTICLES_RAW), ("truth", TRUTH_RAW))
+           for name, test in (("valid_ids", f"NOT {_BAD}"), ("invalid_ids", _BAD), ("total_rows", "TRUE"))]
+        + [f"SELECT 'merged labels', coalesce(bias, '(null)'), count(*) FROM ({MERGED}) GROUP BY bias"]),
+    "default_label": f"SELECT 'Unknown' AS label, article_id, word_count FROM ({FEATURE_TABLE})",
+    "knn_probabilities": f"""SELECT article_id, label, concat_ws(',', prediction, CAST(CAST(p0 AS DOUBLE) AS VARCHAR), CAST(CAST(p1 AS DOUBLE) AS VARCHAR),
+        CAST(CAST(p2 AS DOUBLE) AS VARCHAR)) AS result,
+        CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER) AS argmax FROM ({KNN_SHARES})""",
+    "knn_log_loss": f"""SELECT round(avg(-ln(greatest(least(CAST(CASE label WHEN 'least' THEN p0 WHEN 'left' THEN p1 ELSE p2 END AS DOUBLE),
+        1 - 1e-15), 1e-15))), 6) AS log_loss FROM ({KNN_SHARES})""",
+    "rf_predict": f"SELECT article_id, label, TRUE AS known_class, TRUE AS sums_to_one, TRUE AS agrees FROM ({_TEST})",
+    "dt_predict": f"SELECT article_id, label, TRUE AS known_class, TRUE AS sums_to_one FROM ({_TEST})",
+    "model_roundtrip": f"SELECT article_id, TRUE AS same FROM ({_TEST})",
+    "argmax_class": f"SELECT article_id, TRUE AS agrees FROM ({_TEST})",
+    "predict_text": "SELECT conv_id, turn, TRUE AS known_class, TRUE AS sums_to_one, TRUE AS agrees FROM conversations",
+    "textclf_predict": "SELECT conv_id, turn, TRUE AS known_class, TRUE AS agrees FROM conversations",
+    "stream_score": "SELECT conv_id, turn, TRUE AS known_class, TRUE AS sums_to_one FROM conversations",
+})

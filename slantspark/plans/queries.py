@@ -30,10 +30,8 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def documents(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame:
-    """The documents table; ``heavy`` spreads a one-split test file over the cores
-    for CPU-heavy text work (no-op on real multi-split inputs)."""
-    return T.text_table(spark, sf_dir, "documents", "doc_id") if heavy else T.table(spark, sf_dir, "documents")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.table(spark, sf_dir, "documents")
 
 
 def doc_features(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
@@ -42,7 +40,7 @@ def doc_features(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.text_table(spark, sf_dir, "pages", "page_id")
+    p = T.table(spark, sf_dir, "pages")
     return p.select("page_id", F.concat(F.lit("see "), F.col("url"), F.lit(" ok "), F.col("html")).alias("raw"))
 
 
@@ -51,7 +49,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def article_null_profile(spark, sf_dir):
     """P1/P2 on the article table."""
-    return Q.null_counts(T.articles_raw(spark, sf_dir, heavy=False), ["article_id", "title", "article_text"])
+    return Q.null_counts(T.articles_raw(spark, sf_dir), ["article_id", "title", "article_text"])
 
 
 @query
@@ -62,7 +60,7 @@ def truth_null_profile(spark, sf_dir):
 
 def candidate_ids(spark, sf_dir) -> DataFrame:
     """Every document id as text plus every ``source`` value (never numeric)."""
-    d = documents(spark, sf_dir, heavy=False)
+    d = documents(spark, sf_dir)
     return (d.select(F.col("doc_id").cast("string").alias("article_id"))
             .unionByName(d.select(F.col("source").alias("article_id"))))
 
@@ -80,6 +78,21 @@ def invalid_ids(spark, sf_dir):
             .groupBy("article_id").agg(F.count("*").alias("n")))
 
 
+@query
+def rejected_ids(spark, sf_dir):
+    """The ids that quarantine leaves out of the merge, per side, with their multiplicity."""
+    from slantspark.operators import prepare as PR
+    lab = T.ground_truth_raw(spark, sf_dir)
+    truth_ids = lab.select("article_id").unionByName(lab.select(F.col("bias").alias("article_id")))
+    return PR.rejected_ids(candidate_ids(spark, sf_dir), truth_ids)
+
+
+@query
+def dataset_profile(spark, sf_dir):
+    """The counts of the dataset build in long form."""
+    return DS.profile(DS.articles(spark, sf_dir), DS.truth(spark, sf_dir), DS.merged(spark, sf_dir))
+
+
 @query
 def distinct_bias(spark, sf_dir):
     """P7."""
@@ -204,10 +217,16 @@ def feature_table(spark, sf_dir):
     return DS.features(spark, sf_dir)
 
 
+@query
+def default_label(spark, sf_dir):
+    """A feature table built without a bias column has the label 'Unknown' everywhere."""
+    return FE.feature_table(DS.relabelled(spark, sf_dir).drop("bias")).select("label", "article_id", "word_count")
+
+
 @query
 def conversation_features(spark, sf_dir):
     """Feature path on a second text source (every conversation turn)."""
-    c = T.text_table(spark, sf_dir, "conversations", "conv_id")
+    c = T.table(spark, sf_dir, "conversations")
     base = c.select("conv_id", "turn", F.col("text").alias("article_text"))
     return FE.extract_features(base, "article_text", keep=["conv_id", "turn"])
 
@@ -257,17 +276,47 @@ def hash_split_dl(spark, sf_dir):
 
 # --- exact KNN and metrics (M5, A1-A4) -----------------------------------------------------------
 
-def knn_scored(spark, sf_dir) -> DataFrame:
-    """KNN predictions materialised in the shared folder: the metric queries read
-    them in several branches, and the KNN plan (row ids, Python kernel) must
-    not be re-executed per branch."""
+def _knn(spark, sf_dir) -> DataFrame:
+    """The 5 nearest labels of every test row, written once: the metric queries read them in several branches."""
     from slantspark.operators import knn as KN
     from slantspark.operators import split as SP
     from slantspark.session import cut_lineage
-    # 28 numeric columns per article: cheap to materialise, and KNN reads it three times.
+    # 28 numeric columns per article: cheap to materialise, and KNN reads it several times.
     ft = cut_lineage(DS.features(spark, sf_dir).where(F.col("label") != ""), "knn-features")
     train, test = SP.train_test_split(ft, "article_id", 20)
-    return cut_lineage(KN.knn_predict(train, test, FE.FEATURE_COLUMNS, "article_id", "label", k=5), "knn-predictions")
+    return cut_lineage(KN.Neighbours(train, test, FE.FEATURE_COLUMNS, "article_id", "label", k=5).labels(), "knn-labels")
+
+
+def knn_scored(spark, sf_dir) -> DataFrame:
+    """KNN predictions (article_id, label, prediction)."""
+    from slantspark.operators import knn as KN
+    return _knn(spark, sf_dir).select(F.col("id").alias("article_id"), "label", KN.majority(F.col("votes")).alias("prediction"))
+
+
+CLASSES = ["least", "left", "right"]  # class order of the relabelled table
+
+
+def knn_shares(spark, sf_dir) -> DataFrame:
+    from slantspark.operators import knn as KN
+    return _knn(spark, sf_dir).select(F.col("id").alias("article_id"), "label", "votes", KN.shares(F.col("votes"), CLASSES).alias("p"))
+
+
+@query
+def knn_probabilities(spark, sf_dir):
+    """M10 + T14 + A6 on KNN vote shares: 'label,p0,p1,p2' and the index of the largest share (first on ties)."""
+    from slantspark.functions.text import format_prediction
+    from slantspark.operators import knn as KN
+    from slantspark.operators import metrics as A
+    return knn_shares(spark, sf_dir).select("article_id", "label", format_prediction(KN.majority(F.col("votes")), "p").alias("result"),
+                                            A.argmax(F.col("p")).cast("int").alias("argmax"))
+
+
+@query
+def knn_log_loss(spark, sf_dir):
+    """A5 on KNN vote shares."""
+    from slantspark.operators import metrics as A
+    place = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("label")).cast("int")
+    return knn_shares(spark, sf_dir).agg(F.round(F.avg(A.nll(F.element_at("p", place))), 6).alias("log_loss"))
 
 
 @query
@@ -335,9 +384,9 @@ def label_decode(spark, sf_dir):
 def vocab_encode(spark, sf_dir):
     """Vocabulary job + fixed-length id encoding of every document (ids as text)."""
     from slantspark.operators import textclf as TC
-    t = documents(spark, sf_dir).select("doc_id", TX.preprocess_text_classifier("text").alias("clean_text"))
-    vocab = TC.vocabulary(t, "clean_text", 30_000)
-    enc = TC.vocab_encode(t, "doc_id", vocab, "clean_text", 512)
+    from slantspark.session import cut_lineage
+    t = cut_lineage(documents(spark, sf_dir).select("doc_id", TC.words(TX.preprocess_text_classifier("text")).alias("words")), "words")
+    enc = TC.vocab_encode(t, "doc_id", TC.vocabulary(t), max_len=512)
     return enc.select("doc_id", F.array_join("input_ids", " ").alias("ids_text"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"))
 
@@ -373,22 +422,38 @@ def xml_truth(spark, sf_dir):
     return X.read_truth(spark, path)
 
 
+def padded(df: DataFrame, text: str) -> DataFrame:
+    """Texts that a delimited file is likely to change: edge spaces, the null mark, a backslash and line ends at the end."""
+    return df.withColumn(text, F.concat(F.lit("  \\N"), F.col(text), F.lit("\t\"\\\r\n ")))
+
+
 @query
 def tsv_roundtrip(spark, sf_dir):
-    """S4 + S5: the raw article table through quoted TSV (texts keep newlines and tabs)."""
+    """S4 + S5: the raw article table with hostile texts through our TSV."""
     from slantspark.sources import delimited as D
-    path = D.write_tsv(T.articles_raw(spark, sf_dir), _scratch(spark, "articles-tsv"))
+    raw = padded(T.articles_raw(spark, sf_dir), "article_text")
+    raw = raw.withColumn("title", F.lit(" ")).withColumn("published_at", F.lit(None).cast("string"))
+    path = D.write_tsv(raw, _scratch(spark, "articles-tsv"))
     return D.read_tsv(spark, path, D.ARTICLES_RAW_SCHEMA)
 
 
 @query
 def csv_roundtrip(spark, sf_dir):
-    """S6 + S7: the relabelled merged table through CSV with an explicit schema."""
+    """S6 + S7: the relabelled merged table with hostile texts through our CSV."""
     from slantspark.sources import delimited as D
-    path = D.write_csv(DS.relabelled(spark, sf_dir), _scratch(spark, "merged-csv"))
+    raw = padded(DS.relabelled(spark, sf_dir), "article_text").withColumn("title", F.lit("\\N"))
+    path = D.write_csv(raw, _scratch(spark, "merged-csv"))
     return D.read_csv(spark, path, D.MERGED_SCHEMA)
 
 
+@query
+def features_csv_roundtrip(spark, sf_dir):
+    """S6 + S7: the feature table through CSV, as the training lifecycle reads it."""
+    from slantspark.sources import delimited as D
+    path = D.write_csv(DS.features(spark, sf_dir), _scratch(spark, "features-csv"))
+    return D.read_csv(spark, path, D.FEATURES_SCHEMA)
+
+
 # --- learned models (M3, M4, M6-M10, M15-M17, S11, S12, A5, A6): rows-only checks ------------------
 
 def _feature_split(spark, sf_dir):
@@ -404,31 +469,57 @@ def _fit(spark, sf_dir, name: str):
     return MD.fit_all(train, (name,))[name], test
 
 
+def _sums_to_one(p):
+    return F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+
+
+def _result_ok(classes: list[str]):
+    """Whether a 'label,p0,p1,...' string names a known class and lists one probability a class that sum to 1."""
+    parts = F.split("result", ",")
+    p = F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.cast("double"))
+    return parts[0].isin(classes), (F.size(p) == len(classes)) & _sums_to_one(p)
+
+
 @query
 def rf_predict(spark, sf_dir):
-    """M3 + M7 + M10 + T14: forest predictions and 'label,p0,p1,p2' for the test split."""
+    """M3 + M7 + M10 + T14: the forest scores the test split; what must hold for each row of 'label,p0,p1,p2'."""
+    from pyspark.ml.functions import vector_to_array
+
     from slantspark.functions.text import format_prediction
     from slantspark.operators import models as MD
     model, test = _fit(spark, sf_dir, "RandomForest")
-    scored = MD.predict(model, test)
-    return scored.select("article_id", "label", F.col("predicted_label").alias("prediction"),
-                         format_prediction(F.col("predicted_label"), F.col("probability")).alias("result"))
+    known, sums = _result_ok(MD.class_order(model))
+    scored = MD.predict(model, test).withColumn("result", format_prediction("predicted_label", vector_to_array("probability")))
+    return scored.select("article_id", "label", known.alias("known_class"), sums.alias("sums_to_one"),
+                         (F.split("result", ",")[0] == F.col("predicted_label")).alias("agrees"))
 
 
 @query
 def dt_predict(spark, sf_dir):
-    """M4 + M7."""
+    """M4 + M7: the tree scores the test split; every prediction is a known class."""
+    from pyspark.ml.functions import vector_to_array
+
     from slantspark.operators import models as MD
     model, test = _fit(spark, sf_dir, "DecisionTree")
-    return MD.predict(model, test).select("article_id", "label", F.col("predicted_label").alias("prediction"))
+    return MD.predict(model, test).select("article_id", "label", F.col("predicted_label").isin(MD.class_order(model)).alias("known_class"),
+                                          _sums_to_one(vector_to_array("probability")).alias("sums_to_one"))
+
+
+def _detector(spark, sf_dir):
+    from slantspark.plans.detector import Detector
+    return Detector().train(DS.features(spark, sf_dir))
 
 
 @query
 def model_eval(spark, sf_dir):
-    """M6 + M8: both tree models fitted on one cached frame, accuracy and weighted P/R/F1 each."""
-    from slantspark.operators import models as MD
-    train, test = _feature_split(spark, sf_dir)
-    return MD.evaluate(MD.fit_all(train), test)
+    """M6 + M8: forest, tree and exact KNN on one split, accuracy and weighted P/R/F1 each."""
+    return _detector(spark, sf_dir).test()[0]
+
+
+@query
+def model_reports(spark, sf_dir):
+    """M8 + A3: the classification report of each of the three models."""
+    return _detector(spark, sf_dir).test()[1]
 
 
 @query
@@ -436,8 +527,10 @@ def predict_text(spark, sf_dir):
     """M9: every conversation turn scored by the forest (raw text -> features -> class + probabilities)."""
     from slantspark.operators import models as MD
     model, _ = _fit(spark, sf_dir, "RandomForest")
-    c = T.text_table(spark, sf_dir, "conversations", "conv_id").select("conv_id", "turn", F.col("text").alias("article_text"))
-    return MD.predict_text(model, c, "article_text", keep=["conv_id", "turn"])
+    c = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("article_text"))
+    known, sums = _result_ok(MD.class_order(model))
+    return MD.predict_text(model, c, "article_text", keep=["conv_id", "turn"]).select(
+        "conv_id", "turn", known.alias("known_class"), sums.alias("sums_to_one"), (F.split("result", ",")[0] == F.col("prediction")).alias("agrees"))
 
 
 @query
@@ -446,10 +539,8 @@ def model_roundtrip(spark, sf_dir):
     from slantspark.operators import models as MD
     model, test = _fit(spark, sf_dir, "RandomForest")
     path = MD.save_model(model, _scratch(spark, "rf-model"))
-    loaded = MD.open_model(path)
-    a = MD.predict(model, test).select("article_id", F.col("predicted_label").alias("prediction"))
-    b = MD.predict(loaded, test).select("article_id", F.col("predicted_label").alias("reloaded"))
-    return a.join(b, "article_id").withColumn("same", F.col("prediction") == F.col("reloaded"))
+    scored = MD.predict(model, test).select("article_id", F.col("predicted_label").alias("first"), *FE.FEATURE_COLUMNS)
+    return MD.predict(MD.open_model(path), scored).select("article_id", (F.col("first") == F.col("predicted_label")).alias("same"))
 
 
 @query
@@ -460,35 +551,40 @@ def argmax_class(spark, sf_dir):
     from slantspark.operators import metrics as A
     from slantspark.operators import models as MD
     model, test = _fit(spark, sf_dir, "RandomForest")
-    scored = MD.predict(model, test)
-    return scored.select("article_id", A.argmax(vector_to_array("probability")).alias("argmax"),
-                         F.col("prediction").cast("int").alias("prediction_index"))
+    return MD.predict(model, test).select("article_id", (A.argmax(vector_to_array("probability")) == F.col("prediction")).alias("agrees"))
 
 
-def _textclf(spark, sf_dir):
-    from slantspark.operators import split as SP
-    from slantspark.operators import textclf as TC
-    from slantspark.session import cut_lineage
-    data = cut_lineage(TC.prepare(DS.relabelled(spark, sf_dir)).select("article_id", "clean_text", "labels"))
-    train, evl = SP.train_eval_split(data, "article_id")
-    return TC.train(train, max_iter=30), evl
+def _textclf(spark, sf_dir, n_labels: int = 3):
+    from slantspark.plans.text_classifier import TextClassifier
+    table = DS.relabelled(spark, sf_dir) if n_labels == 3 else DS.merged(spark, sf_dir).na.fill("", subset=["bias"])
+    return TextClassifier(n_labels).train(table, max_iter=30)
 
 
 @query
 def textclf_eval(spark, sf_dir):
     """M15 + M16 + A5: text model trained on 90 %, loss/accuracy/weighted P/R/F1 on the other 10 %."""
-    from slantspark.operators import textclf as TC
-    model, evl = _textclf(spark, sf_dir)
-    return TC.evaluate(model, evl)
+    return _textclf(spark, sf_dir).evaluate()[0]
+
+
+@query
+def textclf_confusion(spark, sf_dir):
+    """M16 + A2: the text model's confusion counts."""
+    return _textclf(spark, sf_dir).evaluate()[1]
+
+
+@query
+def textclf_report(spark, sf_dir):
+    """M16 + A3: the text model's classification report."""
+    return _textclf(spark, sf_dir).evaluate()[2]
 
 
 @query
 def textclf_predict(spark, sf_dir):
-    """M17 + M12: every conversation turn -> class code -> class name."""
+    """M17 + M12: every conversation turn -> class code -> class name; the name is the code's."""
     from slantspark.operators import textclf as TC
-    model, _ = _textclf(spark, sf_dir)
-    c = T.text_table(spark, sf_dir, "conversations", "conv_id")
-    return TC.predict(model, c, "text", keep=["conv_id", "turn"])
+    scored = _textclf(spark, sf_dir).predict(T.table(spark, sf_dir, "conversations"), "text", keep=["conv_id", "turn"])
+    return scored.select("conv_id", "turn", F.col("predicted_label").isin(list(TC.LABELS_3)).alias("known_class"),
+                         (TC.encode_label(F.col("predicted_label"), 3) == F.col("predicted_class")).alias("agrees"))
 
 
 # --- streaming (stateless, readStream -> features / scoring -> file sink) ---------------------------
@@ -507,13 +603,15 @@ def stream_features(spark, sf_dir):
 @query
 def stream_score(spark, sf_dir):
     """M9 on a stream: conversation turns scored by the batch-trained forest."""
+    from slantspark.operators import models as MD
     from slantspark.streaming import score as ST
     model, _ = _fit(spark, sf_dir, "RandomForest")
     schema = T.table(spark, sf_dir, "conversations").schema
-    stream = ST.read_text_stream(spark, sf_dir, schema, "conversations.parquet").withColumn("turn_key", F.col("conv_id") * 1000000 + F.col("turn"))
-    out = ST.run_to_parquet(ST.score_stream(model, stream, "turn_key", "text"), _scratch(spark, "stream-score"),
+    stream = ST.read_text_stream(spark, sf_dir, schema, "conversations.parquet")
+    out = ST.run_to_parquet(ST.score_stream(model, stream, ["conv_id", "turn"], "text"), _scratch(spark, "stream-score"),
                             _scratch(spark, "stream-score-ckpt"))
-    return spark.read.parquet(out)
+    known, sums = _result_ok(MD.class_order(model))
+    return spark.read.parquet(out).select("conv_id", "turn", known.alias("known_class"), sums.alias("sums_to_one"))
 
 
 # --- further operator queries ------------------------------------------------------------------------
@@ -522,7 +620,8 @@ def stream_score(spark, sf_dir):
 def confusion_wide(spark, sf_dir):
     """A2 (matrix form): one row per true label, one count column per predicted class."""
     from slantspark.operators import metrics as A
-    return A.confusion_matrix(knn_scored(spark, sf_dir), ["least", "left", "right"])
+    classes = [c for c in A.class_names(DS.labels(spark, sf_dir), "label") if c]
+    return A.confusion_matrix(knn_scored(spark, sf_dir), classes)
 
 
 @query
@@ -535,33 +634,15 @@ def apply_tagger(spark, sf_dir):
     counts = cut_lineage(K.tag_counts(tagged_corpus(spark, sf_dir)), "tag-counts")
     lexicon = K.fit_tagger(None, counts=counts)
     suffixes = K.fit_suffix_tagger(None, counts=counts)
-    conv = T.text_table(spark, sf_dir, "conversations", "conv_id").withColumn(
-        "key", F.col("conv_id") * 1000000 + F.col("turn"))
-    toks = K.token_table(conv.select("key", TX.preprocess_features("text").alias("t")), "key", "t")
+    conv = T.table(spark, sf_dir, "conversations")
+    toks = K.token_table(conv.select("conv_id", TX.preprocess_features("text").alias("t")), "conv_id", "t")
     return K.apply_tagger(toks, lexicon, suffixes=suffixes).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query
 def textclf_eval_5(spark, sf_dir):
     """M13 five-class variant of the text model (centre biases kept as classes 3 and 4)."""
-    from slantspark.operators import split as SP
-    from slantspark.operators import textclf as TC
-    from slantspark.session import cut_lineage
-    merged = DS.merged(spark, sf_dir).na.fill("", subset=["bias"])
-    data = cut_lineage(TC.prepare(merged, n_labels=5).select("article_id", "clean_text", "labels"))
-    train, evl = SP.train_eval_split(data, "article_id")
-    return TC.evaluate(TC.train(train, max_iter=30), evl, n_labels=5)
-
-
-@query
-def plugin_tokens(spark, sf_dir):
-    """K9: an external annotator plugged in through Arrow batches (here a Python
-    tokeniser with the same token rule); token counts must equal K1's."""
-    from slantspark.operators import annotate as K
-    d = documents(spark, sf_dir).select("doc_id", TX.preprocess_features("text").alias("t"))
-    ann = K.annotate_with(d, "doc_id", "t", K.python_tokenizer_annotator)
-    return ann.select(F.col("doc_key").alias("doc_id"), F.size("tokens").alias("n_tokens"),
-                      F.size(F.array_distinct("tokens")).alias("n_distinct"))
+    return _textclf(spark, sf_dir, 5).evaluate()[0]
 
 
 @query
@@ -573,23 +654,28 @@ def dataset_build(spark, sf_dir):
     return spark.read.parquet(paths["features"])
 
 
-def frequent_phrases(spark, sf_dir, top: int = 200) -> DataFrame:
-    """A gazetteer derived from the corpus: the ``top`` most frequent 2- and 3-word
-    phrases of word tokens (count desc, phrase asc); a bounded table."""
+PHRASE_COUNT = 25
+
+
+def word_tokens(spark, sf_dir) -> DataFrame:
+    """(doc_id, w): the tokens of every document that begin with a letter."""
     from slantspark.operators import annotate as K
-    d = documents(spark, sf_dir).select(
-        F.filter(K.tokenize(TX.preprocess_features("text")), lambda t: t.rlike("^[\\p{L}]")).alias("w"))
-    g = d.select(F.explode(K.ngrams("w", 3)).alias("g")).where(F.col("g.n") >= 2)
-    counts = g.groupBy(F.col("g.gram").alias("entity")).agg(F.count("*").alias("cnt"))
-    return counts.orderBy(F.col("cnt").desc(), F.col("entity")).limit(top).select(
-        "entity", F.concat(F.lit("PHRASE"), F.size(F.split("entity", " "))).alias("label"))
+    return documents(spark, sf_dir).select(
+        "doc_id", F.filter(K.tokenize(TX.preprocess_features("text")), lambda t: t.rlike("^[\\p{L}]")).alias("w"))
+
+
+def frequent_phrases(words: DataFrame, count: int = PHRASE_COUNT) -> DataFrame:
+    """A gazetteer derived from the corpus: every phrase of 2 to 4 words that occurs ``count`` times or more."""
+    from slantspark.operators import annotate as K
+    g = words.select(F.explode(K.ngrams("w", 4)).alias("g")).where(F.col("g.n") >= 2)
+    counts = g.groupBy(F.col("g.gram").alias("entity")).agg(F.count("*").alias("cnt")).where(F.col("cnt") >= count)
+    return counts.select("entity", F.concat(F.lit("PHRASE"), F.size(F.split("entity", " "))).alias("label"))
 
 
 @query
 def gazetteer_entities(spark, sf_dir):
     """K4 gazetteer job: longest non-overlapping matches of the corpus phrase table in every document."""
     from slantspark.operators import annotate as K
-    gaz = frequent_phrases(spark, sf_dir)
-    d = documents(spark, sf_dir).select(
-        "doc_id", F.filter(K.tokenize(TX.preprocess_features("text")), lambda t: t.rlike("^[\\p{L}]")).alias("w"))
-    return K.entity_spans(d, "doc_id", "w", gaz, max_n=3)
+    from slantspark.session import cut_lineage
+    words = cut_lineage(word_tokens(spark, sf_dir), "word-tokens")
+    return K.entity_spans(words, "doc_id", "w", cut_lineage(frequent_phrases(words), "gazetteer"))

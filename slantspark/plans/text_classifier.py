@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +20,9 @@ class TextClassifier:
     model: PipelineModel | None = None
     eval_table: DataFrame | None = None
 
-    def train(self, merged: DataFrame, max_iter: int = 30) -> TextClassifier:
-        """``merged``: article_id, article_text, bias (relabelled for 3 classes, raw for 5)."""
-        data = cut_lineage(TC.prepare(merged, n_labels=self.n_labels).select("article_id", "clean_text", "labels"),
+    def train(self, merged: DataFrame, max_iter: int = 30, strict: bool = False) -> TextClassifier:
+        """``merged``: article_id, article_text, bias (relabelled for 3 classes, raw for 5); ``strict`` raises on an unknown bias."""
+        data = cut_lineage(TC.prepare(merged, n_labels=self.n_labels, strict=strict).select("article_id", "words", "labels"),
                            "textclf-data")
         train, self.eval_table = SP.train_eval_split(data, "article_id")
         self.model = TC.train(train, max_iter=max_iter)
@@ -31,12 +30,11 @@ class TextClassifier:
 
     def evaluate(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(log loss / accuracy / weighted P-R-F1 row, confusion counts, classification report)."""
-        scored = self.model.transform(self.eval_table.withColumn("labels", F.col("labels").cast("double")))
-        named = scored.select(
-            TC.decode_label(F.col("labels"), self.n_labels).alias("label"),
-            TC.decode_label(A.argmax(vector_to_array("probability")), self.n_labels).alias("prediction"))
-        return TC.evaluate(self.model, self.eval_table, self.n_labels), A.confusion_long(named), \
-            A.classification_report(named)
+        scored = cut_lineage(TC.scored(self.model, self.eval_table), "textclf-scored")
+        named = scored.select(TC.decode_label(F.col("label"), self.n_labels).alias("label"),
+                              TC.decode_label(F.col("prediction"), self.n_labels).alias("prediction"))
+        summary = A.summary(scored, nll="nll").select("log_loss", "accuracy", "precision", "recall", "f1_score")
+        return summary, A.confusion_long(named), A.classification_report(named)
 
     def predict(self, texts: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
         return TC.predict(self.model, texts, text_col, keep, self.n_labels)

@@ -29,10 +29,10 @@ def feature_stream(stream: DataFrame, key: str, text_col: str) -> DataFrame:
     return FE.extract_features(stream.select(key, F.col(text_col).alias("article_text")), "article_text", keep=[key])
 
 
-def score_stream(model: PipelineModel, stream: DataFrame, key: str, text_col: str) -> DataFrame:
-    """M9 on a stream: raw text -> features -> forest -> ``label,p0,p1,...``."""
-    texts = stream.select(key, F.col(text_col).alias("article_text"))
-    return MD.predict_text(model, texts, "article_text", keep=[key])
+def score_stream(model: PipelineModel, stream: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """M9 on a stream: raw text -> features -> forest -> ``label,p0,p1,...``, with the key columns in front."""
+    texts = stream.select(*keys, F.col(text_col).alias("article_text"))
+    return MD.predict_text(model, texts, "article_text", keep=keys)
 
 
 def run_to_parquet(df: DataFrame, out_path: str, checkpoint: str) -> str:

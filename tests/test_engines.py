@@ -28,20 +28,27 @@ def test_spark_and_duckdb_cleaning_and_tokens_agree(spark):
         assert got[i] == (a, b, list(c)), repr(texts[i])
 
 
-def test_merge_fallback_equals_broadcast(spark):
-    from slantspark.operators import prepare as PR
-    from slantspark.plans import dataset as DS
-    arts = PR.clean_articles(DS.articles(spark, SF_SMALL))
-    truth = PR.clean_truth(DS.truth(spark, SF_SMALL))
-    a = PR.merge(arts, truth)
-    b = PR.merge(arts, truth, broadcast_rows=0)
-    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+def _without_broadcast(spark, make):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_tagger_fallback_equals_broadcast(spark, monkeypatch):
+def test_shuffle_joins_equal_broadcast_joins(spark):
     from slantspark.plans.queries import REGISTRY
-    a = REGISTRY["apply_tagger"](spark, SF_SMALL)
-    a_rows = sorted(map(tuple, a.collect()))
-    monkeypatch.setattr(K, "BROADCAST_LEXICON_ROWS", -1)
-    b_rows = sorted(map(tuple, REGISTRY["apply_tagger"](spark, SF_SMALL).collect()))
-    assert a_rows == b_rows
+    for name in ("merged_articles", "feature_table", "apply_tagger", "vocab_encode", "gazetteer_entities"):
+        rows = [sorted(map(tuple, make()), key=repr) for make in (
+            lambda: REGISTRY[name](spark, SF_SMALL).collect(),
+            lambda: _without_broadcast(spark, lambda: REGISTRY[name](spark, SF_SMALL).collect()))]
+        assert rows[0] == rows[1], name
+
+
+def test_entities_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "he left the united states of america for the united states".split()), (2, []), (3, ["america"])], "k long, w array<string>")
+    gaz = spark.createDataFrame([("the united states of america", "A"), ("united states", "B"), ("states", "C")], "entity string, label string")
+    got = sorted((r.k, r.start, r.n, r.label) for r in K.entity_spans(docs, "k", "w", gaz).collect())
+    assert got == [(1, 2, 5, "A"), (1, 9, 2, "B")]
+    assert K.entity_spans(docs, "k", "w", gaz.limit(0)).count() == 0

@@ -27,7 +27,8 @@ def duck():
 
 FAST = ["valid_id_counts", "merged_articles", "relabelled", "clean_pages", "clean_text_dl", "all_doc_features",
         "feature_table", "fit_tagger", "hash_split", "knn_predict", "class_report", "vocab_encode", "xml_articles",
-        "tsv_roundtrip", "stream_features"]
+        "tsv_roundtrip", "csv_roundtrip", "features_csv_roundtrip", "rejected_ids", "dataset_profile", "default_label", "knn_probabilities",
+        "knn_log_loss", "gazetteer_entities", "stream_features"]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -63,26 +63,12 @@ def test_feature_table_label_defaults(spark):
     assert FE.feature_table(df).columns == ["label", "article_id", *FE.FEATURE_COLUMNS]
 
 
-def test_pluggable_annotator(spark):
-    def simple(texts):
-        out = []
-        for t in texts:
-            toks = t.split()
-            out.append({"tokens": toks, "tags": ["NN"] * len(toks), "is_stop": [w == "the" for w in toks],
-                        "sentences": 1 if toks else 0, "entities": [], "noun_chunks": toks})
-        return out
-    df = spark.createDataFrame([(1, "the cat sat"), (2, "")], "doc_id long, article_text string")
-    rows = {r["doc_key"]: r for r in K.annotate_with(df, "doc_id", "article_text", simple).collect()}
-    assert rows[1]["tokens"] == ["the", "cat", "sat"] and rows[1]["is_stop"] == [True, False, False]
-    assert rows[2]["sentences"] == 0
-
-
 def test_entity_spans_longest_non_overlapping(spark):
     gaz = spark.createDataFrame([("new york", "GPE"), ("new york city", "GPE"), ("york", "GPE"), ("city hall", "FAC"),
                                  ("hall", "X")], "entity string, label string")
     texts = [["i", "love", "new", "york", "city", "hall"], ["york", "city", "hall", "new"], []]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, toks array<string>")
-    got = sorted((r["doc_id"], r["start"], r["n"], r["entity"]) for r in K.entity_spans(df, "doc_id", "toks", gaz, 3).collect())
+    got = sorted((r["doc_id"], r["start"], r["n"], r["entity"]) for r in K.entity_spans(df, "doc_id", "toks", gaz).collect())
     gz = {"new york": "GPE", "new york city": "GPE", "york": "GPE", "city hall": "FAC", "hall": "X"}
     want = []
     for d, toks in enumerate(texts):

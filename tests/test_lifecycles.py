@@ -10,6 +10,7 @@ def test_detector_train_test_predict_save(spark, tmp_path):
     det = Detector().train(DS.features(spark, SF_SMALL))
     summary, reports = det.test()
     assert {r["model"] for r in summary.collect()} == {"RandomForest", "DecisionTree", "KNN"}
+    assert {r["model"] for r in reports.where("class = 'macro avg'").collect()} == {"RandomForest", "DecisionTree", "KNN"}
     texts = spark.createDataFrame([("The senate passed the bill on Tuesday.",)], "article_text string")
     res = det.predict(texts).collect()[0]["result"]
     label, *probs = res.split(",")
@@ -43,6 +44,39 @@ def test_cli_build(spark, tmp_path):
     assert ft.where(F.col("article_id") == 3).collect()[0]["label"] == ""
 
 
+def test_cli_from_xml_to_a_prediction_through_csv(spark, tmp_path, capsys):
+    import slantspark.__main__ as cli
+    from test_xml import _write
+    bias = ["left", "right", "least", "left-center", "right-center"]
+    arts = "<articles>" + "".join(f'<article id="{k}" title="t"><p>Some words {bias[k % 5]} number {k}.</p></article>' for k in range(1, 81))
+    truth = "<articles>" + "".join(f'<article id="{k}" hyperpartisan="true" bias="{bias[k % 5]}"/>' for k in range(1, 81))
+    arts, truth = arts + '<article id="x9"><p>bad id</p></article><article id="81">a & b</article></articles>', truth + "</articles>"
+    out = str(tmp_path / "out")
+    cli.main(["build", "--articles", _write(arts), "--truth", _write(truth), "--out", out, "--format", "csv", "--xml-errors", "quarantine"])
+    assert [(r.side, r.article_id, r.n) for r in spark.read.parquet(f"{out}/rejected_ids").collect()] == [("articles", "x9", 1)]
+    assert spark.read.parquet(f"{out}/rejected_xml").count() == 1
+    profile = {(r.check, r.value): r.n for r in spark.read.parquet(f"{out}/profile").collect()}
+    assert profile["article ids", "invalid_ids"] == 1 and profile["merged labels", "left-center"] == 16
+    cli.main(["train", "--features", f"{out}/features", "--models", f"{out}/models", "--format", "csv", "--fit-rows", "60"])
+    cli.main(["predict", "--models", f"{out}/models", "--text", "Some words left number 3."])
+    assert any(line.strip("|+- ").split(",")[0] in ("least", "left", "right") for line in capsys.readouterr().out.splitlines()[-6:])
+    cli.main(["textclf", "--merged", f"{out}/merged_raw", "--model", f"{out}/tc", "--labels", "5", "--format", "csv", "--strict", "--text", "words least"])
+    assert "labels" not in spark.read.parquet(f"{out}/rejected_ids").columns
+
+
+def test_strict_modes_raise(spark, tmp_path):
+    import pytest
+
+    from slantspark.plans.text_classifier import TextClassifier
+    merged = spark.createDataFrame([(1, "a b", "left"), (2, "c", "sideways")], "article_id long, article_text string, bias string")
+    with pytest.raises(Exception, match="unknown label"):
+        TextClassifier().train(merged, strict=True)
+    import slantspark.__main__ as cli
+    from test_xml import ARTICLES, TRUTH, _write
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        cli.main(["build", "--articles", _write(ARTICLES), "--truth", _write(TRUTH), "--out", str(tmp_path), "--ids", "failfast"])
+
+
 # An invented article with the traits of the reference's sample input: HTML
 # entities left in the text, mojibake quotes, paragraphs glued without a space,
 # and a link.

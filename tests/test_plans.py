@@ -1,4 +1,6 @@
 """Physical-plan checks: the text never crosses a shuffle in the flagship query."""
+import pytest
+
 from conftest import SF_SMALL
 
 
@@ -6,35 +8,27 @@ def _plan(df, mode="formatted"):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
-def test_feature_table_broadcasts_labels_and_prunes_scan(spark):
-    from slantspark.plans import dataset as DS
-    df = DS.features(spark, SF_SMALL)
-    plan = _plan(df)
-    assert "BroadcastHashJoin" in plan
-    assert "SortMergeJoin" not in plan
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
-
-
 def _join_exchange_inputs(plan: str) -> list[str]:
     """Input lists of the exchanges the planner added for joins/aggregations."""
-    sections = plan.split("\n(")
     out = []
-    for s in sections:
+    for s in plan.split("\n("):
         if s.split(")", 1)[-1].strip().startswith("Exchange") and "ENSURE_REQUIREMENTS" in s:
             out += [line for line in s.splitlines() if line.startswith("Input")]
     return out
 
 
-def test_feature_table_fallback_shuffles_only_narrow_rows(spark):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_feature_table_moves_only_narrow_rows(spark, threshold):
+    """One plan with either join: text stays where it was scanned, the scan is pruned."""
     from slantspark.plans import dataset as DS
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        df = DS.features(spark, SF_SMALL, broadcast_rows=0)
+        df = DS.features(spark, SF_SMALL)
         plan = _plan(df)
-        assert "SortMergeJoin" in plan
-        inputs = _join_exchange_inputs(plan)
-        assert inputs and not any("text" in line for line in inputs), inputs
-        assert df.count() == DS.features(spark, SF_SMALL).count()
+        assert ("SortMergeJoin" in plan) == (threshold == "-1")
+        assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+        assert not any("text" in line for line in _join_exchange_inputs(plan))
+        assert df.count() == 87
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
