@@ -37,6 +37,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array)
                                                   else out[f.name].cast(f.type) for f in target], schema=target)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ from .components import components
 from .winnow import SLICE_BYTES, _Hashes, gram_hashes, known_hashes
 
 BINS = 120
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 ROW_BYTES = 8 << 10  # a member weighs at least this in a block
 BROADCAST_IDS = 2_000_000
 
@@ -113,10 +113,6 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _linked(a: np.ndarray, b: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
-
-
 def block_edges(reps: list[int], comps: list[int], sets: list[np.ndarray], side: list[bool] | None, percent: int) -> list[tuple[int, int]]:
     """Links between different components inside a block (with ``side``: from one side to the other), as few as join them."""
     m = len(reps)
@@ -135,13 +131,17 @@ def block_edges(reps: list[int], comps: list[int], sets: list[np.ndarray], side:
     owner, column = owner[column >= 0], column[column >= 0]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    shared = np.zeros((len(rows), m), np.float32)
-    for c in range(0, len(often), 2048):
-        a, b = np.searchsorted(column, [c, c + 2048])
-        part = np.zeros((m, min(2048, len(often) - c)), np.float32)
+    shared = np.zeros((len(rows), m), np.float32)  # counts below 2**24 are exact
+    for c in range(0, len(often), 1024):
+        a, b = np.searchsorted(column, [c, c + 1024])
+        part = np.zeros((m, min(1024, len(often) - c)), np.float32)
         part[owner[a:b], column[a:b] - c] = 1
         shared += part[rows] @ part.T
-    ok = _linked(sizes[rows], sizes, shared.astype(np.int64), percent) & (code[rows][:, None] != code[None, :])
+    # 100 * shared >= percent * (|a| + |b| - shared), in integers
+    both = shared.astype(np.int64)
+    both *= 100 + percent
+    ok = both >= percent * (sizes[rows][:, None] + sizes[None, :])
+    ok &= code[rows][:, None] != code[None, :]
     if side is not None:
         s = np.array(side)
         ok &= s[rows][:, None] != s[None, :]
