@@ -244,13 +244,21 @@ def _answer_pairs(shard, datas):
     context, word, count, total = (np.concatenate([a[k] for a in asked]) for k in (1, 2, 3, 4))
     order = np.lexsort((word, context))
     context, word, count, total = context[order], word[order], count[order], total[order]
-    start = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
-    sums = np.add.reduceat(count.astype(np.int64), start)
+    differs = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(context) else np.zeros(0, bool)
+    start = np.flatnonzero(differs)
+    sums = np.add.reduceat(count.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
     seen = sums > 0
     c, w, n = context[start][seen], word[start][seen], total[start][seen].astype(np.float64)
     trie = Trie(Trie.build(c, w, np.log10((sums[seen] - DISCOUNT) / np.maximum(n, 1))))
+    # One search for all packets: the distinct pairs in order, then back to each packet's places.
+    codes = np.empty(len(order), np.uint8)
+    codes[order] = trie.lookup(context[start], word[start])[np.cumsum(differs) - 1]
+    heads, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    after = trie.successors(heads)[place]
     book = trie.codebook.tobytes()
-    replies = [struct.pack("<I", len(book)) + book + pack(trie.lookup(full, w_), trie.successors(heads)) for heads, full, w_, _, _ in asked]
+    pair_cuts, head_cuts = (np.cumsum([0, *[len(a[k]) for a in asked]]) for k in (1, 0))
+    replies = [struct.pack("<I", len(book)) + book + pack(codes[a:b], after[x:y])
+               for a, b, x, y in zip(pair_cuts, pair_cuts[1:], head_cuts, head_cuts[1:])]
     return replies, (int(sums.sum()), int(seen.sum()))
 
 
