@@ -7,8 +7,9 @@ length-normalised log-likelihood differences: the mean and root-length mean over
 continuation level, the mean of its three strongest words, and its log length; a logistic curve maps them to a probability.
 
 Fitting reads at most ``sample`` labelled rows per class (the documented bound), chosen by a hash of the id, equal texts
-once; class shares come from all training labels.  The curve is fitted on cross-fitted differences: each half of the sample
-is described by the models of the other half.  Only texts and the toxic label are used, never lang, source or the id.
+once; class shares come from all training labels.  A hash of the text parts all texts into two halves, and a text is always
+described by the models of the other half: when the curve is fitted and when any text is scored, so no text (nor a copy)
+meets counts of its own and the curve sees the same differences in both.  Only texts and the toxic label are used, never lang, source or the id.
 
 Defined results: null and empty texts, and texts without words, get the share of toxic training labels.  Without labels every
 score is 0; with labels of one class only, that class's value.  Labels that are null are not used; an id labelled twice is
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_texts, cut_lineage, heldout, map_arrow, slices
@@ -129,6 +130,10 @@ def _bigram_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("context", "word").agg(*[F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).cast("int").alias(f"c{p}") for p in range(4)])
 
 
+def _half(text: str) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(2)).cast("int")
+
+
 def _described(texts: DataFrame, models: list[dict], columns: str) -> DataFrame:
     """Differences of each row's text by the model numbered ``which``."""
     shared = texts.sparkSession.sparkContext.broadcast(models)
@@ -143,7 +148,7 @@ def _described(texts: DataFrame, models: list[dict], columns: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          fold: int = 0, folds: int = 5, sample: int = 1500) -> dict:
+          fold: int = 0, folds: int = 5, sample: int = 2000) -> dict:
     """Fit on labelled rows outside the held-out fold; the result holds arrays bounded by the sample."""
     usable = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
               .agg(F.max(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("toxic")).where(~heldout(F.col("doc_id"), fold, folds)))
@@ -155,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-             .join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("half"), "toxic").agg(F.min("text").alias("text")))
-    texts = cut_lineage(texts.select("text", "toxic", F.pmod("half", F.lit(2)).cast("int").alias("half")), "labelled-sample")
+             .join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("text").alias("text")))
+    texts = cut_lineage(texts.select("text", "toxic", _half("text").alias("half")), "labelled-sample")
     counts = _bigram_counts(texts).toArrow()  # bounded by the sample
     if not counts.num_rows or not 0 < prior < 1:
         return {"prior": prior}
@@ -171,27 +176,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not len(x) or len(set(y.tolist())) < 2:
         return {"prior": prior}
     weight = np.where(y == 1, prior / (y == 1).mean(), (1 - prior) / (y == 0).mean())
-    return {"prior": prior, "model": build(context, word, [c[0] + c[1], c[2] + c[3]]), "curve": fit_curve(x, y.astype(float), weight)}
+    return {"prior": prior, "halves": halves, "curve": fit_curve(x, y.astype(float), weight)}
 
 
-def _probability(model: dict, words: np.ndarray) -> float:
+def _probability(model: dict, half: int, words: np.ndarray) -> float:
     if not len(words) or "curve" not in model:
         return model["prior"]
     curve = model["curve"]
-    z = float(((differences(model["model"], words) - curve["mean"]) / curve["spread"]) @ curve["beta"][:-1] + curve["beta"][-1])
+    z = float(((differences(model["halves"][1 - half], words) - curve["mean"]) / curve["spread"]) @ curve["beta"][:-1] + curve["beta"][-1])
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _probabilities(model: dict, halves: pa.Array, texts: pa.Array) -> list[float]:
+    known = known_hashes()
+    return [_probability(model, h, word_hashes(t, known)) for h, t in zip(halves.to_pylist(), binary_texts(texts))]
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", fold: int = 0, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every text, in one narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        known = known_hashes()
         for part in slices(batch, 1, SLICE_BYTES):
-            yield {"doc_id": part.column(0), "score": [_probability(shared.value, word_hashes(t, known)) for t in binary_texts(part.column(1))]}
+            yield {"doc_id": part.column(0), "score": _probabilities(shared.value, part.column(2), part.column(1))}
 
-    rows = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
+    rows = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _half(text_col).alias("half")), run,
+                     "doc_id long, score double")
     return rows.select("doc_id", heldout(F.col("doc_id"), fold, folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -201,9 +211,9 @@ def keep_ordinary(docs: DataFrame, model: dict, text_col: str = "text") -> DataF
     place = docs.columns.index(text_col)
 
     def keep(batches):
-        known = known_hashes()
         for batch in batches:
             for part in slices(batch, place, SLICE_BYTES):
-                yield part.filter(pa.array([_probability(shared.value, word_hashes(t, known)) < 0.5 for t in binary_texts(part.column(place))], pa.bool_()))
+                wanted = pa.array([p < 0.5 for p in _probabilities(shared.value, part.column(part.num_columns - 1), part.column(place))], pa.bool_())
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1]).filter(wanted)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.select("*", _half(text_col).alias("text_half")).mapInArrow(keep, docs.schema)
