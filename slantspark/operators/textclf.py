@@ -77,9 +77,9 @@ MAX_COLUMNS = 1 << 20
 
 
 def hashed_columns(train_df: DataFrame) -> int:
-    """Columns for the hashed words: a power of two, at least four a distinct word (counted by sketch) up to ``MAX_COLUMNS``."""
+    """Columns for the hashed words: the power of two above the number of distinct words (counted by sketch), up to ``MAX_COLUMNS``."""
     distinct = train_df.select(F.explode("words").alias("w")).agg(F.approx_count_distinct("w").alias("n")).first()["n"]
-    return min(MAX_COLUMNS, max(1 << 16, 1 << (4 * distinct).bit_length()))
+    return min(MAX_COLUMNS, max(1 << 16, 1 << distinct.bit_length()))
 
 
 def pipeline(num_features: int = 1 << 16, max_iter: int = 50, reg: float = 0.0) -> Pipeline:
