@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from slantspark.session import cut_lineage, scratch_path
 
 __all__ = ["cut_lineage", "scratch_path", "table", "heldout", "map_arrow", "binary_texts", "word_table",
-           "per_worker", "slices", "partitions_for", "sliding_min"]
+           "per_worker", "release_memory", "slices", "partitions_for", "sliding_min"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,14 @@ def heldout(doc_id: Column, fold: int, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system (Arrow's pool, and the C library's where it can)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with ``fn`` giving dicts of column arrays (or lists) per input batch."""
     from pyspark.sql.types import _parse_datatype_string
@@ -37,7 +46,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array)
                                                   else out[f.name].cast(f.type) for f in target], schema=target)
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
     return df.mapInArrow(run, schema)
 

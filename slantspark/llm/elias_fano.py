@@ -15,20 +15,28 @@ _HEAD, _HEAD_SIZE = "<QQBxxxxxxx", 24
 _WORD = 512
 
 
+_CHUNK = 1 << 15  # values packed or unpacked at once; a multiple of 8, so chunks end at whole bytes
+
+
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     if not bits or not len(values):
         return np.zeros(0, np.uint8)
-    raw = (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(raw.astype(np.uint8).ravel(), bitorder="little")
+    steps = np.arange(bits, dtype=np.uint64)
+    return np.concatenate([np.packbits(((values[a: a + _CHUNK, None] >> steps) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+                           for a in range(0, len(values), _CHUNK)])
 
 
 def _unpack(buffer: np.ndarray, bits: int, first: int, count: int) -> np.ndarray:
     """Values first..first+count of a packed array, decoded from just their bytes."""
-    if not bits or not count:
-        return np.zeros(count, np.uint64)
-    start, stop = first * bits, (first + count) * bits
-    raw = np.unpackbits(buffer[start // 8: (stop + 7) // 8], bitorder="little")[start % 8: start % 8 + count * bits]
-    return raw.reshape(count, bits).astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+    out = np.zeros(count, np.uint64)
+    if bits:
+        weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        for a in range(0, count, _CHUNK):
+            n = min(_CHUNK, count - a)
+            start, stop = (first + a) * bits, (first + a + n) * bits
+            raw = np.unpackbits(buffer[start // 8: (stop + 7) // 8], bitorder="little")[start % 8: start % 8 + n * bits]
+            out[a: a + n] = raw.reshape(n, bits).astype(np.uint64) @ weights
+    return out
 
 
 class EliasFano:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, cut_lineage, partitions_for
+from .common import binary_texts, cut_lineage, partitions_for, release_memory
 from .elias_fano import EliasFano
 
 DISCOUNT = 0.75
@@ -180,6 +180,7 @@ def _batches(docs: DataFrame, shards: int) -> DataFrame:
                 size += len(text) + 64
                 if size >= BATCH_BYTES:
                     yield rows(flush())
+                    release_memory()
                     ids, nulls, train, lengths, tokens, known, size, number = [], [], [], [], [], {b"": 0}, 0, number + 1
         if ids:
             yield rows(flush())
@@ -208,6 +209,7 @@ def _by_shard(packets: DataFrame, answer, parts: int) -> DataFrame:
                 if s != shard and keys:
                     yield settle()
                     keys, datas = [], []
+                    release_memory()
                 shard = s
                 keys.append(key)
                 datas.append(data)
@@ -237,11 +239,15 @@ def _answer_words(shards: int):
 
 def _answer_pairs(shard, datas):
     """Sum the training counts of the shard's bigrams, build its trie and answer codes and successor counts."""
-    asked = []
+    heads_of, parts = [], []
     for d in datas:
         heads, sizes, word, count, total = unpack(d)
-        asked.append((heads, np.repeat(heads, sizes.astype(np.int64)), word, count, np.repeat(total, sizes.astype(np.int64))))
-    context, word, count, total = (np.concatenate([a[k] for a in asked]) for k in (1, 2, 3, 4))
+        sizes = sizes.astype(np.int64)
+        heads_of.append(heads)
+        parts.append((np.repeat(heads, sizes), word, count.astype(np.uint32), np.repeat(total, sizes)))
+    pair_cuts, head_cuts = np.cumsum([0, *[len(p[1]) for p in parts]]), np.cumsum([0, *map(len, heads_of)])
+    context, word, count, total = (np.concatenate(x) for x in zip(*parts))
+    del parts
     order = np.lexsort((word, context))
     context, word, count, total = context[order], word[order], count[order], total[order]
     differs = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(context) else np.zeros(0, bool)
@@ -253,10 +259,9 @@ def _answer_pairs(shard, datas):
     # One search for all packets: the distinct pairs in order, then back to each packet's places.
     codes = np.empty(len(order), np.uint8)
     codes[order] = trie.lookup(context[start], word[start])[np.cumsum(differs) - 1]
-    heads, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    heads, place = np.unique(np.concatenate(heads_of), return_inverse=True)
     after = trie.successors(heads)[place]
     book = trie.codebook.tobytes()
-    pair_cuts, head_cuts = (np.cumsum([0, *[len(a[k]) for a in asked]]) for k in (1, 0))
     replies = [struct.pack("<I", len(book)) + book + pack(codes[a:b], after[x:y])
                for a, b, x, y in zip(pair_cuts, pair_cuts[1:], head_cuts, head_cuts[1:])]
     return replies, (int(sums.sum()), int(seen.sum()))
@@ -330,6 +335,8 @@ def _ask_pairs(batches: DataFrame, total: int, shards: int) -> DataFrame:
                          for s, h, p, sizes in _packets(number, count, before, first, second, total, shards)]
                 yield pa.RecordBatch.from_pydict({"batch": pa.array([key] * len(found), pa.int64()), "shard": pa.array([s for s, _ in found], pa.int32()),
                                                   "data": pa.array([d for _, d in found], pa.binary())})
+                del first, second, pair, before, words, found
+                release_memory()
 
     return batches.mapInArrow(run, "batch long, shard int, data binary")
 
@@ -361,6 +368,8 @@ def _score(batches: DataFrame, total: int, distinct: int, shards: int) -> DataFr
                     "doc_id": pa.array(ids, mask=nulls), "train": pa.array(train), "n_tokens": pa.array(lengths),
                     "n_known": pa.array(np.add.reduceat((count[words] > 0).astype(np.int64), starts)),
                     "base_score": pa.array(np.add.reduceat(np.log10(lower)[words], starts)), "score": pa.array(np.add.reduceat(np.log10(p), starts))})
+                del first, second, pair, before, words, replies, seen, p
+                release_memory()
 
     return batches.mapInArrow(run, RESULT)
 
