@@ -81,7 +81,8 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2, 50_257)
+    return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2, 50_257,
+                                     special_ids=True)
 
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

@@ -8,11 +8,13 @@ of a block lies between ``select(i - 1)`` and ``select(i)``; no table of 64-bit
 
 Defined results: a null text is empty and gives only the end id.  Rows with a null doc_id come first.  Rows with one
 doc_id keep all their rows, in the order of their id arrays.  An empty table writes no block.  Documents are never split, so a block
-holds at least one whole document, however long.  Only the id and text columns are read.
+holds at least one whole document, however long.  Only the id and text columns are read.  The text of a special token of the
+file is spelt out in pieces; with ``special_ids`` it gives that token's one id, as is the library's own default.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -38,19 +40,22 @@ class ByteBpe:
     """Whole-text encoding with a ``tokenizers`` file, caching the ids of space-separated words.
 
     The byte-level pre-tokeniser always starts a token at a single space that a non-space follows, whatever stands before,
-    so the text may be cut there and equal pieces share one encoding; texts with a space before white space or the end
-    are encoded whole.  Pieces of many texts are numbered at once and their ids gathered by arrays.  New pieces are encoded many to a line; as the tokens of a line spell its bytes, the pieces' ends
+    so the text may be cut there and equal pieces share one encoding; texts with a space before white space or the end,
+    and texts that hold an added token, are encoded whole.  Pieces of many texts are numbered at once and their ids gathered by arrays.  New pieces are encoded many to a line; as the tokens of a line spell its bytes, the pieces' ends
     are found again by adding up token lengths.
     """
 
-    def __init__(self, definition: bytes, end_id: int, dtype: str):
+    def __init__(self, definition: bytes, end_id: int, dtype: str, special_ids: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_ids
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if special_ids or not x.special]
+        self.added = "|".join(map(re.escape, added))
+        self.line = 1 if any(" " in x for x in added) else 200  # words of different texts must not spell an added token
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -61,13 +66,14 @@ class ByteBpe:
 
     def _learn(self, new: list[bytes]) -> None:
         width = np.dtype(self.dtype).itemsize
-        lines = [(b" " + b" ".join(new[a: a + 200])).decode() for a in range(0, len(new), 200)]
-        for a, line in zip(range(0, len(new), 200), self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        step = self.line
+        lines = [(b" " + b" ".join(new[a: a + step])).decode() for a in range(0, len(new), step)]
+        for a, line in zip(range(0, len(new), step), self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(line.ids, self.dtype)
-            ends = np.cumsum([len(p) + 1 for p in new[a: a + 200]])
+            ends = np.cumsum([len(p) + 1 for p in new[a: a + step]])
             cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="left") + 1
             raw, start = ids.tobytes(), 0
-            for p, cut in zip(new[a: a + 200], (cuts * width).tolist()):
+            for p, cut in zip(new[a: a + step], (cuts * width).tolist()):
                 self.cache[p] = raw[start:cut]
                 start = cut
 
@@ -94,6 +100,8 @@ class ByteBpe:
         n, dtype = len(texts), np.dtype(self.dtype)
         texts = pc.fill_null(texts, "")
         glued = pc.match_substring_regex(texts, _GLUED)
+        if self.added:
+            glued = pc.or_(glued, pc.match_substring_regex(texts, self.added))
         parts = pc.split_pattern(pc.if_else(glued, "", texts), " ")
         rows = parts.offsets.to_numpy().astype(np.int64)
         pieces = parts.values.dictionary_encode()
@@ -127,14 +135,15 @@ class ByteBpe:
 
 
 def encode_documents(docs: DataFrame, definition: bytes, end_id: int, width: int, limits: list[int], id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", special_ids: bool = False) -> DataFrame:
     """(shard, doc_id, ids): each whole text's ids and the end id as packed little-endian integers of ``width`` bytes;
     shard counts the ``limits`` below the doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # one tokenizer file, a few MB
     edges = np.array(sorted(set(limits)), np.int64)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        coder = per_worker(("byte-bpe", zlib.crc32(shared.value), end_id, width), lambda: ByteBpe(shared.value, end_id, f"<u{width}"))
+        coder = per_worker(("byte-bpe", zlib.crc32(shared.value), end_id, width, special_ids),
+                           lambda: ByteBpe(shared.value, end_id, f"<u{width}", special_ids))
         for part in slices(batch, 1, SLICE_BYTES):
             ids = part.column(0)
             shard = np.searchsorted(edges, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
@@ -175,7 +184,7 @@ def _pack_blocks(width: int) -> Callable:
 
 
 def write_token_files(docs: DataFrame, path: str, definition: bytes, end_id: int, vocabulary: int, id_col: str = "doc_id",
-                      text_col: str = "text") -> None:
+                      text_col: str = "text", special_ids: bool = False) -> None:
     """Encode every text and write the blocks under ``path`` in ascending doc_id order.
 
     Shard limits are approximate quantiles of doc_id (a few numbers a shuffle partition on the driver), read from the id
@@ -184,7 +193,7 @@ def write_token_files(docs: DataFrame, path: str, definition: bytes, end_id: int
     parts = partitions_for(docs)
     found = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [k / (2 * parts) for k in range(1, 2 * parts)], 20_000).alias("q")).first()["q"]
     width = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
-    encoded = encode_documents(docs, definition, end_id, width, found or [], id_col, text_col)
+    encoded = encode_documents(docs, definition, end_id, width, found or [], id_col, text_col, special_ids)
     (encoded.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "ids")
      .mapInArrow(_pack_blocks(width), BLOCK_SCHEMA).write.parquet(path))
 
@@ -217,9 +226,10 @@ def read_token_files(spark, path: str) -> DataFrame:
             .select("doc_id", (F.col("shard_start") + F.col("block_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))
 
 
-def token_output(docs: DataFrame, definition: bytes, end_id: int, vocabulary: int, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, definition: bytes, end_id: int, vocabulary: int, path: str | None = None,
+                 special_ids: bool = False) -> DataFrame:
     """Write ``docs`` as token files (under the shared scratch folder unless ``path`` is given) and read them back."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-files")
-    write_token_files(docs, path, definition, end_id, vocabulary)
+    write_token_files(docs, path, definition, end_id, vocabulary, special_ids=special_ids)
     return read_token_files(spark, path)

@@ -59,3 +59,15 @@ def test_repeated_ids_keep_all_rows(spark, docs_of, definition):
 
 def test_empty_table(spark, docs_of, definition):
     assert token_output.token_output(docs_of([]), definition, 2, 50_257).count() == 0
+
+
+def test_query_gives_special_tokens_their_id(spark, docs_of, tmp_path):
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|><|endoftext|> y", "plain words", *ODD]
+    docs_of(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.REGISTRY["op10_token_files"](spark, str(tmp_path)).collect()}
+    library, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, text in enumerate(texts):
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
