@@ -8,9 +8,10 @@ end an empty assistant turn may be inserted.  Dynamic programming finds the chea
 merging, then to the earlier role in the order system, user, assistant.
 
 The cost of reading a stretch of turns is a (min, +) matrix over the automaton's states, and matrices of stretches multiply.  So a
-conversation is cut into stretches by turn number: tasks make one matrix per stretch, the matrices of a conversation
-(one small row per stretch) fix the states between stretches, and tasks repair each stretch with its ends fixed.  A very long
-conversation is never one task's group of texts.
+conversation is cut into stretches by the rank of its turns: rows are sorted in ranges over all tasks, and the counts of the
+ranges before are added, so a stretch has a bounded number of rows whatever the turn numbers are.  Tasks make one matrix per
+stretch, then one per block of stretches; the blocks of a conversation fix the states between blocks, these the states
+between stretches, and tasks repair each stretch with its ends fixed.  A very long conversation is never one task's group.
 
 Output, one row per written piece: (conv_id, turn, seq, role, action, opens, closes, segment), where the segments of a conversation joined
 in (stretch, seq) order give the rendered conversation.  Inserted turns have a null turn.
@@ -37,6 +38,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 MERGE, RELABEL, INSERT = 1, 2, 3
 NEVER = 1 << 40
 STRETCH = 256
+BLOCK = 256  # stretches whose matrices are multiplied in one step
 
 # Legal next role of each state.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -90,13 +92,13 @@ def stretch_matrix(given: list[int], matrices: np.ndarray) -> np.ndarray:
 FINISH = {START: (0, ()), SYSTEM: (2 * INSERT, (USER, ASSISTANT)), USER: (INSERT, (ASSISTANT,)), ASSISTANT: (0, ())}
 
 
-def choose_states(matrices: list[np.ndarray]) -> list[int]:
-    """The states at the borders of the stretches on a cheapest way (first the start state)."""
-    after = [np.array([FINISH[s][0] for s in range(4)])]
+def choose_states(matrices: list[np.ndarray], first: int = START, last: int | None = None) -> list[int]:
+    """The states at the borders of the stretches on a cheapest way (from ``first``; to ``last``, or to the conversation's end)."""
+    after = [np.array([FINISH[s][0] if last is None else 0 if s == last else NEVER for s in range(4)])]
     for m in reversed(matrices):
         after.append(np.minimum((m + after[-1][None]).min(axis=1), NEVER))
     after.reverse()
-    out = [START]
+    out = [first]
     for k, m in enumerate(matrices):
         out.append(int((m[out[-1]] + after[k + 1]).argmin()))
     return out
@@ -128,14 +130,43 @@ CLOSE = "\n<|end|>\n"
 SCHEMA = "conv_id long, stretch long, seq long, turn long, role string, action string, segment string"
 
 
+def _ranked(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows with ``rank``, their place in their conversation in the order of turn, role and text."""
+    order = ("conv_id", "turn", "was", "text", "salt")  # equal rows are alike, so a salt may part them
+
+    def place(batches) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, n = TaskContext.get().partitionId(), (), 0
+        for batch in batches:
+            at = []
+            for conv in batch.column(0).to_pylist():
+                n = n + 1 if (conv,) == last else 0
+                last = (conv,)
+                at.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())],
+                                             names=[*batch.schema.names, "part", "at"])
+
+    placed = (rows.withColumn("salt", F.rand(1)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+              .select("conv_id", "given", "turn", "text")
+              .mapInArrow(place, "conv_id long, given int, turn long, text string, part int, at long"))
+    placed = cut_lineage(placed, "ranked-turns")
+    counts = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = (counts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"),
+                            (F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n")).alias("before"))
+              .where("before > 0"))  # at most one conversation a part has begun in another
+    return (placed.join(F.broadcast(before), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+            .select("conv_id", "given", "turn", "text", (F.col("at") + F.coalesce("before", F.lit(0))).alias("rank")))
+
+
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
                  stretch: int = STRETCH) -> DataFrame:
     """One row per given or inserted turn: (conv_id, stretch, seq, turn, role, action, segment)."""
     code = F.coalesce(*[F.when(F.lower(F.trim(F.col(role_col))) == r, k + 1) for k, r in enumerate(ROLES)], F.lit(0))
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), code.alias("given"),
                         F.coalesce(F.col(role_col), F.lit("")).alias("was"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / stretch), F.lit(-(1 << 62))).cast("long"))
     parts = partitions_for(turns)
+    rows = _ranked(rows, parts).withColumn("stretch", F.floor(F.col("rank") / stretch).cast("long"))
     table = steps()
     matrices = _matrices(table)
     keys = ("conv_id", "stretch")
@@ -160,9 +191,22 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
         yield from grouped(batches, ("conv_id", "stretch", "given"), settle)
 
-    ordered = (rows.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("turn").asc_nulls_first(), "was", "text"))
-    # Order of the matrices: a conversation has one small row per stretch.
-    measured = ordered.select(*keys, "given").mapInArrow(measure, "conv_id long, stretch long, matrix array<long>")
+    ordered = rows.select(*keys, "rank", "given").repartition(parts, *keys).sortWithinPartitions(*keys, "rank")
+    measured = cut_lineage(ordered.select(*keys, "given").mapInArrow(measure, "conv_id long, stretch long, matrix array<long>"), "chat-matrices")
+    measured = measured.withColumn("block", F.floor(F.col("stretch") / BLOCK).cast("long"))
+
+    def multiply(batches) -> Iterator[pa.RecordBatch]:
+        def settle(head, found):
+            m = np.where(np.eye(4, dtype=bool), 0, NEVER)
+            for (x,) in found:
+                m = np.minimum((m[:, :, None] + np.array(x).reshape(4, 4)[None]).min(axis=1), NEVER)
+            return pa.RecordBatch.from_pydict({"conv_id": pa.array([head[0]], pa.int64()), "block": pa.array([head[1]], pa.int64()),
+                                               "matrix": pa.array([m.ravel().tolist()], pa.list_(pa.int64()))})
+
+        yield from grouped(batches, ("conv_id", "block", "matrix"), settle)
+
+    blocks = (measured.repartition(parts, "conv_id", "block").sortWithinPartitions("conv_id", "block", "stretch").select("conv_id", "block", "matrix")
+              .mapInArrow(multiply, "conv_id long, block long, matrix array<long>"))
 
     def walk(batches) -> Iterator[pa.RecordBatch]:
         def settle(conv, found):
@@ -183,7 +227,22 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         if found:
             yield settle(head, found)
 
-    states = (measured.repartition(parts, "conv_id").sortWithinPartitions(*keys).mapInArrow(walk, "c long, s long, entry int, leave int, final boolean"))
+    borders = (blocks.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "block")
+               .mapInArrow(walk, "c long, s long, entry int, leave int, final boolean"))
+
+    def inside(batches) -> Iterator[pa.RecordBatch]:
+        def settle(head, found):
+            first, last, final = found[0][2:]
+            states, n = choose_states([np.array(m).reshape(4, 4) for _, m, *_ in found], first, last), len(found)
+            return pa.RecordBatch.from_pydict({
+                "c": pa.array([head[0]] * n, pa.int64()), "s": pa.array([f[0] for f in found], pa.int64()), "entry": pa.array(states[:-1], pa.int32()),
+                "leave": pa.array(states[1:], pa.int32()), "final": pa.array([final and k == n - 1 for k in range(n)], pa.bool_())})
+
+        yield from grouped(batches, ("conv_id", "block", "stretch", "matrix", "entry", "leave", "final"), settle)
+
+    states = (measured.join(borders, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("s")))
+              .select("conv_id", "block", "stretch", "matrix", "entry", "leave", "final").repartition(parts, "conv_id", "block")
+              .sortWithinPartitions("conv_id", "block", "stretch").mapInArrow(inside, "c long, s long, entry int, leave int, final boolean"))
     states = cut_lineage(states, "chat-states")
 
     def write(batches) -> Iterator[pa.RecordBatch]:
@@ -221,8 +280,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         yield from grouped(batches, ("conv_id", "stretch", "given", "turn", "text", "entry", "leave", "final"), settle)
 
     joined = rows.join(states, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s")))
-    return (joined.select(*keys, "given", "turn", "text", "entry", "leave", "final", "was").repartition(parts, *keys)
-            .sortWithinPartitions(*keys, F.col("turn").asc_nulls_first(), "was", "text")
+    return (joined.select(*keys, "given", "turn", "text", "entry", "leave", "final", "rank").repartition(parts, *keys)
+            .sortWithinPartitions(*keys, "rank")
             .select(*keys, "given", "turn", "text", "entry", "leave", "final").mapInArrow(write, SCHEMA))
 
 

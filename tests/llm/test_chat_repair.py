@@ -83,3 +83,22 @@ def test_query_covers_every_turn(spark):
     sf = "/root/testdata/sf0.001"
     got = queries.REGISTRY["op6_chat_repair"](spark, sf)
     assert got.where("action <> 'insert'").count() == spark.read.parquet(f"{sf}/conversations.parquet").count()
+
+
+def test_stretches_are_bounded_whatever_the_turn_numbers_are(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(None, rng.choice([None, 0, 0, 1]), rng.choice(["user", "assistant", "bot"]), f"t{k % 40}", "x", 1) for k in range(700)]
+    rows += [(None, 0, "user", "same", "x", 1)] * 300 + [(3, 7, "user", "hi", "x", 1)]
+    turns = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    one = sorted(cr.format_chats(turns, stretch=10_000).collect(), key=lambda r: (r.conv_id is not None, r.stretch, r.seq))
+    monkeypatch.setattr(cr, "BLOCK", 4)
+    got = sorted(cr.format_chats(turns, stretch=16).collect(), key=lambda r: (r.conv_id is not None, r.stretch, r.seq))
+    sizes = {}
+    for r in got:
+        if r.action != "insert":
+            sizes[r.conv_id, r.stretch] = sizes.get((r.conv_id, r.stretch), 0) + 1
+    assert max(sizes.values()) == 16 and len(sizes) == 64
+    assert cost_of(got) == cost_of(one)
+    assert legal([r.role for r in got if "merge" not in r.action and r.conv_id is None])
+    text = lambda found: [(r.turn, r.segment.split("|>\n")[-1].replace("\n<|end", "").strip()) for r in found if r.action != "insert"]
+    assert text(got) == text(one)
