@@ -3,7 +3,7 @@ import random
 
 import duckdb
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from slantspark.functions import text as TX
 from slantspark.operators import annotate as K
 from slantspark.plans import sqltext as S

@@ -1,7 +1,7 @@
 """Lifecycles B and C end to end on sf0.001, and the CLI build on hand-written XML."""
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_detector_train_test_predict_save(spark, tmp_path):

@@ -8,7 +8,7 @@ from slantspark.operators import quality as Q
 from slantspark.operators import split as SP
 from slantspark.operators import textclf as TC
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_valid_ids(spark):

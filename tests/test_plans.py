@@ -1,7 +1,7 @@
 """Physical-plan checks: the text never crosses a shuffle in the flagship query."""
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _plan(df, mode="formatted"):

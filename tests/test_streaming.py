@@ -1,4 +1,4 @@
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_stream_features_equal_batch(spark):
