@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_repair, compact_windows, minhash_dedup, ngram_lm, projection_dedup, sp_codec, token_output, toxicity,
-               url_filter, winnow)
+               url_filter, whitening, winnow)
 from .common import heldout, table
 
 REGISTRY: dict = {}
@@ -85,6 +85,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      special_ids=True)
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLES["op8_url_filter"] = f"""
 WITH rules(rh, rp, v) AS (VALUES {_RULE_VALUES}),
