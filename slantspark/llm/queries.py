@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_repair, compact_windows, minhash_dedup, ngram_lm, projection_dedup, sp_codec, token_output, toxicity,
+from . import (chat_repair, compact_windows, kmeans_tree, minhash_dedup, ngram_lm, projection_dedup, sp_codec, token_output, toxicity,
                url_filter, whitening, winnow)
 from .common import heldout, table
 
@@ -90,6 +90,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
 
 
+@query
+def op13_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, recall=0.95)
+
+
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLES["op8_url_filter"] = f"""
 WITH rules(rh, rp, v) AS (VALUES {_RULE_VALUES}),
