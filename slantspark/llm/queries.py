@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_repair, compact_windows, kmeans_tree, minhash_dedup, ngram_lm, projection_dedup, sp_codec, token_output, toxicity,
-               url_filter, whitening, winnow)
+from . import (chat_repair, compact_windows, kmeans_tree, minhash_dedup, ngram_lm, periodic_runs, projection_dedup, sp_codec,
+               token_output, toxicity, url_filter, whitening, winnow)
 from .common import heldout, table
 
 REGISTRY: dict = {}
@@ -90,6 +90,13 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
 
 
+@query
+def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", periodic_runs.repeated_text(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(texts))
+
+
 @query
 def op13_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, recall=0.95)
