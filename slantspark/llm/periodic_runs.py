@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release_memory, slices
@@ -255,13 +255,16 @@ def run_digests(runs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-def repeated_text(doc_id: Column, text: Column) -> Column:
-    """The contract's input: where crc32 of the id ends in 0, the words from place a on repeat with a period p."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    a = g % n
-    p = F.floor((n - a) / (F.lit(3) + g % 8)) + 1
-    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(places, " ")).otherwise(text)
+def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The contract's input (id, text): where crc32 of the id ends in 0, the words from place a on repeat with a period p."""
+    h = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words")
+    cut = cut.select(id_col, "text", "g", "words", F.when(n > 0, F.col("g") % n).alias("a"))
+    p = F.floor((n - F.col("a")) / (F.lit(3) + F.col("g") % 8)) + 1
+    cut = cut.select(id_col, "text", "words", F.col("a").cast("int").alias("a"), p.cast("int").alias("p"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")                     # 11 at most, as p is a tenth of n - a or more
+    turns = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    again = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(turns, F.lit(1), n - F.col("a")))
+    return cut.select(id_col, F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))

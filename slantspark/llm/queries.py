@@ -92,9 +92,7 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    texts = docs.select("doc_id", periodic_runs.repeated_text(F.col("doc_id"), F.col("text")).alias("text"))
-    return periodic_runs.run_digests(periodic_runs.periodic_runs(texts))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.repeated_texts(table(spark, sf_dir, "documents"))))
 
 
 @query

@@ -114,8 +114,7 @@ def test_rows_equal_brute_force(spark):
     ids = list(range(len(texts) - 3)) + [5, 5, None]
     rows = [(i, t, 1, "z", 2) for i, t in zip(ids, texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, runs int, collapsed string, start int").repartition(3)
-    from pyspark.sql import functions as F
-    found = P.run_digests(P.periodic_runs(docs.select("doc_id", P.repeated_text(F.col("doc_id"), F.col("text")).alias("text"), "runs", "collapsed", "start")))
+    found = P.run_digests(P.periodic_runs(P.repeated_texts(docs)))
     key = lambda r: tuple((x is None, x if x is not None else 0) if not isinstance(x, str) else (False, x) for x in r)
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted((plain_row(i, t) for i, t in zip(ids, texts)), key=key)
 
