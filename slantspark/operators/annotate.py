@@ -14,7 +14,6 @@ approximations of a statistical model (see README).
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,40 +217,9 @@ def ngrams(tokens, max_n: int) -> Column:
 
 
 def entity_spans(docs: DataFrame, key: str, tokens_col: str, gazetteer: DataFrame) -> DataFrame:
-    """K4 with a gazetteer: (key, start, n, entity, label) for the longest
-    non-overlapping gazetteer matches, scanning each text left to right.
-
-    ``gazetteer``: (entity, label), entity = lowercase tokens joined by one space; an entity
-    of any length matches, as n-grams go up to the longest one listed.  N-grams are generated on the
-    row (narrow) and joined with the gazetteer (Spark broadcasts it by its bytes); only the
-    matches -- at most tokens x lengths per text row -- are regrouped per row, and one linear
-    walk picks the spans.
-    """
-    longest = gazetteer.agg(F.max(F.size(F.split("entity", " "))).alias("n")).first()["n"] or 1
-    rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"),
-                       F.col(tokens_col).alias("_toks"))
-    grams = rows.select("_key", "_row", F.explode(ngrams("_toks", longest)).alias("g")).select("_key", "_row", "g.*")
-    hits = grams.join(gazetteer.select(F.col("entity").alias("gram"), "label"), "gram", "inner")
-    ordered = (hits.groupBy("_row")
-               .agg(F.first("_key").alias("_key"),
-                    F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("neg_n"), "gram", "label")))
-                    .alias("m")))
-    kind = dict(docs.dtypes)[key]
-
-    def pick(batches):
-        for batch in batches:
-            out = []
-            for k, matches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                free = 0
-                for m in matches:
-                    if m["start"] >= free:
-                        out.append((k, m["start"], -m["neg_n"], m["gram"], m["label"]))
-                        free = m["start"] - m["neg_n"]
-            cols = list(zip(*out)) if out else [()] * 5
-            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [key, "start", "n", "entity", "label"])
-
-    return ordered.select("_key", "m").mapInArrow(pick, f"{key} {kind}, start int, n int, entity string, label string")
+    """K4 with a gazetteer (entity, label): see ``operators.gazetteer``."""
+    from slantspark.operators import gazetteer as G
+    return G.entity_spans(docs, key, tokens_col, gazetteer)
 
 
 # --- K5 noun chunks ------------------------------------------------------------------

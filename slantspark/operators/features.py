@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from slantspark.functions import lexicon as L
 from slantspark.functions.text import preprocess_features
 from slantspark.operators import annotate as K
+from slantspark.session import cut_lineage
 
 # Output order of the feature table (after label, article_id).
 FEATURE_COLUMNS = [
@@ -96,15 +97,69 @@ def feature_columns(text: Column, toks: Column, codes: Column) -> list[Column]:
     return out
 
 
-def extract_features(df: DataFrame, text_col: str = "article_text", keep: list[str] | None = None) -> DataFrame:
-    """F1-F26 for every row of ``df``; ``keep`` columns are carried in front."""
+# What a learned tagger and a gazetteer replace.
+TAGGER_FEATURES = ["verbs_count", "adjectives_count", "adverbs_count", "pronouns_count", "conjunctions_count", "nouns_count",
+                   "noun_phrases_count", "avg_noun_phrase_length", "unique_adjectives", "unique_adverbs"]
+GAZETTEER_FEATURES = ["entities_count", "avg_entity_length"]
+
+
+def extract_features(df: DataFrame, text_col: str = "article_text", keep: list[str] | None = None, tagger=None,
+                     gazetteer: DataFrame | None = None) -> DataFrame:
+    """F1-F26 for every row of ``df``; ``keep`` columns are carried in front.
+
+    ``tagger``: a fitted ``sequence_tagger.SequenceTagger`` with Penn tags; its tags stand in for the rules'.
+    ``gazetteer``: (entity, label); its longest matches stand in for the entity word list.
+    """
     keep = keep or []
+    if tagger is not None or gazetteer is not None:
+        return _learned_features(df, text_col, keep, tagger, gazetteer)
     staged = with_tokens(df.select(*keep, text_col), text_col)
     staged = staged.select(*keep, "_t", "_tok", K.token_codes(F.col("_tok")).alias("_code"))
     return staged.select(*keep, *feature_columns(F.col("_t"), F.col("_tok"), F.col("_code")))
 
 
-def feature_table(df: DataFrame, text_col: str = "article_text") -> DataFrame:
+def tag_codes(tags: Column, names: list[str]) -> Column:
+    """The two-letter codes of a tag array: the tag's group and no flag."""
+    groups: dict[str, list[str]] = {}
+    for name in names:
+        groups.setdefault(K.tag_group(name), []).append(name)
+
+    def code(tag):
+        out = F.lit("Oa")
+        for letter, members in groups.items():
+            out = F.when(tag.isin(members), F.lit(letter + "a")).otherwise(out)
+        return out
+
+    return F.transform(tags, code)
+
+
+def _learned_features(df: DataFrame, text_col: str, keep: list[str], tagger, gazetteer: DataFrame | None) -> DataFrame:
+    """Texts and tokens are stored once; only tokens (tagger) or plausible entity starts (gazetteer) and counts move."""
+    from slantspark.operators import gazetteer as G
+    from slantspark.operators import sequence_tagger as ST
+    staged = cut_lineage(with_tokens(df.select(*keep, text_col), text_col)
+                         .select(*keep, "_t", "_tok", F.monotonically_increasing_id().alias("_row")), "feature-tokens")
+
+    def some(names: list[str], rows: DataFrame, carry: list[str], text: Column, toks: str, codes: Column) -> DataFrame:
+        places = [FEATURE_COLUMNS.index(n) for n in names]
+        coded = rows.select(*carry, text.alias("_t"), F.col(toks).alias("_tok"), codes.alias("_code"))
+        columns = feature_columns(F.col("_t"), F.col("_tok"), F.col("_code"))
+        return coded.select(*carry, *[columns[p] for p in places])
+
+    learned = (TAGGER_FEATURES if tagger is not None else []) + (GAZETTEER_FEATURES if gazetteer is not None else [])
+    out = some([n for n in FEATURE_COLUMNS if n not in learned], staged, [*keep, "_row"], F.col("_t"), "_tok", K.token_codes(F.col("_tok")))
+    if tagger is not None:
+        tokens = staged.select("_row", F.posexplode("_tok").alias("pos", "tok"))
+        tagged = ST.tag_sequences(tokens, tagger, ["_row"])
+        out = out.join(some(TAGGER_FEATURES, tagged, ["_row"], F.lit(""), "tok", tag_codes(F.col("tags"), tagger.names)), "_row", "left")
+    if gazetteer is not None:
+        spans = G.pick_longest(G.entity_matches(staged.select("_row", F.col("_tok").alias("_toks")), gazetteer))
+        out = out.join(spans.groupBy("_row").agg(F.count("*").cast("int").alias("entities_count"), F.avg(F.length("entity")).alias("avg_entity_length")),
+                       "_row", "left")
+    return out.select(*keep, *[F.coalesce(c, F.lit(0.0 if c in DOUBLE_FEATURES else 0)).alias(c) for c in FEATURE_COLUMNS])
+
+
+def feature_table(df: DataFrame, text_col: str = "article_text", tagger=None, gazetteer: DataFrame | None = None) -> DataFrame:
     """label, article_id, then the 26 features in the reference order.
 
     P13: a missing ``bias`` column gives label 'Unknown'; a missing id gives null.
@@ -112,4 +167,4 @@ def feature_table(df: DataFrame, text_col: str = "article_text") -> DataFrame:
     label = F.col("bias") if "bias" in df.columns else F.lit("Unknown")
     art = F.col("article_id").cast("long") if "article_id" in df.columns else F.lit(None).cast("long")
     base = df.select(label.alias("label"), art.alias("article_id"), F.col(text_col).alias("_text"))
-    return extract_features(base, "_text", keep=["label", "article_id"])
+    return extract_features(base, "_text", keep=["label", "article_id"], tagger=tagger, gazetteer=gazetteer)
