@@ -124,11 +124,16 @@ def save_model(model: PipelineModel, path: str) -> str:
     return path
 
 
-def open_model(path: str) -> PipelineModel | None:
-    """The loaded model, or None (with a note) when nothing is stored at ``path``."""
+def model_stored(path: str) -> bool:
+    """Whether something is stored at ``path``; says so if not."""
     spark = SparkSession.getActiveSession()
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        print(f"no model is stored at {path}")
-        return None
-    return PipelineModel.load(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return True
+    print(f"no model is stored at {path}")
+    return False
+
+
+def open_model(path: str) -> PipelineModel | None:
+    """The loaded model, or None (with a note) when nothing is stored at ``path``."""
+    return PipelineModel.load(path) if model_stored(path) else None

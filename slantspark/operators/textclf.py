@@ -1,10 +1,10 @@
 """Text classifier M11-M17.
 
 The reference fine-tunes a transformer on one machine.  Here the same
-workflow is a Spark ML pipeline over the T13-cleaned text:
+workflow runs over the T13-cleaned text:
 
     clean (T13) -> label encode (M11/M13) -> hash split (M2)
-      -> words -> HashingTF -> IDF -> multinomial LogisticRegression (M15)
+      -> words -> TF-IDF of all words -> multinomial logistic regression on a coefficient table (M15)
       -> evaluate (M16: loss, accuracy, weighted P/R/F1, confusion, report)
       -> predict raw text -> class name (M17, M12)
 
@@ -15,16 +15,17 @@ token positions of every text.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slantspark.functions.patterns import WS_RUN
 from slantspark.functions.text import preprocess_text_classifier
 from slantspark.operators import metrics as A
+from slantspark.operators import table_logistic as TL
+from slantspark.operators.models import model_stored
 from slantspark.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
@@ -72,45 +73,67 @@ def prepare(df: DataFrame, text_col: str = "article_text", label_col: str = "bia
             .withColumn("words", words(F.col("clean_text"))))
 
 
-#: Bound of the model: this many hashed columns at most (each costs one coefficient a class on the driver).
-MAX_COLUMNS = 1 << 20
-
-
-def hashed_columns(train_df: DataFrame) -> int:
-    """Columns for the hashed words: the power of two above the number of distinct words (counted by sketch), up to ``MAX_COLUMNS``."""
-    distinct = train_df.select(F.explode("words").alias("w")).agg(F.approx_count_distinct("w").alias("n")).first()["n"]
-    return min(MAX_COLUMNS, max(1 << 16, 1 << distinct.bit_length()))
-
-
-def pipeline(num_features: int = 1 << 16, max_iter: int = 50, reg: float = 0.0) -> Pipeline:
-    """The text model."""
-    return Pipeline(stages=[
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="labels", family="multinomial",
-                           maxIter=max_iter, regParam=reg),
-    ])
-
-
-def train(train_df: DataFrame, num_features: int | None = None, **kw) -> PipelineModel:
-    """Fit on a table from ``prepare``."""
-    columns = num_features or hashed_columns(train_df)
-    return pipeline(num_features=columns, **kw).fit(train_df.withColumn("labels", F.col("labels").cast("double")))
-
-
-def scored(model: PipelineModel, eval_df: DataFrame) -> DataFrame:
+def idf_vocabulary(texts: DataFrame, words_col: str = "words") -> DataFrame:
+    """(word, id, idf) of every word: ln((rows + 1) / (rows with the word + 1))."""
+    rows = texts.count()
+    holding = texts.select(F.explode(F.array_distinct(words_col)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    return (cut_lineage(holding.select("word", F.log((F.lit(float(rows)) + 1) / (F.col("df") + 1)).alias("idf"), F.monotonically_increasing_id().alias("id")), "textclf-words"))
+
+
+@dataclass
+class TextModel:
+    """Coefficients (word, idf, w) of every training word as a table, and the intercepts, one a class."""
+    table: DataFrame
+    intercepts: list[float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``probability`` (vector) and ``prediction``; words that were not learned count for nothing."""
+        rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "textclf-scoring")
+        z = TL.margins(rows.select("_row", "words"), self.table, self.intercepts).withColumnRenamed("z", "_z")
+        bare = F.array(*[F.lit(b) for b in self.intercepts])
+        out = rows.join(z, "_row", "left").withColumn("_p", TL.softmax(F.coalesce("_z", bare)))
+        return (out.withColumn("probability", array_to_vector("_p")).withColumn("prediction", A.argmax(F.col("_p")).cast("double"))
+                .drop("_row", "_z", "_p"))
+
+    def save(self, path: str) -> str:
+        spark = self.table.sparkSession
+        self.table.write.mode("overwrite").parquet(f"{path}/coefficients")
+        spark.createDataFrame([(self.intercepts,)], "w array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/intercepts")
+        return path
+
+    @classmethod
+    def open(cls, path: str) -> TextModel | None:
+        """The stored model, or None (with a note) when nothing is stored at ``path``."""
+        if not model_stored(path):
+            return None
+        spark = SparkSession.getActiveSession()
+        return cls(spark.read.parquet(f"{path}/coefficients"), list(spark.read.parquet(f"{path}/intercepts").first()["w"]))
+
+
+def train(train_df: DataFrame, max_iter: int = 50, reg: float = 1e-4, n_labels: int | None = None) -> TextModel:
+    """Fit on a table from ``prepare``; as many classes as ``n_labels``, or as the largest code needs."""
+    rows = cut_lineage(train_df.where(F.col("labels").isNotNull()).select(F.monotonically_increasing_id().alias("_row"), "words", F.col("labels").cast("int").alias("label")),
+                       "textclf-train")
+    classes = n_labels or max(2, (rows.agg(F.max("label").alias("m")).first()["m"] or 0) + 1)
+    vocab = idf_vocabulary(rows)
+    coefficients, _ = TL.fit(rows, vocab, classes, max_iter=max_iter, reg=reg)
+    intercepts = list(coefficients.where(F.col("id") == TL.BIAS).first()["w"])
+    return TextModel(cut_lineage(vocab.join(coefficients, "id").select("word", "idf", "w"), "textclf-model"), intercepts)
+
+
+def scored(model: TextModel, eval_df: DataFrame) -> DataFrame:
     """(label, prediction, nll): class codes and the loss of every evaluation row."""
     out = model.transform(eval_df.withColumn("labels", F.col("labels").cast("double")))
     return out.select(F.col("labels").cast("int").alias("label"), A.argmax(vector_to_array("probability")).cast("int").alias("prediction"),
                       A.true_class_nll("labels", "probability").alias("nll"))
 
 
-def evaluate(model: PipelineModel, eval_df: DataFrame, n_labels: int = 3) -> DataFrame:
+def evaluate(model: TextModel, eval_df: DataFrame, n_labels: int = 3) -> DataFrame:
     """One row with log_loss, accuracy and weighted precision/recall/F1."""
     return A.summary(scored(model, eval_df), nll="nll").select("log_loss", "accuracy", "precision", "recall", "f1_score")
 
 
-def predict(model: PipelineModel, texts: DataFrame, text_col: str = "text", keep: list[str] | None = None,
+def predict(model: TextModel, texts: DataFrame, text_col: str = "text", keep: list[str] | None = None,
             n_labels: int = 3) -> DataFrame:
     """Raw text -> cleaned -> class code (arg max, A6) -> class name."""
     keep = keep or []

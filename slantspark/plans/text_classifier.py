@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from slantspark.session import cut_lineage
 @dataclass
 class TextClassifier:
     n_labels: int = 3
-    model: PipelineModel | None = None
+    model: TC.TextModel | None = None
     eval_table: DataFrame | None = None
 
     def train(self, merged: DataFrame, max_iter: int = 30, strict: bool = False) -> TextClassifier:
@@ -25,7 +24,7 @@ class TextClassifier:
         data = cut_lineage(TC.prepare(merged, n_labels=self.n_labels, strict=strict).select("article_id", "words", "labels"),
                            "textclf-data")
         train, self.eval_table = SP.train_eval_split(data, "article_id")
-        self.model = TC.train(train, max_iter=max_iter)
+        self.model = TC.train(train, max_iter=max_iter, n_labels=self.n_labels)
         return self
 
     def evaluate(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -40,11 +39,9 @@ class TextClassifier:
         return TC.predict(self.model, texts, text_col, keep, self.n_labels)
 
     def save(self, path: str) -> str:
-        self.model.write().overwrite().save(path)
-        return path
+        return self.model.save(path)
 
     @classmethod
     def open(cls, path: str, n_labels: int = 3) -> TextClassifier | None:
-        from slantspark.operators.models import open_model
-        m = open_model(path)
+        m = TC.TextModel.open(path)
         return None if m is None else cls(n_labels=n_labels, model=m)
