@@ -8,24 +8,50 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slantspark.session import cut_lineage, scratch_path
 
 __all__ = ["cut_lineage", "scratch_path", "table", "heldout", "map_arrow", "binary_texts", "word_table",
-           "per_worker", "release_memory", "slices", "partitions_for", "sliding_min"]
+           "per_worker", "fresh_name", "row_ranks", "release_memory", "slices", "partitions_for", "sliding_min"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def heldout(doc_id: Column, fold: int, folds: int = 5) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``, equals ``fold`` (a null id is never held out)."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def row_ranks(keyed: DataFrame) -> DataFrame | None:
+    """(doc_id, h1, h2, key): numbers of the different rows in the order of id and hash, where some id has several texts; else None.
+
+    A row's number is its place in its part of a range-partitioned sort plus the sizes of the parts before.
+    """
+    rows = keyed.distinct()
+    counts = rows.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if counts["rows"] == counts["ids"]:
+        return None
+    order = ["doc_id", "h1", "h2"]
+    ranked = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id()), "row-ranks")
+    part = F.shiftright("mid", 33)
+    sizes = ranked.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))       # a row a partition
+    return (ranked.withColumn("part", part).join(F.broadcast(before), "part")
+            .select(*order, (F.col("before") + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("key")))
+
+
 def release_memory() -> None:
     """Give freed memory back to the system (Arrow's pool, and the C library's where it can)."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_texts, cut_lineage, map_arrow, partitions_for, slices
+from .common import binary_texts, cut_lineage, fresh_name, map_arrow, partitions_for, row_ranks, slices
 from .components import components
 from .winnow import SLICE_BYTES, _Hashes, gram_hashes, known_hashes
 
@@ -234,6 +234,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, without those that are not the least of their component."""
-    found = near_duplicates(docs, id_col, text_col, k, percent)
-    dropped = cut_lineage(found.where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    return docs.join(_few(dropped), F.col(id_col).cast("long") == F.col("dropped_id"), "left_anti")
+    hashes = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[h.alias(n) for h, n in zip(hashes, ("h1", "h2"))])
+    ranks = row_ranks(rows.where("doc_id IS NOT NULL").select("doc_id", "h1", "h2"))
+    name, first, second = (fresh_name(docs, n) for n in ("dropped_id", "dropped_h1", "dropped_h2"))
+    same = F.col(id_col).cast("long") == F.col(name)
+    if ranks is None:
+        dropped = near_duplicates(docs, id_col, text_col, k, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    else:                                                         # some id has several texts: each different row gets a number of its own
+        keyed = cut_lineage(rows.join(ranks, ["doc_id", "h1", "h2"]).dropDuplicates(["key"]).select("key", "text"), "keyed-texts")
+        gone = near_duplicates(keyed, "key", "text", k, percent).where("NOT kept").select(F.col("doc_id").alias("key"))
+        dropped = gone.join(ranks, "key").select(F.col("doc_id").alias(name), F.col("h1").alias(first), F.col("h2").alias(second))
+        same &= (hashes[0] == F.col(first)) & (hashes[1] == F.col(second))
+    return docs.join(_few(cut_lineage(dropped, "dropped")), same, "left_anti")

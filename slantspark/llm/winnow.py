@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, map_arrow, per_worker, slices, sliding_min, word_table
+from .common import binary_texts, fresh_name, map_arrow, per_worker, slices, sliding_min, word_table
 
 WORDS = word_table(True)
 CACHED_WORDS = 150_000
@@ -224,28 +224,37 @@ def fingerprints(df: DataFrame, key: str, text_col: str, plan: Plan, spans: list
     return map_arrow(df.select(key, text_col), run, f"k {kind}, span long, fp long").withColumnRenamed("k", key)
 
 
+def text_key(text) -> Column:
+    """128 bits of a text as a string; null is the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    return F.concat(F.hex(F.xxhash64(text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text)))
+
+
 def _shuffled(docs, items, id_col, text_col, item_id, item_text, plan, clean) -> DataFrame:
-    docs_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # What is found depends on the text alone, so equal texts are one key, whatever their ids.
+    key = text_key(F.col(text_col))
+    docs_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    texts = docs_in.select("key", "text").dropDuplicates(["key"])
     listed = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("item_text")).where(F.col("item").isNotNull())
     item_fps = fingerprints(listed, "item", "item_text", plan, [], True)
     spans = [r["span"] for r in item_fps.select("span").distinct().collect()]  # at most ``span`` numbers
-    doc_fps = fingerprints(docs_in.where(F.col("doc_id").isNotNull()), "doc_id", "text", plan, spans, False)
-    pairs = doc_fps.join(item_fps, ["span", "fp"]).select("doc_id", "item").distinct()
+    doc_fps = fingerprints(docs_in.select("key", "text"), "key", "text", plan, spans, False).withColumnRenamed("k", "key")
+    pairs = doc_fps.join(item_fps, ["span", "fp"]).select("key", "item").distinct()
 
     def extend(batch: pa.RecordBatch) -> Iterator[dict]:
         known = known_hashes()
-        out = {"doc_id": [], "item": [], "spans": []}
+        out = {"key": [], "item": [], "spans": []}
         for d, item, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_texts(batch.column(2)), binary_texts(batch.column(3))):
             found = Fingerprints([(item, word_hashes(b, known))], plan).hits(word_hashes(a, known))
             if found:
-                out["doc_id"].append(d)
+                out["key"].append(d)
                 out["item"].append(item)
                 out["spans"].append([[int(s), int(s) + span] for _, span, starts in found for s in starts])
         yield out
 
-    matched = map_arrow(pairs.join(listed, "item").join(docs_in, "doc_id").select("doc_id", "item", "text", "item_text"), extend,
-                        "doc_id long, item string, spans array<array<long>>")
-    marked = (matched.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("ids"), F.flatten(F.collect_list("spans")).alias("spans")))
+    matched = map_arrow(pairs.join(listed, "item").join(texts, "key").select("key", "item", "text", "item_text"), extend,
+                        "key string, item string, spans array<array<long>>")
+    marked = (matched.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("ids"), F.flatten(F.collect_list("spans")).alias("spans")))
 
     def count(batch: pa.RecordBatch) -> Iterator[dict]:
         n = [len(t.translate(WORDS).split()) for t in binary_texts(batch.column(1))]
@@ -260,8 +269,7 @@ def _shuffled(docs, items, id_col, text_col, item_id, item_text, plan, clean) ->
         yield {"doc_id": batch.column(0), "n_words": n, "n_hit": hits, "n_items": [len(x) for x in ids],
                "items_sha256": [_items_digest(x) for x in ids], "contaminated": [h > 0 for h in hits]}
 
-    result = map_arrow(docs_in.join(marked, "doc_id", "left").select("doc_id", "text", "ids", "spans"), count, RESULT)
-    if not clean:
-        return result
-    bad = result.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("bad_id"), "left_anti")
+    if clean:
+        bad = fresh_name(docs, "bad_key")
+        return docs.join(marked.select(F.col("key").alias(bad)), key == F.col(bad), "left_anti")
+    return map_arrow(docs_in.join(marked, "key", "left").select("doc_id", "text", "ids", "spans"), count, RESULT)

@@ -101,3 +101,10 @@ def test_components_of_chains_and_stars(spark):
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     want = reach(sorted(nodes), edges) if all(a in nodes and b in nodes for a, b in edges) else reach(sorted(nodes), [e for e in edges if e[0] != e[1]])
     assert got == want
+
+
+def test_representatives_of_a_table_with_a_clashing_column(spark):
+    a = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, a, 9), (2, a, 9), (3, "other words", 9)], "doc_id long, text string, dropped_id int")
+    kept = minhash_dedup.keep_representatives(docs)
+    assert kept.dtypes == docs.dtypes and sorted(r.doc_id for r in kept.collect()) == [1, 3]

@@ -82,3 +82,18 @@ def test_winnowing_keeps_a_gram_of_every_window():
         grams = rng.integers(0, 50, n).astype(np.uint64)
         kept = set(winnow.kept_positions(grams, 6).tolist())
         assert all(kept & {k for k in range(a, a + 6) if grams[k] == grams[a:a + 6].min()} for a in range(n - 5))
+
+
+@pytest.mark.parametrize("bound", [64 << 20, -1])
+def test_null_and_shared_ids_and_clashing_columns_on_both_ways(spark, bound):
+    """Each row is judged by its own text, whatever its id; no column name of the table clashes."""
+    leak = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, leak), (None, "fine words here"), (5, "x " + leak), (5, "clean"), (5, None), (6, leak), (6, leak), (7, "w1 w2")]
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, bad_key int, key string")
+    items = spark.createDataFrame([(1, leak)], ITEMS)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in winnow.decontaminate(docs, items, broadcast_bytes=bound).collect()), key=repr)
+    want = sorted(((i, len((t or "").split()), 40 * (leak in (t or "")), int(leak in (t or "")), leak in (t or "")) for i, t in rows), key=repr)
+    assert got == want
+    kept = winnow.decontaminate(docs, items, broadcast_bytes=bound, clean=True)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(i, t) for i, t in rows if leak not in (t or "")], key=repr)
