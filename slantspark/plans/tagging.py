@@ -1,4 +1,4 @@
-"""Queries of the learned annotators (K2 sequence tagger, K4 gazetteer in the features) and their DuckDB SQL.
+"""Queries of the learned annotators (K2 sequence tagger, K4 gazetteer in the features), of approximate neighbours (M5), and their DuckDB SQL.
 
 No tagged corpus comes with the test tables.  The tagger's stand-in input is the case of each word, which the raw text itself
 gives: the token is the lower-case word, its tag the shape of what stood there (L lower, T title, U upper, M mixed, O no
@@ -77,6 +77,15 @@ def gazetteer_features(spark, sf_dir):
     return FE.extract_features(d, "article_text", keep=["doc_id"], gazetteer=phrases).select("doc_id", *FE.GAZETTEER_FEATURES)
 
 
+@Q.query
+def knn_approx_predict(spark, sf_dir):
+    """M5 approximate mode: predictions of the test rows by random-projection buckets."""
+    from slantspark.operators import knn_approx as KA
+    ft = cut_lineage(Q.DS.features(spark, sf_dir).where(F.col("label") != ""), "knn-features")
+    train, test = SP.train_test_split(ft, "article_id", 20)
+    return KA.knn_predict_approx(train, test, FE.FEATURE_COLUMNS, "article_id", "label")
+
+
 # --- DuckDB ---------------------------------------------------------------------------------------
 
 _BOUNDARY, _WS = S.lit(P.SENTENCE_BOUNDARY), S.lit(P.WS_RUN)
