@@ -594,7 +594,7 @@ def stream_features(spark, sf_dir):
     """The feature path on ``readStream`` over the documents files; equals the batch result."""
     from slantspark.streaming import score as ST
     schema = T.table(spark, sf_dir, "documents").schema
-    stream = ST.read_text_stream(spark, sf_dir, schema, "documents.parquet")
+    stream = ST.read_text_stream(spark, T.table_path(sf_dir, "documents"), schema)
     out = ST.run_to_parquet(ST.feature_stream(stream, "doc_id", "text"), _scratch(spark, "stream-features"),
                             _scratch(spark, "stream-features-ckpt"))
     return spark.read.parquet(out).select("doc_id", *FE.FEATURE_COLUMNS)
@@ -607,7 +607,7 @@ def stream_score(spark, sf_dir):
     from slantspark.streaming import score as ST
     model, _ = _fit(spark, sf_dir, "RandomForest")
     schema = T.table(spark, sf_dir, "conversations").schema
-    stream = ST.read_text_stream(spark, sf_dir, schema, "conversations.parquet")
+    stream = ST.read_text_stream(spark, T.table_path(sf_dir, "conversations"), schema)
     out = ST.run_to_parquet(ST.score_stream(model, stream, ["conv_id", "turn"], "text"), _scratch(spark, "stream-score"),
                             _scratch(spark, "stream-score-ckpt"))
     known, sums = _result_ok(MD.class_order(model))

@@ -17,12 +17,14 @@ from slantspark.operators import features as FE
 from slantspark.operators import models as MD
 
 
-def read_text_stream(spark: SparkSession, directory: str, schema, file_glob: str = "*.parquet",
-                     max_files: int = 1) -> DataFrame:
-    """Parquet files matching ``file_glob`` arriving in ``directory`` as a stream
-    (explicit schema, bounded micro-batches)."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", file_glob).parquet(directory))
+def read_text_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
+    """The Parquet table at ``path``, one file or a folder in which files arrive, as a stream
+    (explicit schema, bounded micro-batches).
+
+    A stream takes a folder or a pattern, so the path is given as a pattern that only itself fits.
+    """
+    itself = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(itself)
 
 
 def feature_stream(stream: DataFrame, key: str, text_col: str) -> DataFrame:
