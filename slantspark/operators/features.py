@@ -97,22 +97,24 @@ def feature_columns(text: Column, toks: Column, codes: Column) -> list[Column]:
     return out
 
 
-# What a learned tagger and a gazetteer replace.
+# What a learned tagger, a gazetteer and a sentence model replace.
 TAGGER_FEATURES = ["verbs_count", "adjectives_count", "adverbs_count", "pronouns_count", "conjunctions_count", "nouns_count",
                    "noun_phrases_count", "avg_noun_phrase_length", "unique_adjectives", "unique_adverbs"]
 GAZETTEER_FEATURES = ["entities_count", "avg_entity_length"]
+SENTENCE_FEATURES = ["sentence_count", "avg_sentence_length"]
 
 
 def extract_features(df: DataFrame, text_col: str = "article_text", keep: list[str] | None = None, tagger=None,
-                     gazetteer: DataFrame | None = None) -> DataFrame:
+                     gazetteer: DataFrame | None = None, sentences=None) -> DataFrame:
     """F1-F26 for every row of ``df``; ``keep`` columns are carried in front.
 
     ``tagger``: a fitted ``sequence_tagger.SequenceTagger`` with Penn tags; its tags stand in for the rules'.
     ``gazetteer``: (entity, label); its longest matches stand in for the entity word list.
+    ``sentences``: a fitted ``sentence_model.SentenceModel``; its sentence ends stand in for the pattern's.
     """
     keep = keep or []
-    if tagger is not None or gazetteer is not None:
-        return _learned_features(df, text_col, keep, tagger, gazetteer)
+    if tagger is not None or gazetteer is not None or sentences is not None:
+        return _learned_features(df, text_col, keep, tagger, gazetteer, sentences)
     staged = with_tokens(df.select(*keep, text_col), text_col)
     staged = staged.select(*keep, "_t", "_tok", K.token_codes(F.col("_tok")).alias("_code"))
     return staged.select(*keep, *feature_columns(F.col("_t"), F.col("_tok"), F.col("_code")))
@@ -133,9 +135,10 @@ def tag_codes(tags: Column, names: list[str]) -> Column:
     return F.transform(tags, code)
 
 
-def _learned_features(df: DataFrame, text_col: str, keep: list[str], tagger, gazetteer: DataFrame | None) -> DataFrame:
+def _learned_features(df: DataFrame, text_col: str, keep: list[str], tagger, gazetteer: DataFrame | None, sentences) -> DataFrame:
     """Texts and tokens are stored once; only tokens (tagger) or plausible entity starts (gazetteer) and counts move."""
     from slantspark.operators import gazetteer as G
+    from slantspark.operators import sentence_model as SN
     from slantspark.operators import sequence_tagger as ST
     staged = cut_lineage(with_tokens(df.select(*keep, text_col), text_col)
                          .select(*keep, "_t", "_tok", F.monotonically_increasing_id().alias("_row")), "feature-tokens")
@@ -146,7 +149,8 @@ def _learned_features(df: DataFrame, text_col: str, keep: list[str], tagger, gaz
         columns = feature_columns(F.col("_t"), F.col("_tok"), F.col("_code"))
         return coded.select(*carry, *[columns[p] for p in places])
 
-    learned = (TAGGER_FEATURES if tagger is not None else []) + (GAZETTEER_FEATURES if gazetteer is not None else [])
+    learned = ((TAGGER_FEATURES if tagger is not None else []) + (GAZETTEER_FEATURES if gazetteer is not None else [])
+               + (SENTENCE_FEATURES if sentences is not None else []))
     out = some([n for n in FEATURE_COLUMNS if n not in learned], staged, [*keep, "_row"], F.col("_t"), "_tok", K.token_codes(F.col("_tok")))
     if tagger is not None:
         tokens = staged.select("_row", F.posexplode("_tok").alias("pos", "tok"))
@@ -156,10 +160,14 @@ def _learned_features(df: DataFrame, text_col: str, keep: list[str], tagger, gaz
         spans = G.pick_longest(G.entity_matches(staged.select("_row", F.col("_tok").alias("_toks")), gazetteer))
         out = out.join(spans.groupBy("_row").agg(F.count("*").cast("int").alias("entities_count"), F.avg(F.length("entity")).alias("avg_entity_length")),
                        "_row", "left")
+    if sentences is not None:
+        out = out.join(SN.sentence_counts(staged, "_row", "_t", sentences), "_row", "left")
+        out = out.withColumn("avg_sentence_length", _ratio(F.col("word_count"), F.col("sentence_count")))
     return out.select(*keep, *[F.coalesce(c, F.lit(0.0 if c in DOUBLE_FEATURES else 0)).alias(c) for c in FEATURE_COLUMNS])
 
 
-def feature_table(df: DataFrame, text_col: str = "article_text", tagger=None, gazetteer: DataFrame | None = None) -> DataFrame:
+def feature_table(df: DataFrame, text_col: str = "article_text", tagger=None, gazetteer: DataFrame | None = None,
+                  sentences=None) -> DataFrame:
     """label, article_id, then the 26 features in the reference order.
 
     P13: a missing ``bias`` column gives label 'Unknown'; a missing id gives null.
@@ -167,4 +175,4 @@ def feature_table(df: DataFrame, text_col: str = "article_text", tagger=None, ga
     label = F.col("bias") if "bias" in df.columns else F.lit("Unknown")
     art = F.col("article_id").cast("long") if "article_id" in df.columns else F.lit(None).cast("long")
     base = df.select(label.alias("label"), art.alias("article_id"), F.col(text_col).alias("_text"))
-    return extract_features(base, "_text", keep=["label", "article_id"], tagger=tagger, gazetteer=gazetteer)
+    return extract_features(base, "_text", keep=["label", "article_id"], tagger=tagger, gazetteer=gazetteer, sentences=sentences)

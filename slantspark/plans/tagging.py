@@ -1,4 +1,4 @@
-"""Queries of the learned annotators (K2 sequence tagger, K4 gazetteer in the features), of approximate neighbours (M5), and their DuckDB SQL.
+"""Queries of the learned annotators (K2 sequence tagger, K3 sentence model, K4 gazetteer in the features), of approximate neighbours (M5), and their DuckDB SQL.
 
 No tagged corpus comes with the test tables.  The tagger's stand-in input is the case of each word, which the raw text itself
 gives: the token is the lower-case word, its tag the shape of what stood there (L lower, T title, U upper, M mixed, O no
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from slantspark.functions import patterns as P
 from slantspark.operators import annotate as K
 from slantspark.operators import features as FE
+from slantspark.operators import sentence_model as SN
 from slantspark.operators import sequence_tagger as ST
 from slantspark.operators import split as SP
 from slantspark.plans import oracles as O
@@ -77,6 +78,25 @@ def gazetteer_features(spark, sf_dir):
     return FE.extract_features(d, "article_text", keep=["doc_id"], gazetteer=phrases).select("doc_id", *FE.GAZETTEER_FEATURES)
 
 
+@Q.query
+def sentence_types(spark, sf_dir):
+    """K3 fit: every word seen before a period with its counts and its score as an abbreviation."""
+    return SN.fit(Q.documents(spark, sf_dir)).types
+
+
+@Q.query
+def sentence_starters(spark, sf_dir):
+    """K3 fit: words that begin sentences more often than chance."""
+    return SN.fit(Q.documents(spark, sf_dir)).starters
+
+
+@Q.query
+def learned_sentences(spark, sf_dir):
+    """K3 -> F4: sentences of every document by the model fitted on all of them."""
+    d = Q.documents(spark, sf_dir)
+    return SN.sentence_counts(d, "doc_id", "text", SN.fit(d))
+
+
 @Q.query
 def knn_approx_predict(spark, sf_dir):
     """M5 approximate mode: predictions of the test rows by random-projection buckets."""
@@ -173,3 +193,45 @@ SELECT a.doc_id, CAST(count(c.n) AS INTEGER) AS entities_count,
        coalesce(avg(length(array_to_string(a.w[c.start + 1:c.start + c.n], ' '))), 0.0) AS avg_entity_length
 FROM a LEFT JOIN chain c ON c.doc_id = a.doc_id GROUP BY a.doc_id"""
 O.ORACLES["gazetteer_features"] = _ALL_TOKENS
+
+
+def _col_log(a: str, b: str, ab: str, n: str) -> str:
+    """``sentence_model.association`` in SQL."""
+    def ln(count, p):
+        return f"(CASE WHEN ({count}) > 0 THEN ({count}) * ln({p}) ELSE 0 END)"
+    p, p1, p2, rest = f"({b} / {n})", f"({ab} / {a})", f"(({b} - {ab}) / ({n} - {a}))", f"({n} - {a} - {b} + {ab})"
+    return (f"(-2 * ({ln(ab, p)} + {ln(f'{a} - {ab}', f'1 - {p}')} + {ln(f'{b} - {ab}', p)} + {ln(rest, f'1 - {p}')} - {ln(ab, p1)} - "
+            f"{ln(f'{a} - {ab}', f'1 - {p1}')} - {ln(f'{b} - {ab}', p2)} - {ln(rest, f'1 - {p2}')}))")
+
+
+_NUM = S.lit(SN.NUMBER_TYPE)
+_SENTENCES = f"""
+WITH ws AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), {S.lit(SN.SPACE)}), lambda w: regexp_replace(w, {S.lit(SN.EDGE)}, '', 'g')),
+                                       lambda w: regexp_matches(w, {S.lit(SN.WORD)})) AS w FROM documents),
+l AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS w FROM ws),
+b AS (SELECT doc_id, pos, regexp_replace(regexp_replace(w, '[!?]+$', ''), '\.$', '') AS bare,
+             CASE WHEN regexp_matches(w, '[!?]$') THEN '!' WHEN ends_with(w, '.') THEN '.' ELSE '' END AS ends FROM l),
+m AS (SELECT doc_id, pos, CASE WHEN regexp_matches(bare, {S.lit(SN.NUMBER)}) THEN {_NUM} ELSE bare END AS typ, ends FROM b),
+x AS (SELECT *, coalesce(lead(typ) OVER (PARTITION BY doc_id ORDER BY pos), '') AS nxt FROM m),
+tot AS (SELECT CAST(count(*) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE ends = '.') AS DOUBLE) AS p FROM x),
+cnt AS (SELECT typ, count(*) AS n, count(*) FILTER (WHERE ends = '.') AS n_period FROM x GROUP BY typ),
+sc AS (SELECT typ, n, n_period, CAST(n AS DOUBLE) AS c, CAST(n_period AS DOUBLE) AS k, CAST(length(replace(typ, '.', '')) AS DOUBLE) AS letters, p / a AS q FROM cnt, tot
+       WHERE n_period > 0 AND regexp_matches(typ, '\p{{L}}')),
+types AS (SELECT typ, n, n_period, round(-2 * (k * ln(q) + CASE WHEN c > k THEN (c - k) * ln(1 - q) ELSE 0 END - k * ln(0.99) - (c - k) * ln(1 - 0.99))
+          * exp(-letters) * (length(typ) - letters + 1) * pow(letters, -(c - k)), 6) + 0.0 AS score FROM sc),
+abbr AS (SELECT typ FROM types WHERE score >= {SN.ABBREVIATION}),
+aft AS (SELECT x.typ, ends, nxt, count(*) AS n, any_value(abbr.typ IS NOT NULL) AS ab FROM x LEFT JOIN abbr ON abbr.typ = x.typ WHERE ends <> '' AND nxt <> '' GROUP BY x.typ, ends, nxt),
+sure AS (SELECT nxt AS typ, sum(n) AS n_after FROM aft WHERE ends = '!' OR (NOT ab AND typ <> {_NUM} AND length(typ) > 1) GROUP BY nxt),
+brk AS (SELECT CAST(sum(n_after) AS DOUBLE) AS br FROM sure),
+st AS (SELECT sure.typ, cnt.n, CAST(n_after AS BIGINT) AS n_after, CAST(cnt.n AS DOUBLE) AS bb, CAST(least(n_after, cnt.n) AS DOUBLE) AS ab, br, a FROM sure JOIN cnt ON cnt.typ = sure.typ, tot, brk),
+starters AS (SELECT typ, n, n_after, {_col_log('br', 'bb', 'ab', 'a')} AS ratio FROM st WHERE n_after * a > n * br),
+pr AS (SELECT typ, nxt, CAST(sum(n) AS DOUBLE) AS np FROM aft WHERE ends = '.' AND (ab OR typ = {_NUM} OR length(typ) = 1) GROUP BY typ, nxt),
+co AS (SELECT pr.typ, pr.nxt, np, CAST(f.n AS DOUBLE) AS nf, CAST(s.n AS DOUBLE) AS ns, least(np, s.n) AS ab, a FROM pr JOIN cnt f ON f.typ = pr.typ JOIN cnt s ON s.typ = pr.nxt, tot),
+coll AS (SELECT typ, nxt FROM co WHERE np > 1 AND np * a > nf * ns AND {_col_log('nf', 'ns', 'ab', 'a')} >= {SN.COLLOCATION})
+"""
+O.ORACLES["sentence_types"] = _SENTENCES + "SELECT typ, n, n_period, score FROM types"
+O.ORACLES["sentence_starters"] = _SENTENCES + f"SELECT typ, n, n_after, round(ratio, 6) AS ratio FROM starters WHERE ratio >= {SN.STARTER}"
+O.ORACLES["learned_sentences"] = _SENTENCES + f"""
+SELECT x.doc_id, CAST(1 + count(*) FILTER (WHERE x.ends <> '' AND x.nxt <> '' AND (x.ends = '!' OR (coll.typ IS NULL AND (abbr.typ IS NULL OR s.typ IS NOT NULL)))) AS INTEGER) AS sentence_count
+FROM x LEFT JOIN abbr ON abbr.typ = x.typ LEFT JOIN (SELECT typ FROM starters WHERE ratio >= {SN.STARTER}) s ON s.typ = x.nxt
+       LEFT JOIN coll ON coll.typ = x.typ AND coll.nxt = x.nxt GROUP BY x.doc_id"""
