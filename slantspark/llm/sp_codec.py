@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, per_worker
 
 MARK = "▁"
-CACHED_WORDS = 400_000
+CACHED_BYTES = 64 << 20   # of words and their ids in a worker's cache, with WORD_BYTES for the objects that hold a word
+WORD_BYTES = 200
 CACHED_PAIRS = 400_000
 
 
@@ -73,6 +74,7 @@ class PrefixTableBpe:
         self.names = [p.piece for p in spec.pieces]
         self.joined: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _merge(self, text: str) -> list[str]:
         """Merges of a short text, best score first and leftmost among equals; used on pairs of pieces only."""
@@ -158,8 +160,9 @@ class PrefixTableBpe:
                 cut.append(MARK * (run - 1))
             words = cut
         known = self.words
-        if len(known) > CACHED_WORDS:
+        if self.held > CACHED_BYTES:
             known.clear()
+            self.held = 0
         found = list(map(known.get, words))
         if None in found:
             for n, ids in enumerate(found):
@@ -167,6 +170,7 @@ class PrefixTableBpe:
                     w = words[n]
                     if w not in known:
                         known[w] = self._word(MARK + w)
+                        self.held += len(known[w]) + 4 * len(w) + WORD_BYTES
                     found[n] = known[w]
         return b"".join((head, *found, tail))
 
