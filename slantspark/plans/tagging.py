@@ -209,14 +209,14 @@ _SENTENCES = f"""
 WITH ws AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), {S.lit(SN.SPACE)}), lambda w: regexp_replace(w, {S.lit(SN.EDGE)}, '', 'g')),
                                        lambda w: regexp_matches(w, {S.lit(SN.WORD)})) AS w FROM documents),
 l AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS w FROM ws),
-b AS (SELECT doc_id, pos, regexp_replace(regexp_replace(w, '[!?]+$', ''), '\.$', '') AS bare,
+b AS (SELECT doc_id, pos, regexp_replace(regexp_replace(w, '[!?]+$', ''), '\\.$', '') AS bare,
              CASE WHEN regexp_matches(w, '[!?]$') THEN '!' WHEN ends_with(w, '.') THEN '.' ELSE '' END AS ends FROM l),
 m AS (SELECT doc_id, pos, CASE WHEN regexp_matches(bare, {S.lit(SN.NUMBER)}) THEN {_NUM} ELSE bare END AS typ, ends FROM b),
 x AS (SELECT *, coalesce(lead(typ) OVER (PARTITION BY doc_id ORDER BY pos), '') AS nxt FROM m),
 tot AS (SELECT CAST(count(*) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE ends = '.') AS DOUBLE) AS p FROM x),
 cnt AS (SELECT typ, count(*) AS n, count(*) FILTER (WHERE ends = '.') AS n_period FROM x GROUP BY typ),
 sc AS (SELECT typ, n, n_period, CAST(n AS DOUBLE) AS c, CAST(n_period AS DOUBLE) AS k, CAST(length(replace(typ, '.', '')) AS DOUBLE) AS letters, p / a AS q FROM cnt, tot
-       WHERE n_period > 0 AND regexp_matches(typ, '\p{{L}}')),
+       WHERE n_period > 0 AND regexp_matches(typ, '\\p{{L}}')),
 types AS (SELECT typ, n, n_period, round(-2 * (k * ln(q) + CASE WHEN c > k THEN (c - k) * ln(1 - q) ELSE 0 END - k * ln(0.99) - (c - k) * ln(1 - 0.99))
           * exp(-letters) * (length(typ) - letters + 1) * pow(letters, -(c - k)), 6) + 0.0 AS score FROM sc),
 abbr AS (SELECT typ FROM types WHERE score >= {SN.ABBREVIATION}),
