@@ -104,22 +104,36 @@ TAGGER_FEATURES = ["verbs_count", "adjectives_count", "adverbs_count", "pronouns
                    "noun_phrases_count", "avg_noun_phrase_length", "unique_adjectives", "unique_adverbs"]
 GAZETTEER_FEATURES = ["entities_count", "avg_entity_length"]
 SENTENCE_FEATURES = ["sentence_count", "avg_sentence_length"]
+CHUNK_FEATURES = ["noun_phrases_count", "avg_noun_phrase_length"]
 
 
 def extract_features(df: DataFrame, text_col: str = "article_text", keep: list[str] | None = None, tagger=None,
-                     gazetteer: DataFrame | None = None, sentences=None) -> DataFrame:
+                     gazetteer: DataFrame | None = None, sentences=None, chunks=None) -> DataFrame:
     """F1-F26 for every row of ``df``; ``keep`` columns are carried in front.
 
     ``tagger``: a fitted ``sequence_tagger.SequenceTagger`` with Penn tags; its tags stand in for the rules'.
     ``gazetteer``: (entity, label); its longest matches stand in for the entity word list.
     ``sentences``: a fitted ``sentence_model.SentenceModel``; its sentence ends stand in for the pattern's.
+    ``chunks``: a ``chunk_grammar.ChunkGrammar``; its chunks over the tags (the tagger's, if given) stand in for the runs of tags.
     """
     keep = keep or []
     if tagger is not None or gazetteer is not None or sentences is not None:
-        return _learned_features(df, text_col, keep, tagger, gazetteer, sentences)
+        return _learned_features(df, text_col, keep, tagger, gazetteer, sentences, chunks)
     staged = with_tokens(df.select(*keep, text_col), text_col)
-    staged = staged.select(*keep, "_t", "_tok", K.token_codes(F.col("_tok")).alias("_code"))
-    return staged.select(*keep, *feature_columns(F.col("_t"), F.col("_tok"), F.col("_code")))
+    tags = [] if chunks is None else [K.pos_tags(F.col("_tok")).alias("_tags")]
+    staged = staged.select(*keep, "_t", "_tok", K.token_codes(F.col("_tok")).alias("_code"), *tags)
+    columns = feature_columns(F.col("_t"), F.col("_tok"), F.col("_code"))
+    if chunks is not None:
+        columns = _chunk_columns(columns, F.col("_tok"), F.col("_tags"), chunks)
+    return staged.select(*keep, *columns)
+
+
+def _chunk_columns(columns: list[Column], tokens: Column, tags: Column, grammar) -> list[Column]:
+    """The feature columns with F16 and F17 by the grammar."""
+    from slantspark.operators import chunk_grammar as CG
+    stats = CG.chunk_stats(tokens, tags, grammar)
+    new = dict(zip(CHUNK_FEATURES, (F.coalesce(stats["chunks"], F.lit(0)), _ratio(stats["chars"], stats["chunks"]))))
+    return [new[n].alias(n) if n in new else c for n, c in zip(FEATURE_COLUMNS, columns)]
 
 
 def tag_codes(tags: Column, names: list[str]) -> Column:
@@ -137,7 +151,7 @@ def tag_codes(tags: Column, names: list[str]) -> Column:
     return F.transform(tags, code)
 
 
-def _learned_features(df: DataFrame, text_col: str, keep: list[str], tagger, gazetteer: DataFrame | None, sentences) -> DataFrame:
+def _learned_features(df: DataFrame, text_col: str, keep: list[str], tagger, gazetteer: DataFrame | None, sentences, chunks=None) -> DataFrame:
     """Texts and tokens are stored once; only tokens (tagger) or plausible entity starts (gazetteer) and counts move."""
     from slantspark.operators import gazetteer as G
     from slantspark.operators import sentence_model as SN
@@ -145,19 +159,21 @@ def _learned_features(df: DataFrame, text_col: str, keep: list[str], tagger, gaz
     staged = cut_lineage(with_tokens(df.select(*keep, text_col), text_col)
                          .select(*keep, "_t", "_tok", F.monotonically_increasing_id().alias("_row")), "feature-tokens")
 
-    def some(names: list[str], rows: DataFrame, carry: list[str], text: Column, toks: str, codes: Column) -> DataFrame:
+    def some(names: list[str], rows: DataFrame, carry: list[str], text: Column, toks: str, codes: Column, tags: Column) -> DataFrame:
         places = [FEATURE_COLUMNS.index(n) for n in names]
-        coded = rows.select(*carry, text.alias("_t"), F.col(toks).alias("_tok"), codes.alias("_code"))
+        coded = rows.select(*carry, text.alias("_t"), F.col(toks).alias("_tok"), codes.alias("_code"), *([] if chunks is None else [tags.alias("_tags")]))
         columns = feature_columns(F.col("_t"), F.col("_tok"), F.col("_code"))
+        if chunks is not None:
+            columns = _chunk_columns(columns, F.col("_tok"), F.col("_tags"), chunks)
         return coded.select(*carry, *[columns[p] for p in places])
 
     learned = ((TAGGER_FEATURES if tagger is not None else []) + (GAZETTEER_FEATURES if gazetteer is not None else [])
                + (SENTENCE_FEATURES if sentences is not None else []))
-    out = some([n for n in FEATURE_COLUMNS if n not in learned], staged, [*keep, "_row"], F.col("_t"), "_tok", K.token_codes(F.col("_tok")))
+    out = some([n for n in FEATURE_COLUMNS if n not in learned], staged, [*keep, "_row"], F.col("_t"), "_tok", K.token_codes(F.col("_tok")), K.pos_tags(F.col("_tok")))
     if tagger is not None:
         tokens = staged.select("_row", F.posexplode("_tok").alias("pos", "tok"))
         tagged = ST.tag_sequences(tokens, tagger, ["_row"])
-        out = out.join(some(TAGGER_FEATURES, tagged, ["_row"], F.lit(""), "tok", tag_codes(F.col("tags"), tagger.names)), "_row", "left")
+        out = out.join(some(TAGGER_FEATURES, tagged, ["_row"], F.lit(""), "tok", tag_codes(F.col("tags"), tagger.names), F.col("tags")), "_row", "left")
     if gazetteer is not None:
         spans = G.pick_longest(G.entity_matches(staged.select("_row", F.col("_tok").alias("_toks")), gazetteer))
         out = out.join(spans.groupBy("_row").agg(F.count("*").cast("int").alias("entities_count"), F.avg(F.length("entity")).alias("avg_entity_length")),
@@ -169,7 +185,7 @@ def _learned_features(df: DataFrame, text_col: str, keep: list[str], tagger, gaz
 
 
 def feature_table(df: DataFrame, text_col: str = "article_text", tagger=None, gazetteer: DataFrame | None = None,
-                  sentences=None) -> DataFrame:
+                  sentences=None, chunks=None) -> DataFrame:
     """label, article_id, then the 26 features in the reference order.
 
     P13: a missing ``bias`` column gives label 'Unknown'; a missing id gives null.
@@ -177,4 +193,4 @@ def feature_table(df: DataFrame, text_col: str = "article_text", tagger=None, ga
     label = F.col("bias") if "bias" in df.columns else F.lit("Unknown")
     art = F.col("article_id").cast("long") if "article_id" in df.columns else F.lit(None).cast("long")
     base = df.select(label.alias("label"), art.alias("article_id"), F.col(text_col).alias("_text"))
-    return extract_features(base, "_text", keep=["label", "article_id"], tagger=tagger, gazetteer=gazetteer, sentences=sentences)
+    return extract_features(base, "_text", keep=["label", "article_id"], tagger=tagger, gazetteer=gazetteer, sentences=sentences, chunks=chunks)

@@ -1,4 +1,4 @@
-"""Queries of the learned annotators (K2 sequence tagger, K3 sentence model, K4 gazetteer in the features), of approximate neighbours (M5), and their DuckDB SQL.
+"""Queries of the learned annotators (K2 sequence tagger, K3 sentence model, K4 gazetteer in the features), of the chunk grammar (K5), of approximate neighbours (M5), and their DuckDB SQL.
 
 No tagged corpus comes with the test tables.  The tagger's stand-in input is the case of each word, which the raw text itself
 gives: the token is the lower-case word, its tag the shape of what stood there (L lower, T title, U upper, M mixed, O no
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slantspark.functions import patterns as P
 from slantspark.operators import annotate as K
+from slantspark.operators import chunk_grammar as CG
 from slantspark.operators import features as FE
 from slantspark.operators import sentence_model as SN
 from slantspark.operators import sequence_tagger as ST
@@ -97,6 +98,21 @@ def learned_sentences(spark, sf_dir):
     return SN.sentence_counts(d, "doc_id", "text", SN.fit(d))
 
 
+@Q.query
+def grammar_chunks(spark, sf_dir):
+    """K5: noun phrases of every document by the chunk grammar over the rules' tags: chunks, their characters and tokens."""
+    d = FE.with_tokens(Q.documents(spark, sf_dir).select("doc_id", "text"), "text")
+    d = d.select("doc_id", "_tok", K.pos_tags(F.col("_tok")).alias("_tags"))
+    return d.select("doc_id", CG.chunk_stats(F.col("_tok"), F.col("_tags")).alias("s")).select("doc_id", "s.chunks", "s.chars", "s.words")
+
+
+@Q.query
+def grammar_features(spark, sf_dir):
+    """K5 -> F16, F17 with the chunk grammar in the feature path."""
+    d = Q.documents(spark, sf_dir).select("doc_id", F.col("text").alias("article_text"))
+    return FE.extract_features(d, "article_text", keep=["doc_id"], chunks=CG.NOUN_PHRASES).select("doc_id", *FE.CHUNK_FEATURES)
+
+
 @Q.query
 def knn_approx_predict(spark, sf_dir):
     """M5 approximate mode: predictions of the test rows by random-projection buckets."""
@@ -235,3 +251,30 @@ O.ORACLES["learned_sentences"] = _SENTENCES + f"""
 SELECT x.doc_id, CAST(1 + count(*) FILTER (WHERE x.ends <> '' AND x.nxt <> '' AND (x.ends = '!' OR (coll.typ IS NULL AND (abbr.typ IS NULL OR s.typ IS NOT NULL)))) AS INTEGER) AS sentence_count
 FROM x LEFT JOIN abbr ON abbr.typ = x.typ LEFT JOIN (SELECT typ FROM starters WHERE ratio >= {SN.STARTER}) s ON s.typ = x.nxt
        LEFT JOIN coll ON coll.typ = x.typ AND coll.nxt = x.nxt GROUP BY x.doc_id"""
+
+
+def _symbol(token: str, tag: str) -> str:
+    g = CG.NOUN_PHRASES
+    rules = [f"WHEN {v} IN {S.in_list(list(m))} THEN '{x}'" for v, rs in ((token, g.words), (tag, g.tags)) for x, m in rs]
+    return f"CASE {' '.join(rules)} ELSE 'o' END"
+
+
+# The grammar as one regular expression over the symbols; '<' and '>' mark its matches, a running sum tells the tokens inside.
+_MODIFIERS = "(?:R*J(?:[XZ]R*J)*|C)*"
+_PHRASE = f"P|A?D?{_MODIFIERS}N+(?:(?:G|QS?){_MODIFIERS}N+)*"
+_CHUNKS = f"""
+WITH cl AS (SELECT doc_id, {S.tokens(S.t6('text'))} AS toks FROM documents),
+sy AS (SELECT doc_id, toks, array_to_string(list_transform(toks, lambda x: {_symbol('x', '(' + S.rule_tag('x') + ')')}), '') AS s FROM cl),
+mk AS (SELECT doc_id, regexp_replace(s, '({_PHRASE})', '<\\1>', 'g') AS m FROM sy),
+ch AS (SELECT doc_id, unnest(range(length(m))) AS i, unnest(string_split(m, '')) AS c FROM mk WHERE length(m) > 0),
+dp AS (SELECT doc_id, c, sum(CASE c WHEN '<' THEN 1 WHEN '>' THEN -1 ELSE 0 END) OVER w AS depth,
+              sum(CASE WHEN c IN ('<', '>') THEN 0 ELSE 1 END) OVER w AS pos FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+inn AS (SELECT dp.doc_id, count(*) FILTER (WHERE c = '<') AS chunks, count(*) FILTER (WHERE c NOT IN ('<', '>')) AS words,
+               sum(CASE WHEN c IN ('<', '>') THEN 0 ELSE length(sy.toks[CAST(pos AS BIGINT)]) END) AS letters
+        FROM dp JOIN sy ON sy.doc_id = dp.doc_id WHERE depth = 1 GROUP BY dp.doc_id),
+res AS (SELECT sy.doc_id, CASE WHEN toks IS NULL THEN NULL ELSE coalesce(chunks, 0) END AS chunks, CASE WHEN toks IS NULL THEN NULL ELSE coalesce(words, 0) END AS words,
+               CASE WHEN toks IS NULL THEN NULL ELSE coalesce(letters + words - chunks, 0) END AS chars FROM sy LEFT JOIN inn ON inn.doc_id = sy.doc_id)
+"""
+O.ORACLES["grammar_chunks"] = _CHUNKS + "SELECT doc_id, CAST(chunks AS INTEGER) AS chunks, CAST(chars AS INTEGER) AS chars, CAST(words AS INTEGER) AS words FROM res"
+O.ORACLES["grammar_features"] = _CHUNKS + """
+SELECT doc_id, CAST(coalesce(chunks, 0) AS INTEGER) AS noun_phrases_count, CASE WHEN chunks > 0 THEN CAST(chars AS DOUBLE) / chunks ELSE 0.0 END AS avg_noun_phrase_length FROM res"""
