@@ -1,4 +1,4 @@
-"""Queries of the learned annotators (K2 sequence tagger, K3 sentence model, K4 gazetteer in the features), of the chunk grammar (K5), of approximate neighbours (M5), and their DuckDB SQL.
+"""Queries of the learned annotators (K2 sequence tagger, K3 sentence model, K4 gazetteer in the features), of the chunk grammar (K5), of tokens by rules (K1), of approximate neighbours (M5), and their DuckDB SQL.
 
 No tagged corpus comes with the test tables.  The tagger's stand-in input is the case of each word, which the raw text itself
 gives: the token is the lower-case word, its tag the shape of what stood there (L lower, T title, U upper, M mixed, O no
@@ -15,6 +15,7 @@ from slantspark.functions import patterns as P
 from slantspark.operators import annotate as K
 from slantspark.operators import chunk_grammar as CG
 from slantspark.operators import features as FE
+from slantspark.operators import rule_tokens as RT
 from slantspark.operators import sentence_model as SN
 from slantspark.operators import sequence_tagger as ST
 from slantspark.operators import split as SP
@@ -113,6 +114,13 @@ def grammar_features(spark, sf_dir):
     return FE.extract_features(d, "article_text", keep=["doc_id"], chunks=CG.NOUN_PHRASES).select("doc_id", *FE.CHUNK_FEATURES)
 
 
+@Q.query
+def rule_tokens(spark, sf_dir):
+    """K1 by rules: every document's tokens, their number and a hash of all of them in order."""
+    d = Q.documents(spark, sf_dir).select("doc_id", RT.tokenize("text").alias("t"))
+    return d.select("doc_id", F.coalesce(F.size("t"), F.lit(0)).alias("n_tokens"), F.md5(F.coalesce(F.array_join("t", "\n"), F.lit(""))).alias("tokens_md5"))
+
+
 @Q.query
 def knn_approx_predict(spark, sf_dir):
     """M5 approximate mode: predictions of the test rows by random-projection buckets."""
@@ -278,3 +286,25 @@ res AS (SELECT sy.doc_id, CASE WHEN toks IS NULL THEN NULL ELSE coalesce(chunks,
 O.ORACLES["grammar_chunks"] = _CHUNKS + "SELECT doc_id, CAST(chunks AS INTEGER) AS chunks, CAST(chars AS INTEGER) AS chars, CAST(words AS INTEGER) AS words FROM res"
 O.ORACLES["grammar_features"] = _CHUNKS + """
 SELECT doc_id, CAST(coalesce(chunks, 0) AS INTEGER) AS noun_phrases_count, CASE WHEN chunks > 0 THEN CAST(chars AS DOUBLE) / chunks ELSE 0.0 END AS avg_noun_phrase_length FROM res"""
+
+
+_EX = RT.Exceptions()
+_AT = " ".join(f"WHEN {S.lit(w)} THEN {n}" for w, n in _EX.split)
+O.ORACLES["rule_tokens"] = f"""
+WITH p AS (SELECT doc_id, list_filter(string_split_regex(text, {S.lit(P.WS_RUN)}), lambda x: x <> '') AS ps FROM documents),
+a AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS piece FROM p),
+b AS (SELECT doc_id, i, regexp_extract(piece, {S.lit(RT.PREFIX)}) AS front, substr(piece, length(regexp_extract(piece, {S.lit(RT.PREFIX)})) + 1) AS rest FROM a),
+c AS (SELECT *, length(rest) - length(regexp_extract(rest, {S.lit(RT.SUFFIX)})) AS bare FROM b),
+d AS (SELECT *, list_filter(list_transform(range(length(rest), bare - 1, -1), lambda n: substr(rest, 1, n)), lambda x: lower(x) IN {S.in_list(_EX.words)})[1] AS whole FROM c),
+e AS (SELECT *, coalesce(whole, substr(rest, 1, bare)) AS core FROM d),
+f AS (SELECT *, CASE WHEN length(regexp_extract(core, {S.lit(RT.ENDING)})) < length(core) THEN regexp_extract(core, {S.lit(RT.ENDING)}) ELSE '' END AS ending,
+             coalesce(CASE lower(whole) {_AT} ELSE 0 END, 0) AS at_ FROM e),
+g AS (SELECT *, substr(core, 1, length(core) - length(ending)) AS base FROM f),
+h AS (SELECT doc_id, i, list_concat(list_concat(regexp_extract_all(front, {S.lit(RT.ONE)}),
+        CASE WHEN whole IS NULL THEN list_concat(CASE WHEN regexp_matches(base, {S.lit(RT.DIGIT)}) THEN regexp_extract_all(base, {S.lit(RT.RUNS[True])})
+                                                      ELSE regexp_extract_all(base, {S.lit(RT.RUNS[False])}) END, CASE WHEN ending = '' THEN [] ELSE [ending] END)
+             WHEN at_ > 0 THEN [substr(core, 1, at_), substr(core, at_ + 1)] ELSE [core] END),
+        regexp_extract_all(substr(rest, length(core) + 1), {S.lit(RT.ONE)})) AS toks FROM g),
+t AS (SELECT doc_id, flatten(list(toks ORDER BY i)) AS t FROM h GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(len(t), 0) AS INTEGER) AS n_tokens, md5(coalesce(array_to_string(t, chr(10)), '')) AS tokens_md5
+FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id"""
