@@ -4,10 +4,12 @@ Legal conversations: at most one system turn first, then user and assistant turn
 An automaton over the role of the last written turn (nothing, system, user, assistant) reads the given turns; each may keep
 its role, be relabelled (cost 2), and either extend the last written turn of that role (merge, cost 1) or start a new one,
 before which an empty turn may be inserted (cost 3).  A turn with a role that is none of the three is always relabelled.  At the
-end an empty assistant turn may be inserted.  Dynamic programming finds the cheapest repair; ties go to keeping, then to
-merging, then to the earlier role in the order system, user, assistant.
+end an empty assistant turn may be inserted.  Dynamic programming finds the cheapest repair.  Of several cheapest ones, the first
+turn they treat differently decides: keeping goes first, then merging, then the earlier role in the order system, user, assistant.
 
-The cost of reading a stretch of turns is a (min, +) matrix over the automaton's states, and matrices of stretches multiply.  So a
+The cost of reading a stretch of turns is a (min, +) matrix over the automaton's states, and matrices of stretches multiply.  An entry
+also tells the place of its way among the ways from the same state, in the order of that rule, so ties are settled alike wherever
+a conversation is cut.  So a
 conversation is cut into stretches by the rank of its turns: rows are sorted in ranges over all tasks, and the counts of the
 ranges before are added, so a stretch has a bounded number of rows whatever the turn numbers are.  Tasks make one matrix per
 stretch, then one per block of stretches; the blocks of a conversation fix the states between blocks, these the states
@@ -70,22 +72,48 @@ def steps() -> dict[int, list[list[tuple[int, int, tuple] | None]]]:
     return out
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """The place of each value in its row."""
+    return x.argsort(axis=-1, kind="stable").argsort(axis=-1)
+
+
 def _matrices(table) -> np.ndarray:
-    out = np.full((4, 4, 4), NEVER, np.int64)
+    """Entries are 4 * cost + place: ways from one state differ in the state they lead to, so four places order them."""
+    cost, rank = np.full((4, 4, 4), NEVER, np.int64), np.full((4, 4, 4), 99, np.int64)
     for given, rows in table.items():
         for i in range(4):
             for j in range(4):
                 if rows[i][j] is not None:
-                    out[given, i, j] = rows[i][j][0]
-    return out
+                    cost[given, i, j], rank[given, i, j] = rows[i][j][:2]
+    return cost * 4 + _ranks(rank)
+
+
+IDENTITY = np.where(np.eye(4, dtype=bool), 0, NEVER) * 4 + np.arange(4)
 
 
-def stretch_matrix(given: list[int], matrices: np.ndarray) -> np.ndarray:
-    """Costs from every state to every state over a run of given roles."""
-    out = np.where(np.eye(4, dtype=bool), 0, NEVER)
+def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix of a stretch and the one after it: the cheapest way between two states, the first in order of several."""
+    best = (((a // 4)[:, :, None] + (b // 4)[None]) * 16 + (a % 4)[:, :, None] * 4 + (b % 4)[None]).min(axis=1)
+    return np.minimum(best // 16, NEVER) * 4 + _ranks(best % 16)
+
+
+def stretch_matrix(given: list[int], matrices: np.ndarray, memo: dict) -> np.ndarray:
+    """The matrix over a run of given roles.
+
+    Less their least cost, few different matrices arise, as a few repairs lead from any state to any other.  ``memo`` holds the
+    products met so far, so a turn costs one look-up.
+    """
+    key, total = IDENTITY.tobytes(), 0
     for g in given:
-        out = np.minimum((out[:, :, None] + matrices[g][None]).min(axis=1), NEVER)
-    return out
+        step = memo.get((key, g))
+        if step is None:
+            m = compose(np.frombuffer(key, np.int64).reshape(4, 4), matrices[g])
+            low = int(m.min()) // 4
+            step = memo[key, g] = (np.where(m >= 4 * NEVER, m, m - 4 * low).tobytes(), low)
+        key = step[0]
+        total += step[1]
+    m = np.frombuffer(key, np.int64).reshape(4, 4)
+    return np.where(m >= 4 * NEVER, m, m + 4 * total)
 
 
 # Finishing from each state: (cost, inserted roles).
@@ -93,19 +121,20 @@ FINISH = {START: (0, ()), SYSTEM: (2 * INSERT, (USER, ASSISTANT)), USER: (INSERT
 
 
 def choose_states(matrices: list[np.ndarray], first: int = START, last: int | None = None) -> list[int]:
-    """The states at the borders of the stretches on a cheapest way (from ``first``; to ``last``, or to the conversation's end)."""
+    """The states at the borders of the stretches on the chosen way (from ``first``; to ``last``, or to the conversation's end)."""
     after = [np.array([FINISH[s][0] if last is None else 0 if s == last else NEVER for s in range(4)])]
     for m in reversed(matrices):
-        after.append(np.minimum((m + after[-1][None]).min(axis=1), NEVER))
+        after.append(np.minimum((m // 4 + after[-1][None]).min(axis=1), NEVER))
     after.reverse()
     out = [first]
     for k, m in enumerate(matrices):
-        out.append(int((m[out[-1]] + after[k + 1]).argmin()))
+        row = m[out[-1]]
+        out.append(int((row + 4 * after[k + 1]).argmin()))
     return out
 
 
 def repair(given: list[int], first: int, last: int, table) -> list[tuple[int, str, tuple]]:
-    """For each turn (role, how, inserted roles) on a cheapest way between two states."""
+    """For each turn (role, how, inserted roles) on the chosen way between two states."""
     n = len(given)
     best: list[list] = [[None] * 4 for _ in range(n + 1)]
     best[n][last] = (0, 0)
@@ -184,8 +213,10 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             yield settle(head, found)
 
     def measure(batches) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+
         def settle(head, found):
-            m = stretch_matrix([g for (g,) in found], matrices)
+            m = stretch_matrix([g for (g,) in found], matrices, memo)
             return pa.RecordBatch.from_pydict({"conv_id": pa.array([head[0]], pa.int64()), "stretch": pa.array([head[1]], pa.int64()),
                                                "matrix": pa.array([m.ravel().tolist()], pa.list_(pa.int64()))})
 
@@ -197,9 +228,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     def multiply(batches) -> Iterator[pa.RecordBatch]:
         def settle(head, found):
-            m = np.where(np.eye(4, dtype=bool), 0, NEVER)
+            m = IDENTITY
             for (x,) in found:
-                m = np.minimum((m[:, :, None] + np.array(x).reshape(4, 4)[None]).min(axis=1), NEVER)
+                m = compose(m, np.array(x).reshape(4, 4))
             return pa.RecordBatch.from_pydict({"conv_id": pa.array([head[0]], pa.int64()), "block": pa.array([head[1]], pa.int64()),
                                                "matrix": pa.array([m.ravel().tolist()], pa.list_(pa.int64()))})
 

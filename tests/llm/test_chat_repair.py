@@ -1,6 +1,8 @@
+import functools
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from slantspark.llm import chat_repair as cr
@@ -102,3 +104,53 @@ def test_stretches_are_bounded_whatever_the_turn_numbers_are(spark, monkeypatch)
     assert legal([r.role for r in got if "merge" not in r.action and r.conv_id is None])
     text = lambda found: [(r.turn, r.segment.split("|>\n")[-1].replace("\n<|end", "").strip()) for r in found if r.action != "insert"]
     assert text(got) == text(one)
+
+
+def plain_repair(given, table):
+    """The chosen repair by trying every way: least cost, then the least list of (rank, role) of its turns."""
+    ways = {cr.START: (0, [])}
+    for g in given:
+        nxt = {}
+        for s, (cost, path) in ways.items():
+            for r in range(4):
+                if table[g][s][r]:
+                    new = (cost + table[g][s][r][0], path + [(table[g][s][r][1], r)])
+                    nxt[r] = min(nxt.get(r, new), new)
+        ways = nxt
+    return [r for _, r in min((cost + cr.FINISH[s][0], path) for s, (cost, path) in ways.items())[1]]
+
+
+def test_ties_do_not_depend_on_the_cuts():
+    rng, table, memo = random.Random(11), cr.steps(), {}
+    matrices = cr._matrices(table)
+    for trial in range(1500):
+        given = [rng.choice([1, 2, 3, 3, 2, 0]) for _ in range(rng.randint(1, 40))]
+        cuts = sorted({0, len(given), *(rng.randint(0, len(given)) for _ in range(rng.randint(0, 12)))})
+        parts = [given[a:b] for a, b in zip(cuts, cuts[1:])]
+        states = cr.choose_states([cr.stretch_matrix(p, matrices, memo) for p in parts])
+        got = [r for p, a, b in zip(parts, states, states[1:]) for r, *_ in cr.repair(p, a, b, table)]
+        assert got == plain_repair(given, table), (given, cuts)
+        half = len(parts) // 2                                     # blocks of stretches first, then the stretches of each
+        blocks = [g for g in (parts[:half], parts[half:]) if g]
+        product = lambda ms: functools.reduce(cr.compose, ms, cr.IDENTITY)
+        ends = cr.choose_states([product([cr.stretch_matrix(p, matrices, memo) for p in g]) for g in blocks])
+        inner = [cr.START]
+        for g, a, b in zip(blocks, ends, ends[1:]):
+            inner += cr.choose_states([cr.stretch_matrix(p, matrices, memo) for p in g], a, b)[1:]
+        assert inner == states
+    assert len(memo) < 5000  # few different matrices, whatever the number of turns
+    long = cr.stretch_matrix([2, 3, 3, 1, 0] * 4000, matrices, memo)
+    assert np.array_equal(long, cr.compose(cr.stretch_matrix([2, 3, 3, 1, 0] * 1000, matrices, memo), cr.stretch_matrix([2, 3, 3, 1, 0] * 3000, matrices, memo)))
+
+
+def test_same_rows_for_every_stretch(spark):
+    rng = random.Random(3)
+    convs = [["user", "assistant", "assistant", "assistant", "user", "assistant"]]
+    convs += [[rng.choice(["system", "user", "assistant", "bot"]) for _ in range(rng.randint(1, 14))] for _ in range(60)]
+    turns = spark.createDataFrame([(c, k, role, f"t{c}.{k}", "x", 1) for c, roles in enumerate(convs) for k, role in enumerate(roles)], SCHEMA)
+    found = []
+    for stretch in (2, 3, 4, 256):
+        rows = sorted(cr.format_chats(turns, stretch=stretch).collect(), key=lambda r: (r.conv_id, r.stretch, r.seq))
+        found.append([(r.conv_id, r.turn, r.role, r.action, r.segment) for r in rows])
+    assert found[0] == found[1] == found[2] == found[3]
+    assert [a for c, _, _, a, _ in found[0] if c == 0] == ["keep", "keep", "merge", "merge", "keep", "keep"]
