@@ -1,7 +1,7 @@
 """Token-ID files: one concatenated id array with Elias-Fano document boundaries.
 
 Format: a Parquet folder whose rows are blocks, written by Spark's committed writer (a lost executor's task is written
-again, never half).  ``shard`` ranges follow ascending doc_id; inside a shard, ``block`` counts up.  A block holds
+again, never half).  ``shard`` ranges follow ascending doc_id, and so do the part files; inside a shard, ``block`` counts up.  A block holds
 ``n_docs``, ``doc_ids`` (little-endian int64), ``bounds`` (Elias-Fano ends of its documents in its id array) and ``ids``
 (the id array, little-endian unsigned 16-bit where the vocabulary allows, else 32-bit; ``width`` says which).  Document i
 of a block lies between ``select(i - 1)`` and ``select(i)``; no table of 64-bit offsets is stored.
@@ -194,7 +194,8 @@ def write_token_files(docs: DataFrame, path: str, definition: bytes, end_id: int
     found = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [k / (2 * parts) for k in range(1, 2 * parts)], 20_000).alias("q")).first()["q"]
     width = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
     encoded = encode_documents(docs, definition, end_id, width, found or [], id_col, text_col, special_ids)
-    (encoded.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    place = F.floor(F.col("shard") * parts / (len(set(found or [])) + 1)).cast("int")  # equal runs of shards, in order
+    (encoded.repartitionById(parts, place).sortWithinPartitions("shard", "doc_id", "ids")
      .mapInArrow(_pack_blocks(width), BLOCK_SCHEMA).write.parquet(path))
 
 

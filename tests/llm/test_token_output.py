@@ -1,7 +1,9 @@
+import glob
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -71,3 +73,15 @@ def test_query_gives_special_tokens_their_id(spark, docs_of, tmp_path):
         ids = np.array(library.encode(text, add_special_tokens=False).ids + [2], "<u4")
         assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_files_follow_the_ids(spark, docs_of, definition, tmp_path):
+    """Part files in the order of their names, and the blocks of each, hold the documents in ascending id order."""
+    rows = [((i * 7919) % 1000 - 300, f"text {i} " * (i % 9)) for i in range(1000)] + [(None, "no id")] + [(55, "again")] * 300
+    token_output.write_token_files(docs_of(rows).repartition(6), str(tmp_path / "out"), definition, 2, 50_257)
+    files = sorted(glob.glob(str(tmp_path / "out" / "part-*.parquet")))
+    blocks = [b for f in files for b in pq.read_table(f).to_pylist()]
+    assert len(files) > 2 and sum(b["n_null"] for b in blocks) == 1 and blocks[0]["n_null"] == 1
+    ids = [d for b in blocks for d in np.frombuffer(b["doc_ids"], "<i8")[b["n_null"]:].tolist()]
+    assert ids == sorted(i for i, _ in rows if i is not None)
+    assert [(b["shard"], b["block"]) for b in blocks] == sorted((b["shard"], b["block"]) for b in blocks)
