@@ -104,3 +104,21 @@ def test_tagger_beats_the_word_lexicon_on_held_out_text(spark):
     r = both.agg(F.avg((F.col("tag") == F.col("predicted")).cast("int")).alias("hmm"),
                  F.avg((F.col("tag") == F.coalesce("frequent", F.lit("L"))).cast("int")).alias("word"), F.count("*").alias("n")).first()
     assert r["n"] == test.count() and r["hmm"] > max(0.9, r["word"])
+
+
+def test_frequent_runs_equal_brute_force_and_only_matches_leave_the_pass(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(3)
+    texts = [[rng.choice("abcdé") if rng.random() < 0.5 else f"w{rng.randint(0, 500)}" for _ in range(rng.randint(0, 60))] for _ in range(60)] + [None, [], ["a"]]
+    df = spark.createDataFrame([(t,) for t in texts], "w array<string>").repartition(3)
+    counts = {}
+    for t in texts:
+        for n in (2, 3, 4):
+            for i in range(len(t or []) - n + 1):
+                counts[" ".join(t[i: i + n])] = counts.get(" ".join(t[i: i + n]), 0) + 1
+    got = {r["entity"]: r["cnt"] for r in G.frequent_runs(df, "w", 2, 4, 5).collect()}
+    assert got == {g: c for g, c in counts.items() if c >= 5} and got
+    listed = spark.createDataFrame([("x y", 2, ["x", "y"])], "entity string, n int, words array<string>")
+    rows = spark.createDataFrame([(1, ["x", "y", "z"] * 50)], "_row long, _toks array<string>")
+    grams = G._grams(rows, G._starts(listed), G._bit_table(listed.select(F.col("entity").alias("key"))), [2])
+    assert [r["n"] for r in grams.collect()] == [2] * 50
