@@ -1,11 +1,11 @@
-"""Classical detector M3, M4, M6-M10 with Spark ML, plus model save/open S11/S12.
-
-Each model is a ``Pipeline``: label indexing in alphabetical class order (so
-probability vectors list classes like the reference's sorted ``classes_``),
-a ``VectorAssembler`` over the 26 features in table order, the classifier,
-and an ``IndexToString`` that turns the prediction back into a class name.
-Training runs on executors (tree aggregation); scoring is a narrow
-``transform``.
+"""Classical detector M3, M4, M6-M10, plus model save/open S11/S12.
+
+Classes are numbered in alphabetical order (so probability vectors list
+classes like the reference's sorted ``classes_``), the 26 features stand in
+table order, and the prediction is turned back into a class name.  The tree
+is a Spark ML ``Pipeline``; the forest is ``operators.forest``, as Spark ML
+sends the statistics of all nodes from each partition and the whole forest of
+node objects with each task.  Training runs on executors; scoring is narrow.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -21,31 +21,21 @@ from pyspark.sql import functions as F
 
 from slantspark.functions.text import format_prediction
 from slantspark.operators import features as FE
+from slantspark.operators import forest as FO
 from slantspark.operators import metrics as A
 
 # Spark caps tree depth at 30 (the reference grows unbounded trees).
 MAX_DEPTH = 30
 
 
-def _classifier(name: str, seed: int = 42, min_rows: int = 1):
-    if name == "RandomForest":
-        # Deep trees: cache node ids per row instead of re-walking every tree at
-        # each level, and give each level's split statistics more room so fewer
-        # passes over the data are needed.
-        return RandomForestClassifier(featuresCol="features", labelCol="label_index", numTrees=100,
-                                      maxDepth=MAX_DEPTH, featureSubsetStrategy="sqrt", seed=seed,
-                                      minInstancesPerNode=min_rows, maxBins=64, cacheNodeIds=True,
-                                      maxMemoryInMB=1024, checkpointInterval=10)
-    if name == "DecisionTree":
-        return DecisionTreeClassifier(featuresCol="features", labelCol="label_index", maxDepth=MAX_DEPTH,
-                                      seed=seed, minInstancesPerNode=min_rows, maxBins=64, cacheNodeIds=True,
-                                      maxMemoryInMB=1024)
-    raise ValueError(f"unknown model {name}")
+NUM_TREES = 100
+
+# A fitted forest or a fitted pipeline of the tree.
+Model = FO.Forest | PipelineModel
 
 
-def pipeline(name: str, features: list[str] | None = None, label: str = "label", seed: int = 42,
-             min_rows: int = 1) -> Pipeline:
-    """Indexer -> assembler -> classifier -> label decoder."""
+def tree_pipeline(features: list[str] | None = None, label: str = "label", seed: int = 42, min_rows: int = 1) -> Pipeline:
+    """Indexer -> assembler -> decision tree."""
     feats = features or FE.FEATURE_COLUMNS
     # handleInvalid="error": an extra "unknown" index would add a class (and a
     # probability) to every model; training rows carry known labels only, and
@@ -53,7 +43,10 @@ def pipeline(name: str, features: list[str] | None = None, label: str = "label",
     indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc",
                             handleInvalid="error")
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-    clf = _classifier(name, seed, min_rows)
+    # Deep trees: cache node ids per row instead of re-walking the tree at each level, and give each level's split
+    # statistics more room so fewer passes over the data are needed.
+    clf = DecisionTreeClassifier(featuresCol="features", labelCol="label_index", maxDepth=MAX_DEPTH, seed=seed,
+                                 minInstancesPerNode=min_rows, maxBins=64, cacheNodeIds=True, maxMemoryInMB=1024)
     return Pipeline(stages=[indexer, assembler, clf])
 
 
@@ -72,22 +65,33 @@ def bounded(train: DataFrame, fit_rows: int | None, id_col: str = "article_id",
     return train.where(h < int(share * 1_000_000))
 
 
+def fit_one(name: str, labelled: DataFrame, label: str = "label", min_rows: int = 1, seed: int = 42) -> Model:
+    """One model by its name, on rows that have a label."""
+    if name == "RandomForest":
+        return FO.fit(labelled, FE.FEATURE_COLUMNS, label, NUM_TREES, seed, MAX_DEPTH, min_rows)
+    if name == "DecisionTree":
+        return tree_pipeline(label=label, seed=seed, min_rows=min_rows).fit(labelled)
+    raise ValueError(f"unknown model {name}")
+
+
 def fit_all(train: DataFrame, names: tuple[str, ...] = ("RandomForest", "DecisionTree"), label: str = "label",
-            fit_rows: int | None = None, min_rows: int = 1) -> dict[str, PipelineModel]:
+            fit_rows: int | None = None, min_rows: int = 1) -> dict[str, Model]:
     """M6: fit every tree model on one cached training frame (KNN keeps its table, see ``operators.knn``).
 
-    A tree of depth 30 grows with its rows and lies on the driver and in each scoring task.  ``fit_rows`` (default off)
+    A tree of depth 30 grows with its rows; the fitted models lie on the driver and with each scoring worker.  ``fit_rows`` (default off)
     bounds the labelled rows used to fit, ``min_rows`` the rows a leaf must hold.
     """
     labelled = bounded(train.where(F.col(label).isNotNull() & (F.col(label) != "")), fit_rows).cache()
     try:
-        return {n: pipeline(n, label=label, min_rows=min_rows).fit(labelled) for n in names}
+        return {n: fit_one(n, labelled, label, min_rows) for n in names}
     finally:
         labelled.unpersist()
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: Model, df: DataFrame) -> DataFrame:
     """M7: class name, class index and probability vector for every row."""
+    if isinstance(model, FO.Forest):
+        return model.transform(df)
     return with_prediction_label(model, model.transform(df))
 
 
@@ -103,12 +107,14 @@ def reports(scored: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def class_order(model: PipelineModel) -> list[str]:
+def class_order(model: Model) -> list[str]:
     """Classes in probability-vector order (alphabetical)."""
+    if isinstance(model, FO.Forest):
+        return list(model.labels)
     return list(model.stages[0].labels)
 
 
-def predict_text(model: PipelineModel, texts: DataFrame, text_col: str = "article_text",
+def predict_text(model: Model, texts: DataFrame, text_col: str = "article_text",
                  keep: list[str] | None = None) -> DataFrame:
     """M9 + M10 + T14: raw text -> features -> forest -> ``label,p0,p1,...``."""
     keep = keep or []
@@ -118,22 +124,30 @@ def predict_text(model: PipelineModel, texts: DataFrame, text_col: str = "articl
                          format_prediction(F.col("predicted_label"), vector_to_array(F.col("probability"))).alias("result"))
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model: Model, path: str) -> str:
     """S11."""
+    if isinstance(model, FO.Forest):
+        return model.save(path)
     model.write().overwrite().save(path)
     return path
 
 
-def model_stored(path: str) -> bool:
-    """Whether something is stored at ``path``; says so if not."""
+def _exists(path: str) -> bool:
     spark = SparkSession.getActiveSession()
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def model_stored(path: str) -> bool:
+    """Whether something is stored at ``path``; says so if not."""
+    if _exists(path):
         return True
     print(f"no model is stored at {path}")
     return False
 
 
-def open_model(path: str) -> PipelineModel | None:
+def open_model(path: str) -> Model | None:
     """The loaded model, or None (with a note) when nothing is stored at ``path``."""
-    return PipelineModel.load(path) if model_stored(path) else None
+    if not model_stored(path):
+        return None
+    return FO.Forest.open(path) if _exists(f"{path}/forest") else PipelineModel.load(path)

@@ -9,7 +9,6 @@ resumes exactly where it stopped (exactly-once file sink).
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ def feature_stream(stream: DataFrame, key: str, text_col: str) -> DataFrame:
     return FE.extract_features(stream.select(key, F.col(text_col).alias("article_text")), "article_text", keep=[key])
 
 
-def score_stream(model: PipelineModel, stream: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+def score_stream(model: MD.Model, stream: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """M9 on a stream: raw text -> features -> forest -> ``label,p0,p1,...``, with the key columns in front."""
     texts = stream.select(*keys, F.col(text_col).alias("article_text"))
     return MD.predict_text(model, texts, "article_text", keep=keys)
