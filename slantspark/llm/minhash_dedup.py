@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_texts, cut_lineage, fresh_name, map_arrow, partitions_for, row_ranks, slices
+from .common import binary_texts, cut_lineage, fresh_name, map_arrow, partitions_for, release_memory, row_ranks, slices
 from .components import components
 from .winnow import SLICE_BYTES, _Hashes, gram_hashes, known_hashes
 
@@ -188,6 +188,7 @@ def _hidden_links(members: DataFrame, percent: int) -> DataFrame:
                         yield settle()
                     group, rows = head, []
                 rows.append((blocks[n], reps[n], comps[n], batch.column(6)[n].values.to_numpy()))
+            release_memory()
         if rows:
             yield settle()
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, cut_lineage, heldout, map_arrow, slices
+from .common import binary_texts, cut_lineage, heldout, map_arrow, release_memory, slices
 from .winnow import SLICE_BYTES, known_hashes, word_hashes
 
 DISCOUNT = 0.75
@@ -215,5 +215,6 @@ def keep_ordinary(docs: DataFrame, model: dict, text_col: str = "text") -> DataF
             for part in slices(batch, place, SLICE_BYTES):
                 wanted = pa.array([p < 0.5 for p in _probabilities(shared.value, part.column(part.num_columns - 1), part.column(place))], pa.bool_())
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1]).filter(wanted)
+            release_memory()
 
     return docs.select("*", _half(text_col).alias("text_half")).mapInArrow(keep, docs.schema)
