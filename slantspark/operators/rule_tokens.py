@@ -26,6 +26,9 @@ INFIX = r"""-–—/…()\[\]{}"“”«»;&|~=+*<>!?"""
 RUNS = {True: f"[^{INFIX}]+|[{INFIX}]", False: f"[^{INFIX},:]+|[{INFIX},:]"}      # by: has a digit
 DIGIT = "[0-9]"
 ONE = "(?s)."
+SPECIAL = INFIX + """.,:'`%$#‘’¿¡"""                                   # all prefix, suffix, ending and infix characters
+PLAIN = f"^[^{SPECIAL}]+\\z"                                            # one token
+MARKED = f"^[^{SPECIAL}]+[.,!?;:]\\z"                                   # such a word and one suffix character
 
 WHOLE = ("a.m.", "co.", "corp.", "dr.", "e-mail", "e.g.", "etc.", "gen.", "gov.", "i.e.", "inc.", "jr.", "ltd.", "ma'am", "mr.", "mrs.", "ms.", "o'clock",
          "p.m.", "prof.", "rep.", "sen.", "sr.", "st.", "t-shirt", "u.k.", "u.n.", "u.s.", "vs.", "x-ray")
@@ -85,6 +88,18 @@ def _rest_tokens(rest: Column, exceptions: Exceptions) -> Column:
 
 
 def _piece_tokens(piece: Column, exceptions: Exceptions) -> Column:
+    """The rules on one piece; most pieces are plain words, for which they come to the word and its mark."""
+    split, word = [w for w, _ in exceptions.split], F.substring(piece, F.lit(1), F.length(piece) - 1)
+    plain, marked = piece.rlike(PLAIN), piece.rlike(MARKED)
+    if split:
+        plain &= ~F.lower(piece).isin(split)
+    if exceptions.words:
+        marked &= ~F.lower(piece).isin(exceptions.words) & ~F.lower(word).isin(exceptions.words)
+    return (F.when(plain, F.array(piece)).when(marked, F.array(word, F.substring(piece, F.length(piece), F.lit(1))))
+            .otherwise(_ruled_tokens(piece, exceptions)))
+
+
+def _ruled_tokens(piece: Column, exceptions: Exceptions) -> Column:
     return _let(F.regexp_extract(piece, PREFIX, 0), lambda front: F.concat(
         F.regexp_extract_all(front, F.lit(ONE), 0),
         _let(F.substring(piece, F.length(front) + 1, F.length(piece)), lambda rest: _rest_tokens(rest, exceptions))))

@@ -62,3 +62,15 @@ def test_null_and_ones_own_exceptions(spark):
     assert df.select(RT.tokenize("t", RT.Exceptions((), ()))).collect()[1][0] == ["a", "-", "b", "c", "-", "d", ".", "U.S", "."]
     with pytest.raises(ValueError):
         RT.Exceptions((), (("no", 2),))
+
+
+def test_plain_words_skip_the_rules_and_get_the_same_tokens(spark):
+    """The short way for words without special characters gives what the rules give, exceptions and odd letters included."""
+    rng = random.Random(5)
+    parts = ["mr", "Cannot", "K", "İ", "é", "漢", "7", "gonna", "st", "x_y", ".", ",", "!", ":", "?", ";", "'", "%", "|", "#", "-"]
+    pieces = ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(4000)] + ["mr.", "co.", "cannot,", "Gimme!", "y'all", "\U0001d504b."]
+    df = spark.createDataFrame([(p,) for p in pieces], "p string").repartition(4)
+    for ex in (EX, RT.Exceptions(("mr", "st.", "x_y!"), (("7.", 1),)), RT.Exceptions((), ())):
+        got = df.select("p", RT._piece_tokens(F.col("p"), ex).alias("a"), RT._ruled_tokens(F.col("p"), ex).alias("b"))
+        assert got.where("NOT (a <=> b)").count() == 0
+    assert not any(re.search(RT.PLAIN.replace(r"\z", r"\Z"), c) for c in """"'`([{<$#“‘«¿¡.,!?;:)]}>%”’»…-–—/&|~=+*""")
