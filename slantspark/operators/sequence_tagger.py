@@ -76,14 +76,20 @@ class SequenceTagger:
 
 def transition_counts(tagged: DataFrame, sequence: list[str], position: str = "pos", tag: str = "tag") -> DataFrame:
     """(prev, tag, n) with START before and END after each stretch of consecutive positions."""
+    return (_neighbours(tagged, sequence, position, tag)
+            .select(F.coalesce("prev", F.lit(START)).alias("prev"), F.coalesce("cur", F.lit(END)).alias("tag"), "n"))
+
+
+def _neighbours(tagged: DataFrame, sequence: list[str], position: str, tag: str) -> DataFrame:
+    """(prev, cur, n): counts of neighbouring tags; null before and after each stretch.  With tags as numbers Spark aggregates by hash, without a sort."""
+    none = F.lit(None).cast(dict(tagged.dtypes)[tag])
     keys = [F.col(c).alias(f"_s{n}") for n, c in enumerate(sequence)]
     here = tagged.select(*keys, F.col(position).cast("long").alias("_p"), F.col(tag).alias("_tag"))
-    sides = F.explode(F.array(F.struct(F.col("_p").alias("p"), F.col("_tag").alias("cur"), F.lit(None).cast("string").alias("prev")),
-                              F.struct((F.col("_p") + 1).alias("p"), F.lit(None).cast("string").alias("cur"), F.col("_tag").alias("prev")))).alias("x")
+    sides = F.explode(F.array(F.struct(F.col("_p").alias("p"), F.col("_tag").alias("cur"), none.alias("prev")),
+                              F.struct((F.col("_p") + 1).alias("p"), none.alias("cur"), F.col("_tag").alias("prev")))).alias("x")
     names = [f"_s{n}" for n in range(len(sequence))]
     met = here.select(*names, sides).select(*names, "x.*").groupBy(*names, "p").agg(F.min("cur").alias("cur"), F.min("prev").alias("prev"))
-    return (met.groupBy(F.coalesce("prev", F.lit(START)).alias("prev"), F.coalesce("cur", F.lit(END)).alias("tag"))
-            .agg(F.count("*").alias("n")))
+    return met.groupBy("prev", "cur").agg(F.count("*").alias("n"))
 
 
 def _form_costs(counts: DataFrame, kind: str, tags: DataFrame, total_tags: int) -> DataFrame:
@@ -98,11 +104,12 @@ def _form_costs(counts: DataFrame, kind: str, tags: DataFrame, total_tags: int)
                     F.transform("c", lambda x: x["place"]).alias("tags"), F.transform("c", lambda x: x["cost"]).alias("costs")))
 
 
-def fit(tagged: DataFrame, sequence: list[str], position: str = "pos", token: str = "tok", tag: str = "tag") -> SequenceTagger:
-    """K2 fit over (sequence, position, token, tag)."""
+def fit(tagged: DataFrame, sequence: list[str], position: str = "pos", token: str = "tok", tag: str = "tag", stored: bool = False) -> SequenceTagger:
+    """K2 fit over (sequence, position, token, tag); a ``stored`` table is read again instead of being written a second time."""
     spark = tagged.sparkSession
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*sequence, position, token, tag]])
-    rows = cut_lineage(tagged.where(known).select(*sequence, position, F.col(token).alias("tok"), F.col(tag).cast("string").alias("tag")), "tagger-rows")
+    rows = tagged.where(known).select(*sequence, position, F.col(token).alias("tok"), F.col(tag).cast("string").alias("tag"))
+    rows = rows if stored else cut_lineage(rows, "tagger-rows")
     pairs = cut_lineage(rows.groupBy("tok", "tag").agg(F.count("*").alias("n")), "tagger-pairs")
     names = [(r["tag"], r["n"]) for r in pairs.groupBy("tag").agg(F.sum("n").alias("n")).orderBy("tag").limit(MAX_TAGS + 1).collect()]
     if len(names) > MAX_TAGS:
@@ -112,10 +119,13 @@ def fit(tagged: DataFrame, sequence: list[str], position: str = "pos", token: st
     tags = spark.createDataFrame([(t, n, k) for k, (t, n) in enumerate(names)], "tag string, tag_n long, place int")
     total = sum(n for _, n in names)
 
-    seen = transition_counts(rows, sequence, position)
+    places = tags.select(F.col("tag").alias("_name"), F.col("place").alias("_place"))  # in the order of the tags
+    seen = (_neighbours(rows.join(F.broadcast(places), F.col("tag") == F.col("_name")), sequence, position, "_place")
+            .select(F.coalesce("prev", F.lit(-1)).alias("_prev"), F.coalesce("cur", F.lit(-1)).alias("_cur"), "n"))
     ends = [t for t, _ in names]
-    grid = spark.createDataFrame([(p, t) for p in [*ends, START] for t in [*ends, END]], "prev string, tag string")   # tags squared
-    filled = grid.join(F.broadcast(seen), ["prev", "tag"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    grid = spark.createDataFrame([(p, t, a, b) for a, p in [*enumerate(ends), (-1, START)] for b, t in [*enumerate(ends), (-1, END)]],
+                                 "prev string, tag string, _prev int, _cur int")                                     # tags squared
+    filled = grid.join(F.broadcast(seen), ["_prev", "_cur"], "left").select("prev", "tag", F.coalesce("n", F.lit(0)).alias("n"))
     of_prev = filled.groupBy("prev").agg(F.sum("n").alias("of_prev"))
     transitions = (filled.join(of_prev, "prev")
                    .select("prev", "tag", "n", _micro((F.col("n") + 1) / (F.col("of_prev") + len(ends) + 1)).alias("cost")))

@@ -8,7 +8,7 @@ words alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slantspark.functions import patterns as P
@@ -22,22 +22,30 @@ from slantspark.operators import split as SP
 from slantspark.plans import oracles as O
 from slantspark.plans import queries as Q
 from slantspark.plans import sqltext as S
-from slantspark.session import cut_lineage
+from slantspark.session import cut_lineage, spread
+
+
+def word_shape(raw: Column) -> Column:
+    """L lower, T title, U upper, M mixed, O no letter.  ASCII tokens, nearly all, are compared with their lower and upper case, without a pattern."""
+    upper, lower, letter = (raw.rlike(rf"\p{{{c}}}") for c in ("Lu", "Ll", "L"))
+    shape = F.when(~letter, "O").when(~upper, "L").when(raw.rlike(r"^\p{Lu}\P{Lu}*$"), "T").when(~lower, "U").otherwise("M")
+    no_upper, no_lower, rest = raw == F.lower(raw), raw == F.upper(raw), F.substring(raw, 2, 1 << 30)
+    plain = (F.when(no_upper, F.when(no_lower, "O").otherwise("L"))
+             .when((rest == F.lower(rest)) & (F.left(raw, F.lit(1)) != F.lower(F.left(raw, F.lit(1)))), "T").when(no_lower, "U").otherwise("M"))
+    return F.when(F.octet_length(raw) == F.length(raw), plain).otherwise(shape)
 
 
 def case_tags(spark, sf_dir) -> DataFrame:
     """Stand-in tagged table: (doc_id, sent, pos, tok, tag, bucket) of every document's sentences."""
-    d = Q.documents(spark, sf_dir).select("doc_id", F.split(F.regexp_replace("text", P.WS_RUN, " "), P.SENTENCE_BOUNDARY, -1).alias("ss"))
+    d = spread(Q.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", SP.bucket("doc_id").alias("bucket"), F.split(F.regexp_replace("text", P.WS_RUN, " "), P.SENTENCE_BOUNDARY, -1).alias("ss"))
     tokens = F.filter(F.transform("ss", lambda s: K.tokenize(s)), lambda t: F.size(t) > 0)
-    s = d.select("doc_id", F.posexplode(tokens).alias("sent", "toks")).select("doc_id", "sent", F.posexplode("toks").alias("pos", "raw"))
-    upper, lower, letter = (F.col("raw").rlike(rf"\p{{{c}}}") for c in ("Lu", "Ll", "L"))
-    tag = (F.when(~letter, "O").when(~upper, "L").when(F.col("raw").rlike(r"^\p{Lu}\P{Lu}*$"), "T").when(~lower, "U").otherwise("M"))
-    return s.select("doc_id", "sent", "pos", F.lower("raw").alias("tok"), tag.alias("tag"), SP.bucket("doc_id").alias("bucket"))
+    s = d.select("doc_id", "bucket", F.posexplode(tokens).alias("sent", "toks")).select("doc_id", "bucket", "sent", F.posexplode("toks").alias("pos", "raw"))
+    return s.select("doc_id", "sent", "pos", F.lower("raw").alias("tok"), word_shape(F.col("raw")).alias("tag"), "bucket")
 
 
 def _fitted(spark, sf_dir) -> tuple[ST.SequenceTagger, DataFrame]:
     rows = cut_lineage(case_tags(spark, sf_dir), "case-tags")
-    return ST.fit(rows.where("bucket >= 20"), ["doc_id", "sent"]), rows.where("bucket < 20")
+    return ST.fit(rows.where("bucket >= 20"), ["doc_id", "sent"], stored=True), rows.where("bucket < 20")
 
 
 @Q.query
