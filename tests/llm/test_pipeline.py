@@ -90,3 +90,20 @@ def test_stages_take_nulls_shared_ids_clashing_columns_and_empty_tables(spark):
     assert (5, b) in left and (7, "start") in left and (1, a) in left and (None, "no id") in left
     assert not any(leak in t for _, t in left)
     assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == len(left)
+
+
+def test_repeated_passages_cuts_near_repeats_behind_other_documents(spark, docs_of):
+    """Documents with parts of a passage stand before and between its first place and its copy with one word changed."""
+    rng = np.random.default_rng(63)
+    fill = lambda n: [f"p{k}" for k in rng.integers(0, 100_000, n)]
+    rows = {}
+    for base in range(0, 300, 20):
+        passage = fill(90)
+        for d in (*range(6), *range(7, 13)):
+            rows[base + d] = " ".join(w for k in rng.integers(0, 60, 3) for w in fill(20) + passage[k: k + 30])
+        rows[base + 6] = " ".join(fill(30) + passage)
+        rows[base + 13] = " ".join(fill(30) + passage[:45] + ["other"] + passage[46:])
+    after = corpus_pipeline.repeated_passages(spark, docs_of(rows), SF).collect()
+    cut = {r.doc_id: r for r in after if r.text != rows[r.doc_id]}
+    assert set(cut) == set(range(13, 300, 20))
+    assert all(r.text.split() == rows[d].split()[:30] and r.n_chars == len(r.text) for d, r in cut.items())
